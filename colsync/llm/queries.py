@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colsync.llm import decontaminate, mixing
 from colsync.llm.exact_dedup import exact_duplicates
 
 
@@ -11,12 +12,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of all documents by source weights; see ``mixing``."""
+    return mixing.mix_plan(_table(spark, sf_dir, "documents")).drop("source")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents that lie in benchmark windows; see ``decontaminate``."""
+    spans = decontaminate.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(spans)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among the documents; see ``exact_dedup``."""
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op5_decontaminate": op5_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
