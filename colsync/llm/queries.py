@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colsync.llm import decontaminate, mixing
+from colsync.llm import decontaminate, mixing, quality, sharding
 from colsync.llm.exact_dedup import exact_duplicates
 
 
@@ -23,15 +23,27 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(spans)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; see ``quality``."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among the documents; see ``exact_dedup``."""
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of each document; see ``sharding``."""
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_decontaminate": op5_decontaminate,
+    "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES = {
@@ -39,4 +51,17 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op10_sharding": f"""
+        WITH sized AS (
+            SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+                   lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits
+            FROM documents),
+        sums AS (
+            SELECT d, substr(bits, 1, d) AS prefix, count(*) AS n, sum(n_bytes)::BIGINT AS bytes
+            FROM sized, range(61) AS r(d) GROUP BY ALL)
+        SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN 'root' ELSE prefix END AS shard, d::INTEGER AS depth,
+               n AS shard_docs, bytes AS shard_bytes, bytes <= {sharding.SHARD_BYTES} AS fits
+        FROM sized JOIN sums ON prefix = substr(bits, 1, d::INTEGER)
+        WHERE bytes <= {sharding.SHARD_BYTES} OR n = 1 OR d = 60
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d) = 1""",
 }

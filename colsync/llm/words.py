@@ -112,11 +112,16 @@ def word_slices(column: pa.Array, word_byte: np.ndarray, lower: bool = True) ->
             before[edges] = False
             after[edges - 1] = False
         starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        power, inverse = _powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * inverse[starts])
-        yield Words(at, to - at, part, local, starts, ends, hashes, np.searchsorted(starts, local).astype(np.int64))
+        hashes, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):  # once, but for a text that is longer than a slice
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE_BYTES)))
+            low, high = starts[i], ends[j - 1]
+            power, inverse = _powers(high - low + 1)
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((part[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=total[1:])
+            hashes[i:j] = (total[ends[i:j] - low] - total[starts[i:j] - low]) * inverse[starts[i:j] - low]
+            i = j
+        yield Words(at, to - at, part, local, starts, ends, mix(hashes), np.searchsorted(starts, local).astype(np.int64))
 
 
 def word_counts(column: pa.Array, word_byte: np.ndarray) -> np.ndarray:
