@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colsync.llm import decontaminate, mixing, quality, sharding
+from colsync.llm import decontaminate, mixing, ngram_join, quality, sharding
 from colsync.llm.exact_dedup import exact_duplicates
 
 
@@ -12,6 +12,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with a Jaccard similarity of 0.9 or more on 3-word shingles; see ``ngram_join``."""
+    return ngram_join.near_groups(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mix of all documents by source weights; see ``mixing``."""
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).drop("source")
@@ -39,6 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_mixing": op3_mixing,
     "op5_decontaminate": op5_decontaminate,
     "op7_quality": op7_quality,
