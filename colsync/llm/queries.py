@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colsync.llm import decontaminate, mixing, ngram_join, quality, sharding
+from colsync.llm import decontaminate, mixing, ngram_join, pii, quality, sharding
 from colsync.llm.exact_dedup import exact_duplicates
 
 
@@ -38,6 +38,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; see ``pii``."""
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of each document; see ``sharding``."""
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
@@ -49,6 +54,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
 }
 
