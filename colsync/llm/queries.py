@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colsync.llm import decontaminate, mixing, ngram_join, pii, quality, sharding
+from colsync.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, sharding
 from colsync.llm.exact_dedup import exact_duplicates
 
 
@@ -22,6 +22,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; see ``secrets``."""
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents that lie in benchmark windows; see ``decontaminate``."""
     spans = decontaminate.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -51,6 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_mixing": op3_mixing,
+    "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
