@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colsync.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, sharding
+from colsync.llm import decontaminate, mixing, ngram_join, pii, quality, quotations, secrets, sharding
 from colsync.llm.exact_dedup import exact_duplicates
 
 
@@ -33,6 +33,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(spans)
 
 
+def op6_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in reply order without quotes; see ``quotations``."""
+    return quotations.link_quotations(_table(spark, sf_dir, "conversations"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; see ``quality``."""
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quotations": op6_quotations,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
