@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colsync.llm import decontaminate, mixing, ngram_join, pii, quality, quotations, secrets, sharding
+from colsync.llm import decontaminate, mixing, ngram_join, pii, quality, quotations, secrets, sharding, token_counts
 from colsync.llm.exact_dedup import exact_duplicates
+from colsync.llm.store import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by source, language and tokenizer version; see ``token_counts``.
+
+    The corpus enters a fresh rollup in its three batches; the last is sent
+    again and does not count twice.
+    """
+    scratch = Scratch(spark, "tokens")
+    counted = scratch.put(token_counts.count_tokens(_table(spark, sf_dir, "documents")), "counted")
+    rollup = token_counts.TokenRollup(spark, f"{scratch.path}/rollup")
+    for name, changes in token_counts.corpus_changes(counted).items():
+        rollup.apply(name, changes)
+    rollup.apply(name, changes)
+    return rollup.totals()
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with a Jaccard similarity of 0.9 or more on 3-word shingles; see ``ngram_join``."""
     return ngram_join.near_groups(_table(spark, sf_dir, "documents"), n=3, percent=90)
@@ -59,6 +75,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_mixing": op3_mixing,
     "op4_secrets": op4_secrets,
