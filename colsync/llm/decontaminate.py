@@ -134,41 +134,56 @@ class ItemIndex:
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
+def _found(index: ItemIndex, texts: pa.Array) -> tuple[np.ndarray, list, list]:
+    """The number of words, hit spans (first, last, ...) and items of each text; None where there are none."""
+    n_words = np.zeros(len(texts), np.int64)
+    spans: list[list[int] | None] = [None] * len(texts)
+    items: list[list[str] | None] = [None] * len(texts)
+    for part in word_slices(texts, ALNUM):
+        n_words[part.row0 : part.row0 + part.rows] = np.diff(part.bounds)
+        row = part.row
+        edge = np.zeros(len(row) + 1, np.int64)
+        pairs: list[np.ndarray] = []
+        for first, n, place in index.hits(part, row):
+            np.add.at(edge, first, 1)
+            np.add.at(edge, first + n, -1)
+            distinct = np.unique(row[first] * (1 << 32) + place)
+            which, owner = index.owners(n, distinct & 0xFFFFFFFF)
+            pairs.append(np.unique((distinct[which] >> 32) * (1 << 32) + owner))
+        if not any(map(len, pairs)):
+            continue
+        hit = np.cumsum(edge[:-1]) > 0
+        for r in np.unique(row[hit]):
+            lo, hi = part.bounds[r], part.bounds[r + 1]
+            spans[part.row0 + r] = np.flatnonzero(np.diff(np.concatenate(([0], hit[lo:hi].view(np.int8), [0])))).tolist()
+        both = np.unique(np.concatenate(pairs))
+        for r, group in zip(*_grouped(both >> 32, both & 0xFFFFFFFF), strict=True):
+            items[part.row0 + r] = [index.names[i] for i in group if index.names[i] is not None]
+    return n_words, spans, items
+
+
 def _scan(index):
-    """For each batch of (id, text): the number of words, hit spans (first, last, ...) and items of each text."""
+    """``_found`` for each batch of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: ItemIndex = index.value
         for batch in batches:
-            n_words = np.zeros(batch.num_rows, np.int64)
-            spans: list[list[int] | None] = [None] * batch.num_rows
-            items: list[list[str] | None] = [None] * batch.num_rows
-            for part in word_slices(batch.column(1), ALNUM):
-                n_words[part.row0 : part.row0 + part.rows] = np.diff(part.bounds)
-                row = part.row
-                edge = np.zeros(len(row) + 1, np.int64)
-                pairs: list[np.ndarray] = []
-                for first, n, place in found.hits(part, row):
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + n, -1)
-                    distinct = np.unique(row[first] * (1 << 32) + place)
-                    which, owner = found.owners(n, distinct & 0xFFFFFFFF)
-                    pairs.append(np.unique((distinct[which] >> 32) * (1 << 32) + owner))
-                if not pairs or not any(map(len, pairs)):
-                    continue
-                hit = np.cumsum(edge[:-1]) > 0
-                for r in np.unique(row[hit]):
-                    lo, hi = part.bounds[r], part.bounds[r + 1]
-                    step = np.flatnonzero(np.diff(np.concatenate(([0], hit[lo:hi].view(np.int8), [0]))))
-                    spans[part.row0 + r] = step.tolist()
-                both = np.unique(np.concatenate(pairs))
-                for r, group in zip(*_grouped(both >> 32, both & 0xFFFFFFFF), strict=True):
-                    items[part.row0 + r] = [found.names[i] for i in group if found.names[i] is not None]
+            n_words, spans, items = _found(index.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n_words), pa.array(spans, _OUT.field(2).type), pa.array(items, _OUT.field(3).type)], schema=_OUT)
 
     return run
 
 
+def _clean(index, place: int):
+    """The rows whose text, at ``place``, has no hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = _found(index.value, batch.column(place).cast(pa.string()))[1]
+            yield batch.filter(pa.array([s is None for s in spans], pa.bool_()))
+
+    return run
+
+
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
     """Values of each key; the keys come sorted."""
     edges = np.flatnonzero(np.diff(keys)) + 1
@@ -226,7 +241,12 @@ def digest(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", "n_words", spread.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (spread > 0).alias("contaminated"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents with no word in a benchmark window, all their columns."""
-    hit = contaminated_spans(docs, benchmark).where(F.col("spans").isNotNull()).select(F.col("doc_id").alias("_hit"))
-    return docs.join(hit, docs["doc_id"] == F.col("_hit"), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents with no word in a benchmark window, all their columns, filtered where they are read.
+
+    Each block of items takes out its own, so nothing is shuffled however large the benchmark is.
+    """
+    context, place, schema = docs.sparkSession.sparkContext, docs.columns.index(text_col), docs.schema
+    for items in item_blocks(benchmark, item_col, item_text_col):
+        docs = docs.mapInArrow(_clean(context.broadcast(ItemIndex(items)), place), schema)
+    return docs

@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsync.llm.skew import join_groups
+from colsync.llm.skew import join_groups, without_ids
+from colsync.llm.store import Scratch
 
 BITS_PER_ROW = 16
 MAX_FILTER_BITS = 1 << 28
@@ -86,5 +87,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: the largest id of each text.  Ids must be unique and not null."""
-    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    scratch = Scratch(docs.sparkSession, "exact")
+    gone = scratch.put(exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), "gone")
+    return without_ids(docs, gone, id_col)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsync.llm.store import Scratch
-from colsync.llm.words import NOT_SPACE, word_counts
+from colsync.llm.words import NOT_SPACE, word_counts, word_slices
 
 #: Base weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -157,3 +157,34 @@ def shards_to_docs(dealt: DataFrame, quotas: DataFrame, block: int, max_repeats:
     left = words - passes * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - (F.col("_end") - F.col("size"))))
     return joined.withColumn("_end", end).withColumn("taken", (passes * F.col("size") + part).cast("long")).drop("_end")
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its ``n``-th word."""
+    if n <= 0:
+        return ""
+    part = next(word_slices(pa.array([text], pa.string()), NOT_SPACE, lower=False))
+    return part.data[: part.ends[min(n, len(part.ends)) - 1]].tobytes().decode("utf-8", "replace") if len(part.ends) else ""
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as often as ``mix_plan`` takes all its words, and once more cut to the words that are left.
+
+    Documents of which nothing is taken are left out.  Ids must be unique and not null.
+    """
+    taken = mix_plan(docs, id_col, text_col, source_col, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = docs.join(taken, docs[id_col] == F.col("_id")).select(*[docs[f"`{c}`"] for c in docs.columns], "_size", "_taken")
+    whole = (F.col("_taken") / F.col("_size")).cast("int")
+    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
+    rows = rows.withColumn("_words", F.when(F.col("_pass") <= whole, F.lit(-1)).otherwise(F.col("_taken") % F.col("_size")).cast("long"))
+    cut = rows.where("_words >= 0").select(*docs.columns, "_words")
+    place, width = docs.columns.index(text_col), len(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            texts = [first_words(t, n) for t, n in zip(batch.column(place).to_pylist(), batch.column(width).to_pylist(), strict=True)]
+            columns = [pa.array(texts, batch.schema.field(place).type) if i == place else batch.column(i) for i in range(width)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
+
+    out = rows.where("_words < 0").select(*docs.columns).unionByName(cut.mapInArrow(run, docs.schema))
+    return out.withColumn("n_chars", F.char_length(text_col).cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out

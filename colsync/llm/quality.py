@@ -259,3 +259,20 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents with a score of ``threshold`` or more, all their columns, filtered where they are read.
+
+    Without usable labels all are kept.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [held.value.scores(f) >= threshold for f in features(batch.column(place).cast(pa.string()))]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,3 +22,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     first = found.where(F.col("_hot")).select(*rows.columns, *extra)
     rest = found.where(F.col("_hot").isNull()).select(*rows.columns)
     return first.unionByName(rest.join(groups.where(~hot), key, how).select(*rows.columns, *extra))
+
+
+#: Ids that may be broadcast: some tens of MB in an executor.
+MAX_BROADCAST_IDS = 1 << 20
+
+
+def without_ids(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not among the one column of ``gone``, a written table; null ids stay.
+
+    Up to ``MAX_BROADCAST_IDS`` the ids are broadcast, and the rows with their
+    texts stay where they are; beyond, both sides are shuffled.
+    """
+    gone = gone.select(F.col(gone.columns[0]).alias("_gone"))
+    few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, rows[id_col] == F.col("_gone"), "left_anti")
