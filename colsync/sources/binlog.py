@@ -96,8 +96,8 @@ class _StreamReader(DataSourceStreamReader):
     The offset of the stream is the position in each file and the packets up to it.
     """
 
-    def __init__(self, path: str, most: int):
-        self.path, self.most = path, most
+    def __init__(self, path: str):
+        self.path = path
 
     def initialOffset(self) -> dict:
         return {}
@@ -108,7 +108,7 @@ class _StreamReader(DataSourceStreamReader):
             at, count = start.get(path, [0, 0])
             end, size = at, os.path.getsize(path)
             with open(path, "rb") as file:
-                while end + 4 <= size and end - at < self.most:
+                while end + 4 <= size:
                     file.seek(end)
                     head = file.read(4)
                     step = 4 + int.from_bytes(head[:3], "little")
@@ -133,10 +133,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class BinlogDataSource(DataSource):
-    """``spark.read.format("binlog").load(path)``: packets of a file, a folder or a pattern, a partition for each file.
-
-    ``maxBytesPerTrigger`` bounds what a stream takes of each file at once.
-    """
+    """``spark.read.format("binlog").load(path)``: packets of a file, a folder or a pattern, a partition for each file."""
 
     @classmethod
     def name(cls) -> str:
@@ -149,7 +146,7 @@ class BinlogDataSource(DataSource):
         return _Reader(self.options["path"])
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _StreamReader(self.options["path"], int(self.options.get("maxbytespertrigger", self.options.get("maxBytesPerTrigger", 64 << 20))))
+        return _StreamReader(self.options["path"])
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
@@ -158,10 +155,10 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binlog").load(path)
 
 
-def stream_packets(spark: SparkSession, path: str, **options) -> DataFrame:
+def stream_packets(spark: SparkSession, path: str) -> DataFrame:
     """The packets as a stream."""
     spark.dataSource.register(BinlogDataSource)
-    return spark.readStream.format("binlog").options(**options).load(path)
+    return spark.readStream.format("binlog").load(path)
 
 
 # -- synthetic logs -----------------------------------------------------------
