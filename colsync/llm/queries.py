@@ -74,6 +74,34 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NOT_SPACE = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_GROUPS_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_NOT_SPACE}') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, shingle FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+    SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id, any_value(same) AS n_same
+    FROM reach JOIN (SELECT doc_id AS a, count(*) OVER (PARTITION BY CASE WHEN k IS NULL THEN doc_id::VARCHAR ELSE k END) AS same FROM documents LEFT JOIN (SELECT doc_id, 'k' || string_agg(shingle, chr(1) ORDER BY shingle) AS k FROM s GROUP BY doc_id) USING (doc_id)) USING (a)
+    JOIN documents ON doc_id = a LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+_HITS_SQL = f"""
+    WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM documents),
+    i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM benchmark),
+    windows AS MATERIALIZED (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS words FROM (SELECT *, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+    found AS MATERIALIZED (
+        SELECT doc_id, k, windows.n, item FROM (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS words FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)) JOIN windows USING (n, words)),
+    hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -88,6 +116,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_jaccard": _GROUPS_SQL,
+    "op5_decontaminate": _HITS_SQL,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
