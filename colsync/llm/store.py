@@ -36,19 +36,22 @@ class Scratch:
         self._made += 1
         path = f"{self.path}/{self._made:04d}-{name}"
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        """Let go of the shuffle files of steps that are written: Spark deletes them once the driver has collected its garbage."""
+        """Let go of the shuffle files of steps that are written.
+
+        Spark deletes them once the driver has collected the plan of the step as
+        garbage; a small query makes it forget the last one.
+        """
         gc.collect()
         self.spark._jvm.System.gc()
+        self.spark.range(1).collect()
+        self.spark._jvm.System.gc()
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later step reads."""
-        for table in tables:
-            remove(self.spark, table.scratch_path)
+    def clear(self) -> None:
+        """Delete all tables, when nothing reads them any more."""
+        remove(self.spark, self.path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
