@@ -102,6 +102,33 @@ _HITS_SQL = f"""
     FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+_MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+_NORMAL = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+
+_REPLIES_SQL = rf"""
+    WITH RECURSIVE m AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM conversations),
+    l AS MATERIALIZED (
+        SELECT conv_id, turn, i, len(regexp_replace(regexp_extract(line, '{_MARKS}', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '{_MARKS}', '') AS says
+        FROM (SELECT conv_id, turn, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM m)),
+    own AS MATERIALIZED (SELECT conv_id, turn, regexp_replace(string_agg(says, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS content FROM l WHERE level = 0 GROUP BY ALL),
+    said AS MATERIALIZED (
+        SELECT DISTINCT conv_id, turn, {_NORMAL.format("part")} AS words
+        FROM (SELECT conv_id, turn, unnest(list_concat([content], string_split_regex(content, '\n\s*\n'), string_split(content, chr(10)))) AS part FROM own)),
+    q AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS block FROM l WHERE level > 0),
+    quotes AS MATERIALIZED (
+        SELECT DISTINCT * FROM (
+            SELECT conv_id, turn, level, 0 AS part, {_NORMAL.format("string_agg(says, ' ' ORDER BY i)")} AS words FROM q GROUP BY conv_id, turn, block, level
+            UNION ALL SELECT conv_id, turn, level, 1, {_NORMAL.format("says")} FROM q) WHERE words <> ''),
+    links AS (SELECT c.conv_id, c.turn, c.level, c.part, c.words, max(s.turn) AS found FROM quotes c JOIN said s ON s.conv_id = c.conv_id AND s.words = c.words AND s.turn < c.turn GROUP BY ALL),
+    best AS MATERIALIZED (SELECT conv_id, turn, arg_min(found, (level, part, -found)) AS parent, count(*) AS n_linked FROM links GROUP BY ALL),
+    chain AS (SELECT conv_id, turn, parent AS root, 1 AS depth FROM best UNION ALL SELECT c.conv_id, c.turn, b.parent, c.depth + 1 FROM chain c JOIN best b ON b.conv_id = c.conv_id AND b.turn = c.root),
+    ends AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM chain GROUP BY ALL),
+    counts AS (SELECT conv_id, turn, count(*) FILTER (part = 0) AS n_quotes, max(level)::BIGINT AS max_level FROM quotes GROUP BY ALL)
+    SELECT conv_id, turn, role, coalesce(content, '') AS content, coalesce(n_quotes, 0) AS n_quotes, coalesce(max_level, 0) AS max_level, coalesce(n_linked, 0) AS n_linked,
+           parent AS reply_to, coalesce(root, turn) AS root_turn, coalesce(depth, 0)::BIGINT AS depth
+    FROM m LEFT JOIN own USING (conv_id, turn) LEFT JOIN counts USING (conv_id, turn) LEFT JOIN best USING (conv_id, turn) LEFT JOIN ends USING (conv_id, turn)"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -118,6 +145,7 @@ QUERIES = {
 ORACLES = {
     "op2_ngram_jaccard": _GROUPS_SQL,
     "op5_decontaminate": _HITS_SQL,
+    "op6_quotations": _REPLIES_SQL,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -3,10 +3,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from colsync.llm import quotations
-from colsync.llm.queries import op6_quotations
+from colsync.llm.queries import ORACLES, op6_quotations
 
 SF = "/root/testdata/sf0.01"
 COLUMNS = ["conv_id", "turn", "role", "content", "n_quotes", "max_level", "n_linked", "reply_to", "root_turn", "depth"]
@@ -102,6 +103,13 @@ def test_nested_quotes_and_edges(spark, monkeypatch, stretch):
     found = got(quotations.link_quotations(df))
     assert found == brute(rows)
     assert any(r[-1] > 1 for r in found) and any(r[5] > 1 for r in found)
+    plain_rows = [r for r in rows if None not in r[:2] and r[0] != 92]  # one row for each turn
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", plain_rows)
+    rel = con.execute(ORACLES["op6_quotations"])
+    names = [c[0] for c in rel.description]
+    assert sorted((tuple(dict(zip(names, r, strict=True))[c] for c in COLUMNS) for r in rel.fetchall()), key=str) == brute(plain_rows)
     assert quotations.link_quotations(df.limit(0)).count() == 0
 
 
