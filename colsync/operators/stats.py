@@ -46,3 +46,8 @@ def block_study(columns: DataFrame, value: str, keys: list[str], sizes: tuple[in
     by = [*keys, "block_size", "codec"]
     totals = measured.groupBy(*by).agg(F.sum("ori_len").alias("ori_len"), F.sum("cmpr_len").alias("cmpr_len"), (F.sum("ori_len") / F.sum("seconds")).alias("compress_bw"), (F.sum("ori_len") / F.sum("decode_seconds")).alias("decompress_bw"))
     return totals.join(ratio_stats(measured, by, F.col("cmpr_len") / F.col("ori_len")), by)
+
+
+def phase_totals(timings: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """Seconds of each phase by name, and how often it ran: ``timings`` has a row for each run."""
+    return timings.groupBy(by).agg(F.count("*").alias("runs"), *[F.sum(c).alias(c) for c in columns])

@@ -82,6 +82,20 @@ def token_bucket(df: DataFrame, by: list[str], order: list[str], size: str, at:
     return folded.select(*by, F.col("_s.n").alias("n_writes"), F.round("_s.waited", 6).alias("waited_s"), F.round("_s.tokens", 6).alias("tokens"))
 
 
+def bandwidth_feedback(df: DataFrame, by: list[str], order: list[str], size: Column, seconds: Column, at: Column, start: float, least: int = 0, idle: float = 5.0) -> DataFrame:
+    """``bandwidth`` that a planner knows after each send: that of the last send of ``least`` bytes or more.
+
+    Before the first such send, and after a pause of more than ``idle`` seconds, it is ``start``.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumn("_at", at).withColumn("_m", F.when(size >= least, throughput(size, seconds)))
+    paused = F.coalesce((F.col("_at") - F.lag("_at").over(w)) > idle, F.lit(False)).cast("int")
+    spans = rows.withColumn("_p", paused).withColumn("_span", F.sum("_p").over(so_far))
+    within = Window.partitionBy(*by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return spans.withColumn("bandwidth", F.coalesce(F.last("_m", ignorenulls=True).over(within), F.lit(float(start)))).drop("_at", "_m", "_p", "_span")
+
+
 def received_metrics(packages: DataFrame) -> DataFrame:
     """What the receiver reports for each package: latency, gain, throughput."""
     latency = latency_seconds(F.col("start_ts"), F.col("tran_start_ts"), F.col("cmpr_len"), F.col("cmpr_threads"), F.col("net_bw"))

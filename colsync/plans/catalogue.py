@@ -582,6 +582,35 @@ def completion_check(spark, sf_dir):
     return done.select("block_no", "received", "done")
 
 
+@query("""
+    WITH e AS (SELECT user_id, event_id, (24 + strlen(props))::DOUBLE AS n, floor(epoch(ts))::BIGINT AS t FROM events),
+    p AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY event_id) > 5 THEN 1 ELSE 0 END AS p FROM e),
+    s AS (SELECT *, sum(p) OVER (PARTITION BY user_id ORDER BY event_id) AS span FROM p)
+    SELECT event_id, round(coalesce(last_value(CASE WHEN n >= 32 THEN n / 0.25 END IGNORE NULLS) OVER (PARTITION BY user_id, span ORDER BY event_id), 1000.0), 6) AS bandwidth FROM s""")
+def bandwidth_feedback(spark, sf_dir):
+    """The bandwidth known after each send, reset by pauses."""
+    e = table(spark, sf_dir, "events")
+    out = transport.bandwidth_feedback(e, ["user_id"], ["event_id"], F.octet_length("props") + 24, F.lit(0.25), seconds("ts"), 1000.0, 32)
+    return out.select("event_id", F.round("bandwidth", 6).alias("bandwidth"))
+
+
+@query("""SELECT doc_id, part, CASE part WHEN 0 THEN 0 WHEN 1 THEN n * 50 // 100 ELSE n * 80 // 100 END AS lo, CASE part WHEN 0 THEN n * 50 // 100 WHEN 1 THEN n * 80 // 100 ELSE n END AS hi
+    FROM (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n, unnest([0, 1, 2]) AS part FROM documents)""")
+def percent_split(spark, sf_dir):
+    """Texts split 50 : 30 : 20 by bytes."""
+    n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    parts = lightweight.percent_split(n, [50, 30, 20])
+    ranges = F.array(*[F.struct(F.lit(i).alias("part"), lo.alias("lo"), hi.alias("hi")) for i, (lo, hi) in enumerate(parts)])
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(ranges).alias("r")).select("doc_id", "r.*")
+
+
+@query("SELECT event_type AS phase, count(*) AS runs, round(sum(value), 4) AS seconds FROM events GROUP BY 1")
+def phase_totals(spark, sf_dir):
+    """Sums of timings by phase."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), F.col("value").alias("seconds"))
+    return stats.phase_totals(e, "phase", ["seconds"]).withColumn("seconds", F.round("seconds", 4))
+
+
 # -- codecs and containers ------------------------------------------------------
 
 

@@ -169,3 +169,12 @@ def test_block_study(spark):
     df = spark.createDataFrame([("a", b"abc" * 1000), ("b", b"")], "column_name string, v binary")
     got = {(r.block_size, r.codec): r for r in stats.block_study(df, "v", ["column_name"], (100, 1000), (151, 153)).collect()}
     assert got[100, 151].n == 30 and got[100, 151].mean == 1.0 and got[1000, 153].largest < 0.2
+
+
+def test_sizes_and_modes():
+    from colsync.plans import pipeline
+
+    assert pipeline.parse_size("10*1024*1024") == 10 << 20 and pipeline.parse_size("7") == 7
+    assert {"normal", "zstd1", "zstd22", "lzo", "oneBest", "multiBest", "flate"} <= set(pipeline.MODES)
+    with pytest.raises(ValueError):
+        pipeline.parse_size("1+1")
