@@ -129,6 +129,31 @@ _REPLIES_SQL = rf"""
     FROM m LEFT JOIN own USING (conv_id, turn) LEFT JOIN counts USING (conv_id, turn) LEFT JOIN best USING (conv_id, turn) LEFT JOIN ends USING (conv_id, turn)"""
 
 
+def _secrets_sql() -> str:
+    """Secrets in SQL: places are sums of the matches and of the pieces between them; word bounds stand for look-around."""
+    found, ok = [], []
+    for number, kind in enumerate(secrets.KINDS):
+        pattern = kind.pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b").replace("(?<![A-Za-z0-9+/_-])", "").replace("'", "''")
+        found.append(f"SELECT doc_id, {number} AS kind, regexp_extract_all(t, '{pattern}') AS hits, regexp_extract_all(t, '{pattern}', {kind.group}) AS parts, string_split_regex(t, '{pattern}') AS gaps FROM d")
+        ok.append(f"(kind = {number} AND length(part) >= {kind.least}" + "".join(f" AND regexp_matches(hit, '{h}')" for h in kind.has) + ")")
+    names = ", ".join(f"'{k.name}'" for k in secrets.KINDS)
+    roles = ", ".join(f"'{k.role}'" for k in secrets.KINDS)
+    listed = f"string_agg([{names}][kind + 1] || ':' || lo || ':' || hi, ',' ORDER BY lo, kind)"
+    n = len(secrets.BASE)
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    f AS ({" UNION ALL ".join(found)}),
+    e AS (SELECT doc_id, kind, i, hits[i] AS hit, parts[i] AS part, gaps[i] AS gap FROM (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM f)),
+    s AS MATERIALIZED (SELECT doc_id, kind, hi - length(hit) AS lo, hi, [{roles}][kind + 1] AS role, kind < {n} AS base FROM (
+        SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS hi FROM e) WHERE {" OR ".join(ok)}),
+    j AS (SELECT w.doc_id, w.kind, w.lo, w.hi, bool_or(o.base AND o.lo < w.hi AND w.lo < o.hi) AS inside,
+                 bool_or(o.base AND o.role <> w.role AND (o.hi <= w.lo OR w.hi <= o.lo)) AS strong, count(DISTINCT o.role) FILTER (o.role <> w.role AND (o.hi <= w.lo OR w.hi <= o.lo)) AS roles
+          FROM s w JOIN s o ON o.doc_id = w.doc_id AND o.lo <= w.hi + {secrets.SCOPE} AND w.lo <= o.hi + {secrets.SCOPE} WHERE NOT w.base GROUP BY w.doc_id, w.kind, w.lo, w.hi),
+    a AS (SELECT doc_id, kind, lo, hi FROM s WHERE base UNION ALL SELECT doc_id, kind, lo, hi FROM j WHERE NOT inside AND (strong OR roles >= 2)),
+    g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.BASE))}, {listed} FILTER (kind < {n}) AS base, {listed} AS every FROM a GROUP BY doc_id)
+    SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -144,6 +169,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_ngram_jaccard": _GROUPS_SQL,
+    "op4_secrets": _secrets_sql(),
     "op5_decontaminate": _HITS_SQL,
     "op6_quotations": _REPLIES_SQL,
     "op8_exact_dedup": """

@@ -51,7 +51,7 @@ KINDS = (
     Kind("key", "secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}", (), 0, 24, ("[0-9]", "[a-z]", "[A-Z]"), base=False),
     Kind("pass", "secret", r"""(?<![A-Za-z0-9_])(?i:(?:pwd|pass|passphrase|private_?key))["']?\x20*[:=]\x20*["']?([^\s"']{6,})""", (":", "="), 1, 6, base=False),
     Kind("url", "endpoint", r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""", ("://",), 0, 0, base=False),
-    Kind("host", "endpoint", r"(?<![A-Za-z0-9.:/-])(?:[A-Za-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}(?![A-Za-z0-9_])", (":",), 0, 0, base=False),
+    Kind("host", "endpoint", r"(?<![A-Za-z0-9_])[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[a-z]{2,}:[0-9]{2,5}(?![A-Za-z0-9_])", (":",), 0, 0, base=False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 _ROLES = {"identifier": 0, "secret": 1, "endpoint": 2}

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 
+import duckdb
+
 from colsync.llm import secrets
-from colsync.llm.queries import op4_secrets
+from colsync.llm.queries import ORACLES, op4_secrets
 
 SF = "/root/testdata/sf0.01"
 NAMES = [k.name for k in secrets.KINDS]
@@ -71,5 +73,13 @@ def test_random_and_odd_texts(spark):
     df = spark.createDataFrame([(a, t, "clash", "clash") for a, t in rows], "doc_id long, text string, key string, kind string")
     found = got(secrets.scan_secrets(df))
     assert found == sorted((want(*r) for r in rows), key=str)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    single = [r for r in rows if r[0] not in (7, None)]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", single)
+    rel = con.execute(ORACLES["op4_secrets"])
+    names = [c[0] for c in rel.description]
+    order = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert sorted((tuple(dict(zip(names, r, strict=True))[c] for c in order) for r in rel.fetchall()), key=str) == sorted((want(*r) for r in single), key=str)
     assert any("user:" in f[-1] for f in found) and any("url:" in f[-1] for f in found)
     assert secrets.scan_secrets(df.limit(0)).count() == 0
