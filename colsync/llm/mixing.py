@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsync.llm.store import Scratch
@@ -80,6 +80,12 @@ def _sized(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(word_counts(batch.column(2), NOT_SPACE))], names=["doc_id", "source", "size"])
 
 
+def seeded(id_col: str, seed: int) -> Column:
+    """A number of 60 bits for each id, from the MD5 of seed and id."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, weights: tuple = WEIGHTS, total: float | None = None, max_repeats: int = MAX_REPEATS, blocks: int = BLOCKS) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, quota_blocks, taken``.
 
@@ -96,7 +102,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sized = docs.select(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(_sized, "doc_id long, source string, size long")
     # ids, sources and sizes only: a few bytes a document, read three times below
     sized = Scratch(spark, "mix").put(sized)
-    keyed = sized.withColumn("u", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))))
+    keyed = sized.withColumn("u", seeded("doc_id", seed))
     found = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     rows = found.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
