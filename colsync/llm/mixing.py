@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colsync.llm.skew import MAX_BROADCAST_IDS
 from colsync.llm.store import Scratch
 from colsync.llm.words import NOT_SPACE, word_counts, word_slices
 
@@ -179,7 +180,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Documents of which nothing is taken are left out.  Ids must be unique and not null.
     """
     taken = mix_plan(docs, id_col, text_col, source_col, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = docs.join(taken, docs[id_col] == F.col("_id")).select(*[docs[f"`{c}`"] for c in docs.columns], "_size", "_taken")
+    taken = Scratch(docs.sparkSession, "mixed").put(taken)
+    few = taken.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS  # else texts and plan are both shuffled
+    rows = docs.join(F.broadcast(taken) if few else taken, docs[id_col] == F.col("_id")).select(*[docs[f"`{c}`"] for c in docs.columns], "_size", "_taken")
     whole = (F.col("_taken") / F.col("_size")).cast("int")
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     rows = rows.withColumn("_words", F.when(F.col("_pass") <= whole, F.lit(-1)).otherwise(F.col("_taken") % F.col("_size")).cast("long"))
