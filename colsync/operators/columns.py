@@ -84,7 +84,7 @@ def event_values(events: DataFrame, images: DataFrame | None = None) -> DataFram
     if given, add the user columns, named by ``column_key``.
     """
     from colsync.functions.binary import to_little_endian
-    from colsync.operators.events import VIEWS, view
+    from colsync.operators.events import view
     from colsync.sources.binlog import EVENTS
 
     keys = ["file", "packet_no"]
@@ -92,7 +92,6 @@ def event_values(events: DataFrame, images: DataFrame | None = None) -> DataFram
     head |= {n: F.expr(f"substring(body, {at - 5}, {size})") for n, (at, size) in HEADER_COLUMNS.items() if at > 5}
     head |= {name: F.when(F.col("event_type") == EVENTS[kind], F.col("data")) for kind, name in WHOLE_COLUMNS.items()}
     out = unpivot(events.where("event_type IS NOT NULL"), keys, head)
-    assert VIEWS
     maps, rows = view(events, "TABLE_MAP"), view(events, "WRITE_ROWS")
     part = lambda at, size: F.expr(f"substring(data, {at}, {size})")
     out = out.unionByName(unpivot(maps, keys, dict(zip(TABLE_COLUMNS, (part(1, 6), F.col("unused"), part(9, 1), F.col("db"), F.col("table_info")), strict=True))))

@@ -111,7 +111,7 @@ def chunks(data: bytes) -> Iterator[tuple[str, list[int], list[bytes]]]:
 def encode_blocks(columns: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Containers: ``*keys, n_events, ori_len, cmpr_len, container``.
 
-    ``columns`` are ``transpose``\\d columns, ``blocks`` have ``n_events`` and
+    ``columns`` come from ``transpose``, ``blocks`` have ``n_events`` and
     ``ori_len``.  One group is one block.
     """
     joined = columns.select(*keys, "column_name", "values", "lens", "places").join(blocks.select(*keys, "n_events", F.col("ori_len").alias("_ori")), keys)

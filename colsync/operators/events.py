@@ -96,7 +96,10 @@ def raw(events: DataFrame, fail_fast: bool = False) -> DataFrame:
     """What no view covers: other packets, and events of other kinds."""
     other = F.col("event_type").isNull() | ~F.col("event_type").isin(*HANDLED)
     rows = events.where(other).select("file", "packet_no", "flag", "event_type", "body")
-    return rows.withColumn("body", F.when(F.lit(fail_fast), F.raise_error(F.concat(F.lit("no view for event type "), F.coalesce(F.col("event_type").cast("string"), F.lit("none"))))).otherwise(F.col("body"))) if fail_fast else rows
+    if not fail_fast:
+        return rows
+    said = F.concat(F.lit("no view for event type "), F.coalesce(F.col("event_type").cast("string"), F.lit("none")))
+    return rows.withColumn("body", F.raise_error(said).cast("binary"))
 
 
 def event_counts(events: DataFrame) -> DataFrame:

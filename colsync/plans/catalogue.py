@@ -647,9 +647,11 @@ def container_roundtrip(spark, sf_dir):
     return joined.groupBy("file").agg(F.count("*").alias("n_packets"), F.sum(F.octet_length("packet")).cast("long").alias("n_bytes"), F.min(F.col("packet").eqNullSafe(F.col("want"))).alias("same"))
 
 
-def _pipeline_bytes(spark, sf_dir, transposed: bool):
+def _pipeline_bytes(spark, sf_dir, transposed: bool, mode: str = "zstd"):
     packets = logs.table_packets(table(spark, sf_dir, "orders"), logs.ORDERS, F.col("o_orderpriority"), ["o_orderkey"])
-    options = pipeline.Options(mode="zstd", transposed=transposed, block_bytes=FIXED_BYTES)
+    options = pipeline.Options(mode=mode, transposed=transposed, block_bytes=FIXED_BYTES, bandwidth=BANDWIDTH)
+    if mode == pipeline.NORMAL:
+        options.profile = _profile(spark, pipeline.cut_columns(packets, options)[0])
     sent = pipeline.run(packets, options).packages
     return sent.groupBy("file").agg(F.sum("ori_len").cast("long").alias("ori_len"), F.min(F.octet_length("header")).alias("header_bytes"))
 
@@ -663,6 +665,12 @@ def pipeline_transposed(spark, sf_dir):
     return _pipeline_bytes(spark, sf_dir, True)
 
 
+@query(_SENT)
+def pipeline_normal(spark, sf_dir):
+    """The same with a codec mix by linear program for each block of raw bytes."""
+    return _pipeline_bytes(spark, sf_dir, False, pipeline.NORMAL)
+
+
 @query(_SENT)
 def pipeline_untransposed(spark, sf_dir):
     """The same in fixed blocks of the raw stream."""

@@ -1,6 +1,5 @@
 """Packets to rows and back: decoding against the tables that were encoded, containers byte for byte, streams against batches."""
 
-import os
 from datetime import datetime
 from decimal import Decimal
 
@@ -70,9 +69,8 @@ def test_source_and_views(spark, log):
     assert registry == {7: info}
     images = rows.row_images(events.view(heads, "WRITE_ROWS"), registry)
     typed = rows.typed_rows(images, info, ["id", "name", "half", "at"]).orderBy("id").collect()
-    when = datetime.fromtimestamp(1_700_000_000, tz=None).replace(microsecond=0)
     assert [(r.id, r.name, r.half) for r in typed] == [(1, "ab", 0.5), (2, "", 1.0), (3, None, 1.5)]
-    assert typed[0].at.microsecond == 1 and abs((typed[0].at - when).total_seconds()) < 86_400
+    assert typed[0].at == datetime(2023, 11, 14, 22, 13, 20, 1)
     counts = {r.event_name: r.n_events for r in events.event_counts(heads).collect()}
     assert counts["WRITE_ROWS"] == 2 and counts["OTHER"] == 1
 
@@ -166,4 +164,3 @@ def test_vectors():
     for value, p, s in ((Decimal("12345678901234.5678"), 18, 4), (Decimal("-0.05"), 4, 2), (Decimal("0"), 10, 0), (Decimal("-999999999.99"), 11, 2), (Decimal("7"), 65, 30)):
         text = mysql.decimal_text(mysql.pack_decimal(value, p, s), p, s)
         assert Decimal(text) == value and text.startswith("-") == (value < 0)
-    assert os.path.basename(__file__)
