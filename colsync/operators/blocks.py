@@ -2,8 +2,9 @@
 
 Fixed cuts are arithmetic on offsets.  The greedy cut at packet boundaries
 depends on each block before it, so it folds over an index of short rows,
-offset, length and class, one file at a time; block ends are found by binary
-search on the offsets, a step for each block and not for each packet.
+offset, length and class, one file at a time and a batch at a time; block ends
+are found by binary search on the offsets, a step for each block and not for
+each packet.
 """
 
 from __future__ import annotations
@@ -30,31 +31,53 @@ def fixed_blocks(index: DataFrame, size: int, by: list[str]) -> DataFrame:
     return touched.groupBy(*by, "block_no").agg(F.count("*").alias("n_packets"), F.sum(high - low).cast("long").alias("ori_len"))
 
 
-def cut(offsets: np.ndarray, lengths: np.ndarray, kinds: np.ndarray, size: int) -> np.ndarray:
-    """The block of each packet: it takes packets of one kind while they begin at most ``size`` bytes after its start.
+class Cutter:
+    """Blocks of one file, from batches of its packets in order: what it keeps is where the open block began.
 
-    So a block goes over ``size`` by one packet at most.
+    A block takes packets of one kind while they begin at most ``size`` bytes
+    after its start, so it goes over ``size`` by one packet at most.
     """
-    n = len(offsets)
-    change = np.append(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1, n)
-    out, at, number = np.empty(n, np.int64), 0, 0
-    while at < n:
-        to = min(int(np.searchsorted(offsets, offsets[at] + size, side="right")), int(change[np.searchsorted(change, at, side="right")]))
-        out[at:to] = number
-        at, number = to, number + 1
-    return out
+
+    def __init__(self, size: int):
+        self.size, self.number, self.start, self.kind = size, -1, 0, None
+
+    def cut(self, offsets: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The block of each packet of the next batch."""
+        n = len(offsets)
+        change = np.append(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1, n)
+        out, at = np.empty(n, np.int64), 0
+        while at < n:
+            if self.number < 0 or kinds[at] != self.kind or offsets[at] > self.start + self.size:
+                self.number, self.start, self.kind = self.number + 1, int(offsets[at]), kinds[at]
+            to = min(int(np.searchsorted(offsets, self.start + self.size, side="right")), int(change[np.searchsorted(change, at, side="right")]))
+            out[at:to] = self.number
+            at = to
+        return out
 
 
 def bound_blocks(index: DataFrame, size: int) -> DataFrame:
-    """The block of each packet: ``file, packet_no, block_no, class``; ``index`` has ``file, packet_no, offset, packet_len, class``."""
+    """The block of each packet: ``file, packet_no, block_no, offset, packet_len, class``; ``index`` has all but the block.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("packet_no")
-        number = cut(rows["offset"].to_numpy(), rows["packet_len"].to_numpy(), rows["class"].to_numpy(), size)
-        return pd.DataFrame({"file": rows["file"], "packet_no": rows["packet_no"], "block_no": number, "offset": rows["offset"], "packet_len": rows["packet_len"], "class": rows["class"]})
+    The packets of a file stream through one task in order; it holds a batch of
+    them at a time, however long the file is.
+    """
 
-    schema = "file string, packet_no long, block_no long, offset long, packet_len long, class boolean"
-    return index.select("file", "packet_no", "offset", "packet_len", "class").groupBy("file").applyInPandas(fold, schema)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, cutter = None, Cutter(size)
+        for rows in batches:
+            names = rows["file"].to_numpy()
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(rows)]
+            number = np.empty(len(rows), np.int64)
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if names[a] != file or cutter.number < 0:
+                    file, cutter = names[a], Cutter(size)
+                number[a:b] = cutter.cut(rows["offset"].to_numpy()[a:b], rows["class"].to_numpy()[a:b])
+            yield pd.DataFrame({"file": rows["file"], "packet_no": rows["packet_no"], "block_no": number, "offset": rows["offset"], "packet_len": rows["packet_len"], "class": rows["class"]})
+
+    ordered = index.select("file", "packet_no", "offset", "packet_len", "class").repartition("file").sortWithinPartitions("file", "packet_no")
+    return ordered.mapInPandas(fold, "file string, packet_no long, block_no long, offset long, packet_len long, class boolean")
 
 
 def block_summary(cut_packets: DataFrame, start: int = 0, interval_ms: int = 0) -> DataFrame:

@@ -61,7 +61,11 @@ def test_greedy_cut():
             if i and (offsets[i] - offsets[start] > size or kinds[i] != kinds[start]):
                 start, number = i, number + 1
             want.append(number)
-        assert blocks.cut(offsets, lengths, kinds, size).tolist() == want
+        cutter, got = blocks.Cutter(size), []
+        parts = sorted({0, n, *(rng.randint(0, n) for _ in range(rng.randint(0, 4)))})
+        for a, b in zip(parts, parts[1:], strict=False):
+            got += cutter.cut(offsets[a:b], kinds[a:b]).tolist()
+        assert got == want
 
 
 @pytest.mark.parametrize(
