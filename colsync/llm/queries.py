@@ -16,13 +16,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents by source, language and tokenizer version; see ``token_counts``.
 
-    The corpus enters a fresh rollup in its three batches; the last is sent
-    again and does not count twice.
+    All documents enter a fresh rollup in two batches, those without tokens
+    too; the last is sent again and does not count twice.
     """
     scratch = Scratch(spark, "tokens")
     counted = scratch.put(token_counts.count_tokens(_table(spark, sf_dir, "documents")), "counted")
     rollup = token_counts.TokenRollup(spark, f"{scratch.path}/rollup")
-    for name, changes in token_counts.corpus_changes(counted).items():
+    for name, changes in token_counts.document_changes(counted).items():
         rollup.apply(name, changes)
     rollup.apply(name, changes)
     return rollup.totals()

@@ -24,7 +24,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colsync.llm.store import remove
@@ -159,17 +159,24 @@ class TokenRollup:
         self._commit(f"snapshot.{len(covers):09d}.{uuid.uuid4().hex}", json.dumps({"table": table, "covers": covers}))
 
 
-def corpus_changes(counted: DataFrame) -> dict[str, DataFrame]:
-    """The batches by which a corpus enters a rollup, in order.
+def document_changes(counted: DataFrame) -> dict[str, DataFrame]:
+    """The batches by which all documents enter a rollup, in order.
 
     Documents arrive with an estimate of a token for every four bytes; the exact
-    count revises it; documents that turn out to have no tokens are deleted.
+    count revises it.  Those without tokens stay as documents of 0 tokens, so
+    ``docs`` sums to the number of rows.
     """
     estimate = F.ceil(F.col("n_bytes") / 4).cast("long")
-    none = F.lit(None).cast("long")
-    change = lambda rows, op, before, after: rows.select(F.lit(op).alias("op"), *KEYS, before.alias("tokens_before"), after.alias("tokens_after"))
     return {
-        "arrival": change(counted, "insert", none, estimate),
-        "recount": change(counted.where(estimate != F.col("n_tokens")), "revise", estimate, F.col("n_tokens")),
-        "empty": change(counted.where("n_tokens = 0"), "delete", F.col("n_tokens"), none),
+        "arrival": _change(counted, "insert", F.lit(None).cast("long"), estimate),
+        "recount": _change(counted.where(estimate != F.col("n_tokens")), "revise", estimate, F.col("n_tokens")),
     }
+
+
+def corpus_changes(counted: DataFrame) -> dict[str, DataFrame]:
+    """``document_changes``, and a batch that deletes the documents that turn out to have no tokens."""
+    return document_changes(counted) | {"empty": _change(counted.where("n_tokens = 0"), "delete", F.col("n_tokens"), F.lit(None).cast("long"))}
+
+
+def _change(rows: DataFrame, op: str, before: Column, after: Column) -> DataFrame:
+    return rows.select(F.lit(op).alias("op"), *KEYS, before.alias("tokens_before"), after.alias("tokens_after"))

@@ -87,3 +87,10 @@ def test_failed_attempt_leaves_no_trace(spark, tmp_path):
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 1, 3)]
     with pytest.raises(ValueError):
         rollup.apply("../x", spark.createDataFrame([], schema))
+
+
+def test_documents_without_tokens_count(spark, tmp_path):
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "one two", "en", "b"), (4, "", "en", "b"), (5, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.lang): (r.docs, r.tokens) for r in op1_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {("a", "en"): (2, 0), ("b", "en"): (2, 2), (None, None): (1, 0)}
