@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colsync.llm.skew import MAX_BROADCAST_IDS, without_ids
 from colsync.llm.store import Scratch
 from colsync.llm.words import NOT_SPACE, word_counts, word_slices
 
@@ -28,6 +29,8 @@ MAX_REPEATS = 3
 BLOCKS = 1 << 20
 SHARD_DOCS = 4096
 SEED = 7
+#: Plan rows of one repeated row that are given its text together.
+LOT = 1000
 #: Sources whose totals the driver works on: one short row each.
 MAX_SOURCES = 1_000_000
 
@@ -77,16 +80,16 @@ def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray | None = None
 
 def _sized(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(word_counts(batch.column(2), NOT_SPACE))], names=["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(word_counts(batch.column(2), NOT_SPACE)), *batch.columns[3:]], names=["doc_id", "source", "size", *batch.schema.names[3:]])
 
 
-def seeded(id_col: str, seed: int) -> Column:
-    """A number of 60 bits for each id, from the MD5 of seed and id."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def seeded(id_col: str, seed: int, *more: str) -> Column:
+    """A number of 60 bits for each id, from the MD5 of seed and id, and of further columns that tell rows of one id apart."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), *[F.concat(F.lit(":"), F.col(c).cast("string")) for c in more])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, weights: tuple = WEIGHTS, total: float | None = None, max_repeats: int = MAX_REPEATS, blocks: int = BLOCKS) -> DataFrame:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, weights: tuple = WEIGHTS, total: float | None = None, max_repeats: int = MAX_REPEATS, blocks: int = BLOCKS, keyed_rows: bool = False) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, quota_blocks, taken``.
 
     Sources are taken in the order of their code points, null last (a null
@@ -96,13 +99,19 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     included; it is at most ``max_repeats * size``.  The seed, ids and sizes
     fix the result; rows that repeat an id are ordered by size and are then
     interchangeable.  An empty table gives an empty plan, a source without
-    words a target of 0.
+    words a target of 0.  With ``keyed_rows`` the documents come from
+    ``_named``; the plan has their ``_same``, a ``_number`` within equal rows and
+    how many those are, and rows that share an id, or have none, are seeded each
+    by itself.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(_sized, "doc_id long, source string, size long")
+    row = ["_same"] if keyed_rows else []
+    sized = docs.select(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string"), *row).mapInArrow(_sized, "doc_id long, source string, size long" + ", _same string" * keyed_rows)
+    if keyed_rows:
+        sized = sized.withColumn("_row", F.monotonically_increasing_id())
     # ids, sources and sizes only: a few bytes a document, read three times below
     sized = Scratch(spark, "mix").put(sized)
-    keyed = sized.withColumn("u", seeded("doc_id", seed))
+    keyed = _numbered(sized).withColumn("u", seeded("doc_id", seed, "_same", "_number")) if keyed_rows else sized.withColumn("u", seeded("doc_id", seed))
     found = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     rows = found.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -125,7 +134,43 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     # one short row for each source, MAX_SOURCES at most
     dealt = keyed.join(F.broadcast(plan), keyed["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     dealt = dealt.withColumn("shard", F.pmod("u", "shards"))
-    return _selected(dealt, block, max_repeats).select("doc_id", "source", "size", "source_size", "target", "quota_blocks", "taken")
+    return _selected(dealt, block, max_repeats).select("doc_id", "source", "size", "source_size", "target", "quota_blocks", "taken", *(["_same", "_number", "_copies"] if keyed_rows else []))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_same``, 128 bits of hashes of all columns, which equal rows share; ids may be null or repeat."""
+    return docs.withColumn("_same", F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), *docs.columns)) for k in (1, 2)]))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Written rows with ``_number``, counted from 0 within equal rows, and their number ``_copies``.
+
+    The upper bits of ``_row`` name the task that wrote a row; no window holds more rows than one task wrote.
+    """
+    rows = rows.withColumn("_part", F.shiftrightunsigned("_row", 33))
+    equal = Window.partitionBy("_same")
+    before = F.sum("_n").over(equal.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("_same", "_part").agg(F.count("*").alias("_n")).select("_same", "_part", F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_n").over(equal).alias("_copies"))
+    within = F.row_number().over(Window.partitionBy("_same", "_part").orderBy("_row"))
+    return rows.withColumn("_within", within).join(starts, ["_same", "_part"]).withColumn("_number", F.col("_start") + F.col("_within") - 1).drop("_part", "_start", "_within", "_row")
+
+
+def _planned(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of ``_named`` with their ``_size`` and ``_taken`` from a written plan, each row once.
+
+    Of equal rows one text is read and given to all their plan rows, in lots, so that no task makes all of them.
+    """
+    columns = [*docs.columns, "_size", "_taken"]
+    used = plan.where("_taken > 0")
+    once, several = used.where("_copies = 1").select("_same", "_size", "_taken"), used.where("_copies > 1").withColumn("_lot", F.floor(F.col("_number") / LOT))
+    repeated = plan.where("_copies > 1").select("_same").distinct()
+    if repeated.isEmpty():
+        return docs.join(once, "_same").select(columns)
+    rows = without_ids(docs, repeated, "_same").join(once, "_same").select(columns)
+    few = repeated.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    one = docs.join(F.broadcast(repeated) if few else repeated, "_same", "left_semi").dropDuplicates(["_same"])
+    lots = several.select("_same", "_lot").distinct()
+    return rows.unionByName(one.join(lots, "_same").join(several, ["_same", "_lot"]).select(columns))
 
 
 def _selected(dealt: DataFrame, block: int, max_repeats: int) -> DataFrame:
@@ -156,7 +201,7 @@ def shards_to_docs(dealt: DataFrame, quotas: DataFrame, block: int, max_repeats:
     """``taken`` of each document: the whole passes over its shard, and its part of the blocks that are left."""
     q = quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_n"), "shard_size", "blocks")
     joined = dealt.join(q, dealt["source"].eqNullSafe(q["_s"]) & (dealt["shard"] == q["_n"])).drop("_s", "_n")
-    line = Window.partitionBy("source", "shard").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("source", "shard").orderBy("u", "doc_id", "size", *[c for c in ("_same", "_number") if c in dealt.columns]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum("size").over(line)
     words = F.least(F.col("blocks") * block, F.col("shard_size") * max_repeats)
     passes = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0)
@@ -176,10 +221,12 @@ def first_words(text: str, n: int) -> str:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as ``mix_plan`` takes all its words, and once more cut to the words that are left.
 
-    Documents of which nothing is taken are left out.  Ids must be unique and not null.
+    Documents of which nothing is taken are left out.  Rows are planned and
+    joined by a key of their own, so ids may be null or repeat.
     """
-    taken = mix_plan(docs, id_col, text_col, source_col, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = docs.join(taken, docs[id_col] == F.col("_id")).select(*[docs[f"`{c}`"] for c in docs.columns], "_size", "_taken")
+    named = _named(docs)
+    plan = mix_plan(named, id_col, text_col, source_col, keyed_rows=True, **options).select("_same", "_number", "_copies", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = _planned(named, Scratch(docs.sparkSession, "mix-plan").put(plan)).drop("_same")
     whole = (F.col("_taken") / F.col("_size")).cast("int")
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     rows = rows.withColumn("_words", F.when(F.col("_pass") <= whole, F.lit(-1)).otherwise(F.col("_taken") % F.col("_size")).cast("long"))
