@@ -345,11 +345,13 @@ def bit_counts(spark, sf_dir):
     SELECT doc_id, n AS value, CASE WHEN n < 251 THEN 1 WHEN n < 65536 THEN 3 WHEN n < 16777216 THEN 4 ELSE 9 END AS size, left(coalesce(text, ''), 20) AS head
     FROM (SELECT *, strlen(coalesce(text, '')) AS n FROM documents)""")
 def lenenc_size(spark, sf_dir):
-    """Length-encoded text lengths and strings, written and read again."""
+    """Lengths and whole texts, length-encoded and read again; a text that differs raises, and the head is that of the text read."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n, head = F.octet_length("text"), F.substring("text", 1, 20)
-    coded = d.select("doc_id", fb.to_length_encoded(n).alias("a"), n.alias("_n"), F.concat(fb.to_length_encoded(F.octet_length(head)), head.cast("binary")).alias("s"))
-    return coded.select("doc_id", fb.length_encoded_int("a", 1)["value"].cast("long").alias("value"), fb.length_encoded_size("_n").alias("size"), fb.length_encoded_string("s", 1).cast("string").alias("head"))
+    n = F.octet_length("text")
+    coded = d.select("doc_id", "text", fb.to_length_encoded(n).alias("a"), n.alias("_n"), F.concat(fb.to_length_encoded(n), F.col("text").cast("binary")).alias("s"))
+    read = fb.length_encoded_string("s", 1).cast("string")
+    head = F.when(read.eqNullSafe(F.col("text")), F.substring(read, 1, 20)).otherwise(F.raise_error(F.lit("a text was not read back whole")))
+    return coded.select("doc_id", fb.length_encoded_int("a", 1)["value"].cast("long").alias("value"), fb.length_encoded_size("_n").alias("size"), head.alias("head"))
 
 
 @query("SELECT n_nationkey, (n_nationkey * 1000003)::BIGINT AS le6, (n_nationkey * 70001 % 16777216)::BIGINT AS le3, ((n_nationkey * 257) % 65536)::BIGINT AS be2 FROM nation")

@@ -182,3 +182,16 @@ def test_sizes_and_modes():
     assert {"normal", "zstd1", "zstd22", "lzo", "oneBest", "multiBest", "flate"} <= set(pipeline.MODES)
     with pytest.raises(ValueError):
         pipeline.parse_size("1+1")
+
+
+def test_lenenc_reads_whole_texts_back(spark, tmp_path, monkeypatch):
+    from colsync.plans import catalogue
+
+    texts = [(1, "é" * 40_000), (2, "x" * 300), (3, None), (4, "y" * 17_000_000)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.value, r["size"], r["head"]) for r in catalogue.lenenc_size(spark, str(tmp_path)).collect()}
+    assert got == {1: (80_000, 4, "é" * 20), 2: (300, 3, "x" * 20), 3: (0, 1, ""), 4: (17_000_000, 9, "y" * 20)}
+    read = catalogue.fb.length_encoded_string
+    monkeypatch.setattr(catalogue.fb, "length_encoded_string", lambda data, at: catalogue.F.substring(read(data, at), 1, 200))
+    with pytest.raises(Exception, match="not read back whole"):
+        catalogue.lenenc_size(spark, str(tmp_path)).collect()
