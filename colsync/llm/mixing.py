@@ -190,7 +190,8 @@ def shard_quotas(shards: DataFrame, block: int, max_repeats: int) -> DataFrame:
         order = np.argsort(table.column("shard").to_numpy(), kind="stable")
         table = table.take(pa.array(order))
         size = table.column("shard_size").to_numpy()
-        most = max_repeats * size // block
+        # rounded up: a shard's words are held to its own limit in the end
+        most = -(-max_repeats * size // block)
         got = sainte_lague(size, int(table.column("quota_blocks")[0].as_py()), most)
         return pa.table({"source": table.column("source").cast(pa.string()), "shard": table.column("shard").cast(pa.int64()), "shard_size": pa.array(size, pa.int64()), "blocks": pa.array(got, pa.int64())})
 

@@ -86,3 +86,13 @@ def test_edges(spark, monkeypatch):
     by = {r.source: r for r in out}
     assert by[""].target == 0 and by[None].source_size == 2 and by["b"].source_size == 60002
     assert mixing.mix_plan(df.limit(0)).count() == 0
+
+
+def test_small_source_reaches_its_target(spark):
+    rows = [(i, "w " * 100, "big") for i in range(40)] + [(100, "w " * 5, "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = defaultdict(int)
+    for r in mixing.mix_plan(df, weights=(1, 1), blocks=200).collect():
+        assert r.taken <= 3 * r["size"]
+        taken[r.source] += r.taken
+    assert taken["small"] == 15
