@@ -10,7 +10,7 @@ are one window each and are looked up at their full length.
 
 The benchmark side goes to the executors in blocks of at most ``MAX_ITEM_WORDS``
 words, a proven bound; a larger benchmark takes further passes over the
-documents, whose partial results are merged by document.
+documents, whose results are carried along in the row.
 """
 
 from __future__ import annotations
@@ -163,12 +163,14 @@ def _found(index: ItemIndex, texts: pa.Array) -> tuple[np.ndarray, list, list]:
 
 
 def _scan(index):
-    """``_found`` for each batch of (id, text)."""
+    """``_found`` for each batch of rows, added to what earlier blocks of items have found in the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, spans, items = _found(index.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n_words), pa.array(spans, _OUT.field(2).type), pa.array(items, _OUT.field(3).type)], schema=_OUT)
+            spans = [_union(a, b) for a, b in zip(batch.column(3).to_pylist(), spans, strict=True)]
+            items = [sorted({*a, *b}) if a and b else a or b for a, b in zip(batch.column(4).to_pylist(), items, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), pa.array(spans, _OUT.field(2).type), pa.array(items, _OUT.field(3).type)], names=["doc_id", "text", *_OUT.names[1:]])
 
     return run
 
@@ -206,32 +208,28 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     stretch, one after the other, and ``items`` the benchmark items found;
     both are null where nothing was found.  Null and empty texts have no words.
     An empty benchmark finds nothing.  Items that repeat an id are one item;
-    those without an id make hits but are not listed.  Ids of documents must
-    be unique.
+    those without an id make hits but are not listed.  Every document row comes
+    out on its own, so ids may be null or repeat.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    parts = []
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("n_words", "long"), ("spans", "array<long>"), ("items", "array<string>"))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *none)
     for items in item_blocks(benchmark, item_col, item_text_col):
-        index = spark.sparkContext.broadcast(ItemIndex(items))
-        parts.append(source.mapInArrow(_scan(index), "doc_id long, n_words long, spans array<long>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    merged = merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", _union(F.col("spans")).alias("spans"), F.expr("CASE WHEN size(items) > 0 THEN items END").alias("items"))
-
-
-def _union(spans):
-    """Stretches of several passes over a document, sorted and joined where they touch; null for none."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(F.size(spans) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.struct(F.get(spans, (i * 2).cast("int")).alias("lo"), F.get(spans, (i * 2 + 1).cast("int")).alias("hi"))))
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x.lo <= F.element_at(acc, -1)),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), x.hi))),
-    ).otherwise(F.concat(acc, F.array(x.lo, x.hi)))
-    return F.when(F.size(spans) > 0, F.aggregate(pairs, F.array().cast("array<long>"), step))
+        rows = rows.mapInArrow(_scan(spark.sparkContext.broadcast(ItemIndex(items))), "doc_id long, text string, n_words long, spans array<long>, items array<string>")
+    return rows.drop("text")
+
+
+def _union(before: list[int] | None, more: list[int] | None) -> list[int] | None:
+    """Stretches of two passes over a document, sorted and joined where they touch; null for none."""
+    if not before or not more:
+        return before or more
+    out: list[int] = []
+    for lo, hi in sorted([*zip(before[::2], before[1::2], strict=True), *zip(more[::2], more[1::2], strict=True)]):
+        if out and lo <= out[-1]:
+            out[-1] = max(out[-1], hi)
+        else:
+            out += [lo, hi]
+    return out
 
 
 def digest(spans: DataFrame) -> DataFrame:

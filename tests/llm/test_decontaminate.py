@@ -76,3 +76,13 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([("x", "a b")], "item_id string, text string")
     assert decontaminate.contaminated_spans(d.limit(0), b).count() == 0
     assert [r.contaminated for r in decontaminate.digest(decontaminate.contaminated_spans(d, b.limit(0))).collect()] == [False]
+
+
+@pytest.mark.parametrize("most", [2_000_000, 15])
+def test_rows_without_own_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", most)
+    ten = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame([(None, ten), (None, "clean"), (1, "a " + ten + " b short item"), (1, "x y"), (1, "x y")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, ten), (2, ten.upper() + " eleven"), (3, "short item"), (4, "z " * 12)], "item_id long, text string")
+    rows = decontaminate.digest(decontaminate.contaminated_spans(d, b)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in rows) == [(0, 1, 0, 0), (0, 10, 10, 2), (1, 2, 0, 0), (1, 2, 0, 0), (1, 14, 12, 3)]
