@@ -40,11 +40,13 @@ def chunked(df: DataFrame, value: str, keys: list[str], sizes: tuple[int, ...])
 def block_study(columns: DataFrame, value: str, keys: list[str], sizes: tuple[int, ...], codecs: tuple[int, ...] = POOL) -> DataFrame:
     """Ratio (compressed over original) and speeds of each codec by block size.
 
-    Speeds of compression and of decompression each go by their own time.
+    Speeds of compression and of decompression each go by their own time; a time
+    too short for the clock gives none.
     """
     measured = measure(chunked(columns, value, keys, sizes), "chunk", [*keys, "block_size"], codecs)
     by = [*keys, "block_size", "codec"]
-    totals = measured.groupBy(*by).agg(F.sum("ori_len").alias("ori_len"), F.sum("cmpr_len").alias("cmpr_len"), (F.sum("ori_len") / F.sum("seconds")).alias("compress_bw"), (F.sum("ori_len") / F.sum("decode_seconds")).alias("decompress_bw"))
+    speed = lambda time: F.sum("ori_len") / F.nullif(F.sum(time), F.lit(0.0))
+    totals = measured.groupBy(*by).agg(F.sum("ori_len").alias("ori_len"), F.sum("cmpr_len").alias("cmpr_len"), speed("seconds").alias("compress_bw"), speed("decode_seconds").alias("decompress_bw"))
     return totals.join(ratio_stats(measured, by, F.col("cmpr_len") / F.col("ori_len")), by)
 
 

@@ -474,7 +474,7 @@ def lp_objective_switch(spark, sf_dir):
     WITH RECURSIVE v AS (SELECT user_id % 40 AS key, value, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS i FROM events),
     f AS (SELECT key, i, value AS kept, 1 AS changes FROM v WHERE i = 1
           UNION ALL
-          SELECT v.key, v.i, CASE WHEN abs(v.value - kept) / kept > 0.05 THEN v.value ELSE kept END, changes + CASE WHEN abs(v.value - kept) / kept > 0.05 THEN 1 ELSE 0 END FROM f JOIN v ON v.key = f.key AND v.i = f.i + 1)
+          SELECT v.key, v.i, CASE WHEN abs(v.value - kept) > 0.05 * abs(kept) THEN v.value ELSE kept END, changes + CASE WHEN abs(v.value - kept) > 0.05 * abs(kept) THEN 1 ELSE 0 END FROM f JOIN v ON v.key = f.key AND v.i = f.i + 1)
     SELECT key, arg_max(round(kept, 6), i) AS kept, arg_max(changes, i)::BIGINT AS changes FROM f GROUP BY key""")
 def profile_hysteresis(spark, sf_dir):
     """Measurements that change a kept value only when they are off by five percent."""
@@ -484,7 +484,8 @@ def profile_hysteresis(spark, sf_dir):
 
 @query("""
     SELECT event_type, count(*) AS n, round(avg(c), 9) AS mean_change FROM (
-        SELECT event_type, abs(value - lag(value) OVER w) / lag(value) OVER w AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) WHERE c <= 0.2 GROUP BY 1""")
+        SELECT event_type, CASE WHEN before <> 0 THEN abs(value - before) / nullif(value, 0) END AS c
+        FROM (SELECT event_type, value, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events)) WHERE c <= 0.2 GROUP BY 1""")
 def profile_drift(spark, sf_dir):
     """Mean of the small relative changes."""
     return profile.drift(table(spark, sf_dir, "events"), "value", ["event_type"], ["event_id"]).withColumn("mean_change", F.round("mean_change", 9))

@@ -44,10 +44,14 @@ def sample_plan(columns: DataFrame, missing: DataFrame, keys: list[str], unit: i
 
 
 def one_best(columns: DataFrame, profile: DataFrame, keys: list[str], bandwidth: float) -> DataFrame:
-    """The one codec of each block by ``min(w, compressed / time) * gain``; ties go to the lower id."""
+    """The one codec of each block by ``min(w, compressed / time) * gain``; ties go to the lower id.
+
+    A block without bytes has nothing to send: its scores are 0, and the lowest id is its codec.
+    """
     joined = columns.select(*keys, "column_name", "ori_len").join(profile, "column_name")
     summed = joined.groupBy(*keys, "codec").agg(F.sum("ori_len").alias("ori"), F.sum(F.col("ori_len") / F.col("gain")).alias("cmpr"), F.sum(F.col("ori_len") / F.col("bw")).alias("seconds"))
-    score = F.least(F.lit(float(bandwidth)), F.col("cmpr") / F.col("seconds")) * F.col("ori") / F.col("cmpr")
+    none = F.lit(0.0)
+    score = F.coalesce(F.least(F.lit(float(bandwidth)), F.col("cmpr") / F.nullif(F.col("seconds"), none)) * F.col("ori") / F.nullif(F.col("cmpr"), none), none)
     best = F.max_by(F.struct("codec", F.round("score", 3).alias("score")), F.struct(F.round("score", 3), -F.col("codec")))
     return summed.withColumn("score", score).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.codec", "b.score")
 

@@ -195,3 +195,22 @@ def test_lenenc_reads_whole_texts_back(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalogue.fb, "length_encoded_string", lambda data, at: catalogue.F.substring(read(data, at), 1, 200))
     with pytest.raises(Exception, match="not read back whole"):
         catalogue.lenenc_size(spark, str(tmp_path)).collect()
+
+
+def test_profiles_with_zeros_and_negative_values(spark):
+    values = [0.0, 0.0, 3.0, 3.1, 4.0, 0.0, -2.0, -2.05, -3.0, 0.0]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "k int, i int, v double")
+    kept, changes = None, 0
+    for v in values:
+        if kept is None or abs(v - kept) > 0.05 * abs(kept):
+            kept, changes = v, changes + 1
+    assert [tuple(r) for r in profile.fold_values(df, "v", ["k"], ["i"]).collect()] == [(1, kept, changes)]
+    small = [abs(b - a) / b for a, b in zip(values, values[1:]) if a and b and abs(b - a) / b <= profile.DRIFT]
+    [row] = profile.drift(df, "v", ["k"], ["i"]).collect()
+    assert row.n == len(small) and row.mean_change == pytest.approx(sum(small) / len(small))
+
+
+def test_blocks_without_bytes_have_a_codec(spark):
+    columns = spark.createDataFrame([(1, "a", 0), (2, "a", 100)], "block_no int, column_name string, ori_len long")
+    rates = spark.createDataFrame([("a", 152, 2.0, 1e6), ("a", 156, 1.5, 1e8)], "column_name string, codec int, gain double, bw double")
+    assert {r.block_no: (r.codec, r.score) for r in planner.one_best(columns, rates, ["block_no"], 2e6).collect()} == {1: (152, 0.0), 2: (156, 3e6)}
