@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+def fresh(columns: Iterable[str], name: str) -> str:
+    """A name like ``name`` that none of ``columns`` begins with, whatever its case; so ``name_x`` is free as well."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
+
 #: A group is hot when it holds over one row in this many; so there are fewer hot groups than this.
 HOT_SHARE = 1000
 
@@ -34,6 +44,7 @@ def without_ids(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     Up to ``MAX_BROADCAST_IDS`` the ids are broadcast, and the rows with their
     texts stay where they are; beyond, both sides are shuffled.
     """
-    gone = gone.select(F.col(gone.columns[0]).alias("_gone"))
+    name = fresh(rows.columns, "_gone")
+    gone = gone.select(F.col(f"`{gone.columns[0]}`").alias(name))
     few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return rows.join(F.broadcast(gone) if few else gone, rows[id_col] == F.col("_gone"), "left_anti")
+    return rows.join(F.broadcast(gone) if few else gone, rows[f"`{id_col}`"] == F.col(name), "left_anti")
