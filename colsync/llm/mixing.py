@@ -7,7 +7,10 @@ documents are laid end to end in seeded order and cut into blocks; a shard with
 more blocks to give than it has starts over, so parts of it repeat.
 
 A shard is a hash range of a source, of about ``SHARD_DOCS`` documents; a
-larger source has more shards, so that no window holds an unbounded group.
+larger source has more shards, up to ``MAX_SHARDS``, so that neither a window
+nor the list of a source's shards is long.  Blocks are short beside the target
+of the smallest source and beside the shards, so rounding to whole blocks costs
+no source more than about a hundredth of its target.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colsync.llm.skew import MAX_BROADCAST_IDS, without_ids
+from colsync.llm.skew import fresh
 from colsync.llm.store import Scratch
 from colsync.llm.words import NOT_SPACE, word_counts, word_slices
 
@@ -25,9 +28,10 @@ from colsync.llm.words import NOT_SPACE, word_counts, word_slices
 WEIGHTS = (5, 2, 1)
 #: A source gives at most this many times its own size.
 MAX_REPEATS = 3
-#: Blocks of the whole mix; a block has about total / BLOCKS tokens.
-BLOCKS = 1 << 20
-SHARD_DOCS = 4096
+#: Blocks of the whole mix, of the smallest target and of a source's mean shard, at least, as long as a block has a word.
+BLOCKS, TARGET_BLOCKS, SHARD_BLOCKS = 1 << 20, 100, 64
+#: Documents of a shard, about, and shards of a source at most.
+SHARD_DOCS, MAX_SHARDS = 4096, 1 << 16
 SEED = 7
 #: Plan rows of one repeated row that are given its text together.
 LOT = 1000
@@ -78,6 +82,14 @@ def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray | None = None
     return got
 
 
+def block_words(target: np.ndarray, size: np.ndarray, shards: np.ndarray, blocks: int = BLOCKS) -> int:
+    """Words of a block: few enough for the mix, for the smallest target and for the shards of each source."""
+    there = (target > 0) & (size > 0)
+    if not there.any():
+        return 1
+    return max(1, int(min(target.sum() // blocks, target[there].min() // TARGET_BLOCKS, (size[there] // shards[there]).min() // SHARD_BLOCKS)))
+
+
 def _sized(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(word_counts(batch.column(2), NOT_SPACE)), *batch.columns[3:]], names=["doc_id", "source", "size", *batch.schema.names[3:]])
@@ -99,8 +111,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     included; it is at most ``max_repeats * size``.  The seed, ids and sizes
     fix the result; rows that repeat an id are ordered by size and are then
     interchangeable.  An empty table gives an empty plan, a source without
-    words a target of 0.  With ``keyed_rows`` the documents come from
-    ``_named``; the plan has their ``_same``, a ``_number`` within equal rows and
+    words a target of 0.  Ids are whole numbers; very long texts count whole,
+    and other columns are not read.  With ``keyed_rows`` the documents are those of
+    ``mixed``; the plan has their ``_same``, a ``_number`` within equal rows and
     how many those are, and rows that share an id, or have none, are seeded each
     by itself.
     """
@@ -112,6 +125,12 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     # ids, sources and sizes only: a few bytes a document, read three times below
     sized = Scratch(spark, "mix").put(sized)
     keyed = _numbered(sized).withColumn("u", seeded("doc_id", seed, "_same", "_number")) if keyed_rows else sized.withColumn("u", seeded("doc_id", seed))
+    return apportioned(keyed, weights, total, max_repeats, blocks)
+
+
+def apportioned(keyed: DataFrame, weights: tuple = WEIGHTS, total: float | None = None, max_repeats: int = MAX_REPEATS, blocks: int = BLOCKS) -> DataFrame:
+    """The plan for rows ``doc_id, source, size`` that are ordered by their number ``u``."""
+    spark = keyed.sparkSession
     found = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     rows = found.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -119,7 +138,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
     size = np.array([r["source_size"] for r in rows], float)
     target = targets(size, np.array([weights[i % len(weights)] for i in range(len(rows))], float), total, max_repeats)
-    block = max(1, int(target.sum() // blocks))
+    shards = np.array([max(1, min(MAX_SHARDS, -(-r["n"] // SHARD_DOCS))) for r in rows], np.int64)
+    block = block_words(target, size, shards, blocks)
     quota = sainte_lague(target, int(round(target.sum() / block)))
     plan = pa.table(
         {
@@ -127,19 +147,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
             "source_size": pa.array([r["source_size"] for r in rows], pa.int64()),
             "target": pa.array(target, pa.float64()),
             "quota_blocks": pa.array(quota, pa.int64()),
-            "shards": pa.array([max(1, -(-r["n"] // SHARD_DOCS)) for r in rows], pa.int64()),
+            "shards": pa.array(shards, pa.int64()),
         }
     )
     plan = spark.createDataFrame(plan)
     # one short row for each source, MAX_SOURCES at most
     dealt = keyed.join(F.broadcast(plan), keyed["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     dealt = dealt.withColumn("shard", F.pmod("u", "shards"))
-    return _selected(dealt, block, max_repeats).select("doc_id", "source", "size", "source_size", "target", "quota_blocks", "taken", *(["_same", "_number", "_copies"] if keyed_rows else []))
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_same``, 128 bits of hashes of all columns, which equal rows share; ids may be null or repeat."""
-    return docs.withColumn("_same", F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), *docs.columns)) for k in (1, 2)]))
+    return _selected(dealt, block, max_repeats).select("doc_id", "source", "size", "source_size", "target", "quota_blocks", "taken", *[c for c in ("_same", "_number", "_copies") if c in keyed.columns])
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -155,22 +170,22 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_within", within).join(starts, ["_same", "_part"]).withColumn("_number", F.col("_start") + F.col("_within") - 1).drop("_part", "_start", "_within", "_row")
 
 
-def _planned(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The rows of ``_named`` with their ``_size`` and ``_taken`` from a written plan, each row once.
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``row, size, taken`` of ``rows`` (``_same, row``) by a written plan, each row once.
 
-    Of equal rows one text is read and given to all their plan rows, in lots, so that no task makes all of them.
+    Of equal rows one text is read and given to all their plan rows, in lots, so
+    that no task makes all of them.  The plan is the side that is held; texts
+    are shuffled, not sorted.
     """
-    columns = [*docs.columns, "_size", "_taken"]
-    used = plan.where("_taken > 0")
-    once, several = used.where("_copies = 1").select("_same", "_size", "_taken"), used.where("_copies > 1").withColumn("_lot", F.floor(F.col("_number") / LOT))
-    repeated = plan.where("_copies > 1").select("_same").distinct()
-    if repeated.isEmpty():
-        return docs.join(once, "_same").select(columns)
-    rows = without_ids(docs, repeated, "_same").join(once, "_same").select(columns)
-    few = repeated.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    one = docs.join(F.broadcast(repeated) if few else repeated, "_same", "left_semi").dropDuplicates(["_same"])
-    lots = several.select("_same", "_lot").distinct()
-    return rows.unionByName(one.join(lots, "_same").join(several, ["_same", "_lot"]).select(columns))
+    used = plan.where("taken > 0")
+    once, several = used.where("_copies = 1").select("_same", "size", "taken"), used.where("_copies > 1").withColumn("lot", F.floor(F.col("_number") / LOT))
+    found = rows.join(once.hint("shuffle_hash"), "_same").select("row", "size", "taken")
+    if several.isEmpty():
+        return found
+    repeated = several.select("_same").distinct()
+    one = rows.join(repeated.hint("shuffle_hash"), "_same", "left_semi").groupBy("_same").agg(F.first("row").alias("row"))
+    lots = several.select("_same", "lot").distinct()
+    return found.unionByName(one.join(lots, "_same").join(several, ["_same", "lot"]).select("row", "size", "taken"))
 
 
 def _selected(dealt: DataFrame, block: int, max_repeats: int) -> DataFrame:
@@ -182,8 +197,7 @@ def _selected(dealt: DataFrame, block: int, max_repeats: int) -> DataFrame:
 def shard_quotas(shards: DataFrame, block: int, max_repeats: int) -> DataFrame:
     """Whole blocks for each shard of a source by Sainte-Lague on the shards' sizes: ``source, shard, shard_size, blocks``.
 
-    One group is one source; it has a short row for each of its shards, a few
-    thousandths of its documents.
+    One group is one source; it has a short row for each of its shards, ``MAX_SHARDS`` at most.
     """
 
     def deal(table: pa.Table) -> pa.Table:
@@ -222,23 +236,30 @@ def first_words(text: str, n: int) -> str:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as ``mix_plan`` takes all its words, and once more cut to the words that are left.
 
-    Documents of which nothing is taken are left out.  Rows are planned and
-    joined by a key of their own, so ids may be null or repeat.
+    Documents of which nothing is taken are left out, those without words too;
+    ``n_chars`` is that of the text as cut.  Rows are planned and joined by 128
+    bits of hashes of all their columns and a number within equal rows, so ids
+    may be null or repeat.  A very long text is cut whole in one task.  Other
+    columns are carried along, whatever their names; an empty table gives none.
     """
-    named = _named(docs)
-    plan = mix_plan(named, id_col, text_col, source_col, keyed_rows=True, **options).select("_same", "_number", "_copies", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = _planned(named, Scratch(docs.sparkSession, "mix-plan").put(plan)).drop("_same")
-    whole = (F.col("_taken") / F.col("_size")).cast("int")
-    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    rows = rows.withColumn("_words", F.when(F.col("_pass") <= whole, F.lit(-1)).otherwise(F.col("_taken") % F.col("_size")).cast("long"))
-    cut = rows.where("_words >= 0").select(*docs.columns, "_words")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    same = F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), *columns)) for k in (1, 2)])
+    # the document as one field, so that its columns and those of the plan keep apart
+    rows = docs.select(same.alias("_same"), F.struct(*columns).alias("row"))
+    read = docs.select(same.alias("_same"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    plan = mix_plan(read, keyed_rows=True, **options).select("_same", "_number", "_copies", "size", "taken")
+    rows = _planned(rows, Scratch(docs.sparkSession, "mix-plan").put(plan))
+    whole = F.floor(F.col("taken") / F.col("size"))
+    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))))).withColumn("words", F.when(F.col("turn") > whole, F.col("taken") % F.col("size")))
+    words = fresh(docs.columns, "_words")
+    cut = rows.where("words IS NOT NULL").select("row.*", F.col("words").alias(words))
     place, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
         for batch in batches:
             texts = [first_words(t, n) for t, n in zip(batch.column(place).to_pylist(), batch.column(width).to_pylist(), strict=True)]
-            columns = [pa.array(texts, batch.schema.field(place).type) if i == place else batch.column(i) for i in range(width)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
+            made = [pa.array(texts, batch.schema.field(place).type) if i == place else batch.column(i) for i in range(width)]
+            yield pa.RecordBatch.from_arrays(made, names=batch.schema.names[:width])
 
-    out = rows.where("_words < 0").select(*docs.columns).unionByName(cut.mapInArrow(run, docs.schema))
-    return out.withColumn("n_chars", F.char_length(text_col).cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    out = rows.where("words IS NULL").select("row.*").unionByName(cut.mapInArrow(run, docs.schema))
+    return out.withColumn("n_chars", F.char_length(F.col(f"`{text_col}`")).cast("long")).select(*columns) if "n_chars" in docs.columns else out

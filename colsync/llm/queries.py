@@ -138,16 +138,16 @@ _MIX_SQL = f"""
     k AS (SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
                  sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, row_number() OVER (ORDER BY ratio, place) AS rank FROM r),
     stop AS (SELECT min(rank) AS rank, arg_min(rest, rank) AS rest, arg_min(open, rank) AS open FROM k WHERE rest / open <= ratio),
-    t AS MATERIALIZED (SELECT k.source, k.source_size, k.n, k.place, CASE WHEN stop.rank IS NULL OR k.rank < stop.rank THEN (3 * k.source_size)::DOUBLE ELSE stop.rest::DOUBLE * k.weight / stop.open END AS target FROM k, stop),
-    b AS (SELECT greatest(1, floor(sum(target) / {mixing.BLOCKS}))::BIGINT AS block, sum(target) AS total FROM t),
+    t AS MATERIALIZED (SELECT k.source, k.source_size, least({mixing.MAX_SHARDS}, (k.n + {mixing.SHARD_DOCS - 1}) // {mixing.SHARD_DOCS}) AS shards, k.place, CASE WHEN stop.rank IS NULL OR k.rank < stop.rank THEN (3 * k.source_size)::DOUBLE ELSE stop.rest::DOUBLE * k.weight / stop.open END AS target FROM k, stop),
+    b AS (SELECT greatest(1, least(floor(sum(target) / {mixing.BLOCKS}), min(floor(target / {mixing.TARGET_BLOCKS})) FILTER (target > 0), min(source_size // shards // {mixing.SHARD_BLOCKS}) FILTER (target > 0)))::BIGINT AS block, sum(target) AS total FROM t),
     seats AS (SELECT source, count(*) AS quota FROM (
         SELECT source, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, place) AS i, block, total
         FROM (SELECT *, unnest(range(0, (target / block * 1.01)::BIGINT + 10)) AS seat FROM t, b WHERE target > 0)) WHERE i <= round_even(total / block, 0) GROUP BY source),
-    e AS (SELECT d.*, t.source_size, t.target, u % ((t.n + {mixing.SHARD_DOCS - 1}) // {mixing.SHARD_DOCS}) AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    e AS (SELECT d.*, t.source_size, t.target, u % t.shards AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
     h AS (SELECT source, shard, sum(size)::BIGINT AS shard_size FROM e GROUP BY ALL),
     dealt AS (SELECT source, shard, count(*) AS blocks FROM (
         SELECT source, shard, quota, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * seat + 1) DESC, shard) AS i
-        FROM (SELECT h.*, coalesce(quota, 0) AS quota, unnest(range(0, 3 * shard_size // block)) AS seat FROM b, h LEFT JOIN seats ON h.source IS NOT DISTINCT FROM seats.source)) WHERE i <= quota GROUP BY ALL),
+        FROM (SELECT h.*, coalesce(quota, 0) AS quota, unnest(range(0, (3 * shard_size + block - 1) // block)) AS seat FROM b, h LEFT JOIN seats ON h.source IS NOT DISTINCT FROM seats.source)) WHERE i <= quota GROUP BY ALL),
     g AS (SELECT e.*, shard_size, least(coalesce(blocks, 0) * block, 3 * shard_size) AS words, sum(size) OVER (PARTITION BY e.source, e.shard ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS until, coalesce(quota, 0) AS quota
           FROM b, e JOIN h ON e.source IS NOT DISTINCT FROM h.source AND e.shard = h.shard LEFT JOIN dealt ON e.source IS NOT DISTINCT FROM dealt.source AND e.shard = dealt.shard LEFT JOIN seats ON e.source IS NOT DISTINCT FROM seats.source)
     SELECT doc_id, size, source_size, target, quota AS quota_blocks,

@@ -96,3 +96,32 @@ def test_small_source_reaches_its_target(spark):
         assert r.taken <= 3 * r["size"]
         taken[r.source] += r.taken
     assert taken["small"] == 15
+
+
+def test_small_sources_beside_billions_of_words(spark):
+    sizes = {"a_big": [1_000_000 + 7 * i for i in range(5000)], "b_large": [200_000] * 9000, "c_mid": [100] * 200, "d_tiny": [100] * 20, "e_tiny": [1500], "f_nine": [3000] * 3, "g_none": [0, 0]}
+    rows = [(k * 100_000 + i, s, n) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("u", mixing.seeded("doc_id", 7))
+    want = dict(zip(sizes, plain_targets([sum(x) for x in sizes.values()], [(5, 2, 1)[i % 3] for i in range(len(sizes))]), strict=True))
+    assert want["d_tiny"] == 6000 and want["e_tiny"] == 4500
+    taken = defaultdict(int)
+    for r in mixing.apportioned(sized).collect():
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[r.source] += r.taken
+    for s, target in want.items():
+        assert abs(taken[s] - target) <= 0.01 * target, s
+
+
+def test_clashing_columns(spark):
+    names = ["_id", "_size", "_taken", "_same", "_pass", "_words", "_number", "row", "turn", "words", "size", "taken", "lot", "_Words", "n_chars", "_row"]
+    text = [("one two three " * (i + 1)).strip() for i in range(12)]
+    rows = [(i, t, "ab"[i % 2], *[777] * (len(names) - 2)) for i, t in enumerate(text)] + [(3, "same row " * 4, "a", *[777] * (len(names) - 2))] * 3
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names if n not in ("_Words", "n_chars")))
+        out = mixing.mixed(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert out and out[0].__fields__ == df.columns
+    assert all(v == 777 for r in out for k, v in r.asDict().items() if k not in ("doc_id", "text", "source"))
+    assert all((text[r.doc_id] + " same row").find(r.text.split(" ")[0]) >= 0 for r in out)
