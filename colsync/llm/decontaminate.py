@@ -209,7 +209,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     both are null where nothing was found.  Null and empty texts have no words.
     An empty benchmark finds nothing.  Items that repeat an id are one item;
     those without an id make hits but are not listed.  Every document row comes
-    out on its own, so ids may be null or repeat.
+    out on its own, so ids may be null or repeat; they are whole numbers.  Very
+    long texts are read whole, a text at a time.  Other columns are not read.
     """
     spark = docs.sparkSession
     none = [F.lit(None).cast(kind).alias(name) for name, kind in (("n_words", "long"), ("spans", "array<long>"), ("items", "array<string>"))]
@@ -243,6 +244,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     """The documents with no word in a benchmark window, all their columns, filtered where they are read.
 
     Each block of items takes out its own, so nothing is shuffled however large the benchmark is.
+    Rows without words stay, and ids play no part.  Very long texts are read
+    whole; other columns are carried along, whatever their names.  An empty
+    table gives no rows, an empty benchmark takes none out.
     """
     context, place, schema = docs.sparkSession.sparkContext, docs.columns.index(text_col), docs.schema
     for items in item_blocks(benchmark, item_col, item_text_col):

@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     # max_docs ids are a documented bound, far below any broadcast limit
     sample = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(max_docs))
-    found = docs.join(sample, docs[id_col] == F.col("_id")).select("_id", "_label", F.col(text_col).cast("string").alias("_text"))
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(sample, "_id")
     found = found.groupBy("_id", "_label").agg(F.max("_text").alias("_text"))  # a repeated id counts once
     encoded = found.mapInArrow(_encoded, "id long, label long, column binary, value binary, dense binary")
     rows = sorted(encoded.collect(), key=lambda r: r.id)
@@ -255,7 +255,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
     Labels of the held-out third are never read.  Without usable labels every
-    score is 0.5; an empty table gives no rows.
+    score is 0.5; an empty table gives no rows.  Null and empty texts get the
+    score of no features, very long ones are read whole, a text at a time.
+    Rows that repeat an id are scored each by its own text; ids are whole
+    numbers, and a null one is not held out.  Other columns are not read.
     """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -264,7 +267,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents with a score of ``threshold`` or more, all their columns, filtered where they are read.
 
-    Without usable labels all are kept.
+    Without usable labels all are kept.  Ids may be null or repeat: each row is
+    judged by its own text, null and empty ones as texts without features.  Very
+    long texts are read whole; other columns are carried along, whatever their
+    names.  An empty table gives none.
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
     place = docs.columns.index(text_col)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colsync.llm.skew import fresh
 from colsync.llm.store import Scratch
 
 #: Bytes of text that a shard may hold.
@@ -24,7 +25,7 @@ SHARD_BYTES = 16 << 20
 HASH_BITS = 60
 #: Bits that one round of counting adds.
 LEVEL_BITS = 12
-#: Buckets that may be broadcast as a directory, about 64 bytes each; a larger directory is shuffled.
+#: Entries of one level of the directory that may be broadcast, about 64 bytes each; a larger level is shuffled.
 MAX_BROADCAST = 1 << 18
 
 
@@ -79,46 +80,42 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of no bits).  ``n_bytes`` is the length of the text in UTF-8, 0 for null.
     ``fits`` is false only for buckets that no bit can part: one document over
     the limit, or rows that repeat one id and are too large together.  Null ids
-    hash like an empty string.  ``keep`` also returns the columns of ``docs``;
-    those of the names above are replaced.  An empty table has no shards.
+    hash like an empty string; rows that repeat an id are rows of their own.  A
+    very long text is a number here.  ``keep`` also returns the columns of
+    ``docs``, whatever their names; those of the names above are replaced.  An
+    empty table has no shards.
     """
     scratch = Scratch(docs.sparkSession, "shards")
-    bits, size = hash_bits(F.col(id_col)), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    key, size = F.col(f"`{id_col}`"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long")
+    extra = [c for c in docs.columns if c not in (id_col, *_RESULT)] if keep else []
+    read = docs.select(key.alias("doc_id"), hash_bits(key).alias("bits"), size.alias("bytes"), F.struct(F.lit(0).alias(fresh(extra, "_none")), *[F.col(f"`{c}`") for c in extra]).alias("row"))
     # ids and sizes only: a few bytes a document
-    sized = scratch.put(docs.select(F.col(id_col).alias("doc_id"), bits.alias("bits"), size.alias("bytes")), "sized")
+    sized = scratch.put(read.drop("row"), "sized")
     buckets = directory(sized, limit, scratch)
-    if keep:
-        replaced = {"doc_id", "n_bytes", "shard", "depth", "shard_docs", "shard_bytes", "fits"}
-        extra = [c for c in docs.columns if c != id_col and c not in replaced]
-        rows = docs.select(F.col(id_col).alias("doc_id"), bits.alias("_bits"), size.alias("n_bytes"), *[docs[f"`{c}`"] for c in extra])
-    else:
-        extra = []
-        rows = sized.select("doc_id", F.col("bits").alias("_bits"), F.col("bytes").alias("n_bytes"))
-    parts, deepest = [], buckets.agg(F.max("depth")).first()[0] or 0
-    for depth in range(LEVEL_BITS, max(deepest, 1) + LEVEL_BITS, LEVEL_BITS):
-        level = buckets.where((F.col("depth") <= depth) & (F.col("depth") > (depth - LEVEL_BITS if depth > LEVEL_BITS else -1)))
-        entries = _entries(level, depth)
-        n = entries.count()
-        if not n and depth < deepest:
-            continue
-        if n <= MAX_BROADCAST:
+    found = read if keep else sized
+    levels = [r["level"] for r in buckets.select((F.greatest(F.ceil(F.col("depth") / LEVEL_BITS), F.lit(1)) * LEVEL_BITS).cast("int").alias("level")).distinct().orderBy("level").collect()]
+    for level in levels:
+        # a row has one bucket; deeper levels have entries only under prefixes that split
+        held = buckets.where((F.col("depth") <= level) & (F.col("depth") > (level - LEVEL_BITS if level > LEVEL_BITS else -1)))
+        entries = _entries(held, level).select(F.col("entry").alias(f"entry{level}"), F.struct("prefix", "depth", "n", "bytes").alias(f"bucket{level}"))
+        if entries.count() <= MAX_BROADCAST:
             entries = F.broadcast(entries)
-        key = F.substring("_bits", 1, depth)
-        parts.append(rows.withColumn("_entry", key).join(entries, "_entry"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    name = F.when(F.col("_depth") == 0, F.lit("root")).otherwise(F.col("_prefix"))
-    return found.select("doc_id", "n_bytes", name.alias("shard"), F.col("_depth").alias("depth"), "shard_docs", "shard_bytes", (F.col("shard_bytes") <= limit).alias("fits"), *extra)
+        found = found.join(entries, F.substring("bits", 1, level) == F.col(f"entry{level}"), "left")
+    bucket = F.coalesce(*[F.col(f"bucket{x}") for x in levels]) if levels else F.lit(None).cast("struct<prefix:string,depth:int,n:long,bytes:long>")
+    found = found.withColumn("bucket", bucket)
+    name = F.when(F.col("bucket.depth") == 0, F.lit("root")).otherwise(F.col("bucket.prefix"))
+    made = [F.col("bytes"), name, F.col("bucket.depth"), F.col("bucket.n"), F.col("bucket.bytes"), F.col("bucket.bytes") <= limit]
+    return found.select("doc_id", *[c.alias(n) for c, n in zip(made, _RESULT[1:], strict=True)], *[F.col(f"row.`{c}`") for c in extra])
+
+
+_RESULT = ("doc_id", "n_bytes", "shard", "depth", "shard_docs", "shard_bytes", "fits")
 
 
 def _entries(buckets: DataFrame, depth: int) -> DataFrame:
-    """The directory at ``depth`` bits: an entry for each prefix of that length that a bucket covers."""
-    free = F.lit(depth) - F.col("depth")
-    tail = F.expr(f"lpad(conv(_i, 10, 2), {depth} - depth, '0')")
-    spread = buckets.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, {depth} - depth) - 1"))))
-    entry = F.concat("prefix", F.when(free > 0, tail).otherwise(F.lit("")))
-    return spread.select(entry.alias("_entry"), F.col("prefix").alias("_prefix"), F.col("depth").alias("_depth"), F.col("n").alias("shard_docs"), F.col("bytes").alias("shard_bytes"))
+    """The directory at ``depth`` bits: an ``entry`` for each prefix of that length that a bucket covers."""
+    tail = F.expr(f"lpad(conv(i, 10, 2), {depth} - depth, '0')")
+    spread = buckets.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, {depth} - depth) - 1"))))
+    return spread.withColumn("entry", F.concat("prefix", F.when(F.col("depth") < depth, tail).otherwise(F.lit(""))))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:

@@ -76,3 +76,17 @@ def test_edges(spark):
     assert len(out) == docs.count() and all(r.score is not None for r in out)
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_clashing_columns_and_ids(spark):
+    names = ["_id", "_label", "_text", "label", "id", "column", "value", "score", "_ID"]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        rows = [(k % 40 if k % 9 else None, "Good words in a line.\n" * 9 if k % 2 else "1 | 2 | 3 $$ " * 20, *[777] * len(names)) for k in range(80)] + [(81, None, *[777] * len(names)), (82, "", *[777] * len(names))]
+        df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+        labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int").selectExpr("*", "1 AS `_id`", "1 AS `_text`")
+        out = quality.accepted(df, labels).collect()
+        assert len(quality.classify(df, labels).collect()) == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert 0 < len(out) < len(rows) and all(r[n] == 777 for r in out for n in names)

@@ -66,3 +66,13 @@ def test_edges(spark, tmp_path, monkeypatch):
     sharding.write_shards(out, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
     assert sharding.assign_shards(df.limit(0), limit=400).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["_depth", "_prefix", "_entry", "_bits", "bits", "bytes", "row", "bucket", "prefix", "n", "entry12", "bucket12", "col1", "_none", "i"]
+    df = spark.createDataFrame([(k, "x" * k, *[777] * len(names)) for k in range(90)], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    out = sharding.assign_shards(df, limit=300, keep=True)
+    assert set(out.columns) == {*sharding._RESULT, "text", *names}
+    got = out.collect()
+    assert {r.doc_id: (r.shard, r.depth, r.shard_docs, r.shard_bytes, r.fits) for r in got} == plain([(k, k) for k in range(90)], 300)
+    assert all(r[n] == 777 for r in got for n in names) and all(len(r.text) == r.doc_id for r in got)
