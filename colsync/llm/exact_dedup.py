@@ -8,9 +8,11 @@ they are unique, and nothing of them is shuffled.  The others are grouped by the
 SHA-256 of their text, which decides; a false positive of the filter ends up as
 a group of one.
 
-The filter has ``BITS_PER_ROW`` bits a row up to ``MAX_FILTER_BITS``, which
-bounds what is broadcast.  Beyond that it lets more unique rows through to the
-shuffle, of digests and not of texts, and results stay exact.
+The filter has ``BITS_PER_ROW`` bits a row, however many rows there are, in
+blocks; a hash has all its slots in one block.  Blocks are broadcast up to
+``MAX_BROADCAST_BLOCKS``.  A larger filter stays in parts: the digests of the
+rows, not their texts, are dealt to the blocks.  Texts are read once, and what
+is read again are digests.
 """
 
 from __future__ import annotations
@@ -18,50 +20,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsync.llm.skew import join_groups, without_ids
+from colsync.llm.skew import MAX_BROADCAST_IDS, fresh, join_groups
 from colsync.llm.store import Scratch
 
 BITS_PER_ROW = 16
-MAX_FILTER_BITS = 1 << 28
 #: Slots of each row, each from its own part of the hash.
 SLOTS = 2
-#: Bits of one row of the filter table: what ``bitmap_construct_agg`` makes.
-_BLOCK = 32768
+#: Bits of a block: what ``bitmap_construct_agg`` makes; it takes ``_SLOT_BITS`` bits of the hash to name one.
+_BLOCK, _SLOT_BITS = 32768, 15
+#: Blocks that may be broadcast, 4 KB each: 32 MB.
+MAX_BROADCAST_BLOCKS = 1 << 13
 
 
-def filter_bits(n_rows: int) -> int:
-    """Bits of the filter for so many rows: a power of two within its bounds."""
-    wanted = max(_BLOCK, min(MAX_FILTER_BITS, n_rows * BITS_PER_ROW))
-    return min(MAX_FILTER_BITS, 1 << (wanted - 1).bit_length())
+def filter_blocks(n_rows: int) -> int:
+    """Blocks of the filter for so many rows: a power of two with ``BITS_PER_ROW`` bits a row or more."""
+    return 1 << max(0, -(-n_rows * BITS_PER_ROW // _BLOCK) - 1).bit_length()
 
 
-def _slot(hashed: Column, k: int, bits: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(hashed, 31 * k), F.lit(bits))
+def _block(hashed: Column, blocks: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(hashed, SLOTS * _SLOT_BITS), F.lit(blocks))
 
 
-def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
-    """The filter: for each slot function ``k`` and block, a bitmap of the slots that two rows or more take."""
-    slots = hashes.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _slot(F.col("h"), k, bits).alias("slot")) for k in range(SLOTS)])).alias("s"))
-    twice = slots.groupBy("s.k", "s.slot").agg(F.count("*").alias("n")).where("n > 1")
-    return twice.groupBy("k", F.floor(F.col("slot") / _BLOCK).alias("block")).agg(F.bitmap_construct_agg(F.col("slot") % _BLOCK).alias("bitmap"))
+def _slot(hashed: Column, k: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(hashed, k * _SLOT_BITS), F.lit(_BLOCK))
+
+
+def repeated_slots(hashes: DataFrame, blocks: int) -> DataFrame:
+    """The filter: for each block a bitmap of the slots that two rows or more take, ``block, bitmap``."""
+    slots = hashes.select(_block(F.col("h"), blocks).alias("block"), F.explode(F.array_distinct(F.array(*[_slot(F.col("h"), k) for k in range(SLOTS)]))).alias("slot"))
+    twice = slots.groupBy("block", "slot").agg(F.count("*").alias("n")).where("n > 1")
+    return twice.groupBy("block").agg(F.bitmap_construct_agg("slot").alias("bitmap"))
 
 
 def _is_set(bitmap: Column, slot: Column) -> Column:
-    at = F.pmod(slot, F.lit(_BLOCK))
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return bitmap.isNotNull() & (F.call_function("bit_get", byte, (at % 8).cast("int")) == 1)
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.call_function("bit_get", byte, (slot % 8).cast("int")) == 1
 
 
-def possibly_repeated(rows: DataFrame, bits: int) -> DataFrame:
-    """``rows`` with ``_maybe``: false only if no other row can have the same hash ``h``."""
-    blocks = repeated_slots(rows.select("h"), bits)
-    flag = F.lit(True)
+def possibly_repeated(rows: DataFrame, blocks: int, filled: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false only if no other row can have the same hash ``h``."""
+    held = filled.select(F.col("block").alias("_block"), "bitmap")
+    if blocks <= MAX_BROADCAST_BLOCKS:
+        held = F.broadcast(held)
+    found = rows.join(held, _block(F.col("h"), blocks) == F.col("_block"), "left")
+    flag = F.col("bitmap").isNotNull()
     for k in range(SLOTS):
-        slot = _slot(F.col("h"), k, bits)
-        part = blocks.where(F.col("k") == k).select(F.col("block").alias(f"_b{k}"), F.col("bitmap").alias(f"_m{k}"))
-        rows = rows.join(F.broadcast(part), F.floor(slot / _BLOCK) == F.col(f"_b{k}"), "left")
-        flag = flag & _is_set(F.col(f"_m{k}"), slot)
-    return rows.withColumn("_maybe", flag).drop(*[f"_{x}{k}" for k in range(SLOTS) for x in "bm"])
+        flag = flag & _is_set(F.col("bitmap"), _slot(F.col("h"), k))
+    return found.select(*rows.columns, F.coalesce(flag, F.lit(False)).alias("maybe"))
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,23 +79,35 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical; a null text counts as empty.  The row with
     the largest id of a group stays.  Rows that repeat an id and a text count as
     members of the group, and each of those with the largest id is ``kept``; a null id is never chosen while
-    the group has another.  An empty table gives an empty result; other columns
-    are not read, whatever their names.
+    the group has another.  Very long texts are hashed whole.  An empty table
+    gives an empty result; other columns are not read, whatever their names.
     """
-    total = docs.count()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.xxhash64(text).alias("h"))
-    flagged = possibly_repeated(rows, filter_bits(total))
-    alone = flagged.where(~F.col("_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    maybe = flagged.where("_maybe").select("doc_id", "text_sha256")
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    found = join_groups(maybe, groups, "text_sha256", "group_size", total)
+    scratch = Scratch(docs.sparkSession, "exact")
+    text = _text(text_col)
+    rows = scratch.put(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.xxhash64(text).alias("h")), "digests")
+    total = rows.count()
+    blocks = filter_blocks(total)
+    filled = scratch.put(repeated_slots(rows.select("h"), blocks), "filter")
+    flagged = possibly_repeated(rows, blocks, filled)
+    digest = F.lower(F.hex("sha")).alias("text_sha256")
+    alone = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
+    maybe = scratch.put(flagged.where("maybe").select("doc_id", "sha"), "maybe")
+    groups = scratch.put(maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    found = join_groups(maybe, groups, "sha", "group_size", total)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return alone.unionByName(found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"))
+    return alone.unionByName(found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), digest))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: the largest id of each text.  Ids must be unique and not null."""
+    """The rows of ``docs``, all columns, that stay: those with the largest id of each text.
+
+    As in ``exact_duplicates``, rows that repeat both the largest id and the
+    text all stay, a null id only where its text has no other.  Other columns
+    may have any name; an empty table gives none.
+    """
     scratch = Scratch(docs.sparkSession, "exact")
-    gone = scratch.put(exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), "gone")
-    return without_ids(docs, gone, id_col)
+    gone = scratch.put(exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select("doc_id", "text_sha256").distinct(), "gone")
+    a, b = fresh(docs.columns, "_id"), fresh(docs.columns, "_sha")
+    gone = gone.select(F.col("doc_id").alias(a), F.col("text_sha256").alias(b))
+    few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"].eqNullSafe(F.col(a)) & (F.sha2(_text(text_col), 256) == F.col(b)), "left_anti")

@@ -35,13 +35,14 @@ def test_whole_table(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, _, k, _ in sorted(want) if k]
 
 
-@pytest.mark.parametrize("bits,hot,few", [(1 << 28, 1000, 1 << 20), (32768, 3, 1 << 20), (1, 1000, 0)])
-def test_edges(spark, monkeypatch, bits, hot, few):
-    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", max(bits, 32768))
-    if bits == 1:  # every slot is taken by many rows: all of them go to the shuffle
-        monkeypatch.setattr(exact_dedup, "filter_bits", lambda n: 2)
+@pytest.mark.parametrize("bits,broadcast,hot,few", [(16, 1 << 13, 1000, 1 << 20), (1, 1 << 13, 3, 1 << 20), (1 << 12, 1, 1000, 0), (0, 0, 1000, 0)])
+def test_edges(spark, monkeypatch, bits, broadcast, hot, few):
+    monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", bits)
+    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_BLOCKS", broadcast)
+    if not bits:  # every slot is taken by many rows: all of them go to the shuffle
+        monkeypatch.setattr(exact_dedup, "_BLOCK", 2)
     monkeypatch.setattr(skew, "HOT_SHARE", hot)
-    monkeypatch.setattr(skew, "MAX_BROADCAST_IDS", few)
+    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_IDS", few)
     rows = [(i, "same text") for i in range(700)] + [(1000 + i, f"text {i % 900}") for i in range(1300)] + [(5000, None), (5001, ""), (5002, " "), (5003, "é" * 100_000), (5004, "é" * 100_000), (5005, "Same Text")]
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, keep_id string, h int")
     assert got(exact_dedup.exact_duplicates(df)) == plain(rows)
@@ -56,6 +57,20 @@ def test_unique_rows_pass_straight_through(spark):
     from pyspark.sql import functions as F
 
     rows = spark.range(20_000).select(F.xxhash64("id").alias("h")).unionByName(spark.range(100).select(F.xxhash64("id").alias("h")))
-    flagged = exact_dedup.possibly_repeated(rows, exact_dedup.filter_bits(20_100)).groupBy("_maybe").count().collect()
-    counts = {r["_maybe"]: r["count"] for r in flagged}
-    assert 200 <= counts[True] < 600
+    blocks = exact_dedup.filter_blocks(20_100)
+    flagged = exact_dedup.possibly_repeated(rows, blocks, exact_dedup.repeated_slots(rows, blocks)).groupBy("maybe").count().collect()
+    counts = {r["maybe"]: r["count"] for r in flagged}
+    assert 200 <= counts[True] < 900
+
+
+def test_filter_follows_the_rows():
+    assert [exact_dedup.filter_blocks(n) for n in (0, 1, 2048, 2049, 10**6, 10**10)] == [1, 1, 1, 2, 512, 1 << 23]
+
+
+def test_drop_with_repeated_and_null_ids_and_clashing_columns(spark):
+    names = ["_id", "_sha", "_gone", "h", "maybe", "kept", "_ID_"]
+    rows = [(7, "a"), (7, "a"), (7, "b"), (3, "a"), (None, "a"), (None, "b"), (None, "c"), (9, None), (8, "")]
+    df = spark.createDataFrame([(i, t, *[777] * len(names)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    out = exact_dedup.drop_exact_duplicates(df)
+    assert out.columns == df.columns and all(r[n] == 777 for r in out.collect() for n in names)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(7, "a"), (7, "a"), (7, "b"), (None, "c"), (9, None)], key=str)
