@@ -43,6 +43,8 @@ class Kind:
     base: bool = True
 
 
+# No pattern repeats a group, which Java matches by recursion, and what may fail
+# after a run of characters has a bound on the run; so time is linear in the text.
 KINDS = (
     Kind("assign", "secret", rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([{_CHARS}]+)""", (":", "="), 1, 8),
     Kind("access", "identifier", r"AKIA[A-Z0-9]+", ("AKIA",), 0, 16),
@@ -50,8 +52,8 @@ KINDS = (
     Kind("user", "identifier", r"""(?<![A-Za-z0-9_])(?i:(?:user_?name|user|login|client_?id|account_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", (":", "="), 1, 3, base=False),
     Kind("key", "secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}", (), 0, 24, ("[0-9]", "[a-z]", "[A-Z]"), base=False),
     Kind("pass", "secret", r"""(?<![A-Za-z0-9_])(?i:(?:pwd|pass|passphrase|private_?key))["']?\x20*[:=]\x20*["']?([^\s"']{6,})""", (":", "="), 1, 6, base=False),
-    Kind("url", "endpoint", r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""", ("://",), 0, 0, base=False),
-    Kind("host", "endpoint", r"(?<![A-Za-z0-9_])[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[a-z]{2,}:[0-9]{2,5}(?![A-Za-z0-9_])", (":",), 0, 0, base=False),
+    Kind("url", "endpoint", r"""(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s"'<>]+""", ("://",), 0, 0, base=False),
+    Kind("host", "endpoint", r"(?<![A-Za-z0-9_])[A-Za-z0-9][A-Za-z0-9.-]{0,252}\.[a-z]{2,24}:[0-9]{2,5}(?![A-Za-z0-9_])", (":",), 0, 0, base=False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 _ROLES = {"identifier": 0, "secret": 1, "endpoint": 2}
@@ -60,15 +62,17 @@ _ROLES = {"identifier": 0, "secret": 1, "endpoint": 2}
 def _matches(text: Column, number: int, kind: Kind) -> Column:
     """All matches of a kind: ``kind, at, gap, size, ok``; the gap is what lies between it and the match before."""
     pattern = F.lit(kind.pattern)
-    pieces = F.split(text, kind.pattern, -1)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    measured = F.regexp_extract_all(text, pattern, F.lit(kind.group)) if kind.group else found
-
-    def entry(match: Column, at: Column) -> Column:
-        ok = F.length(F.get(measured, at)) >= kind.least
+    # side by side, as an array that a lambda reads from outside is made again for each element
+    parts = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
+    if kind.group:
+        parts = F.zip_with(parts, F.regexp_extract_all(text, pattern, F.lit(kind.group)), lambda part, group: F.struct(part.gap.alias("gap"), part.match.alias("match"), F.length(group).alias("measured")))
+    found = F.filter(parts, lambda part: part.match.isNotNull())
+
+    def entry(part: Column, at: Column) -> Column:
+        ok = (part.measured if kind.group else F.length(part.match)) >= kind.least
         for needed in kind.has:
-            ok = ok & match.rlike(needed)
-        return F.struct(F.lit(number).alias("kind"), at.alias("at"), F.length(F.get(pieces, at)).alias("gap"), F.length(match).alias("size"), ok.alias("ok"))
+            ok = ok & part.match.rlike(needed)
+        return F.struct(F.lit(number).alias("kind"), at.alias("at"), part.gap.alias("gap"), F.length(part.match).alias("size"), ok.alias("ok"))
 
     there = F.lit(True)
     if kind.gate:
@@ -125,8 +129,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Counts and digest are those of the base spans; ``spans`` also has the linked
     candidates.  Places are code points, ends exclusive.  Null and empty texts
-    have no spans.  Rows that repeat an id are rows of their own, also with
-    different texts; an empty table gives none.
+    have no spans.  Very long texts are read whole, in time linear in their
+    length.  Rows that repeat an id are rows of their own, also with different
+    texts; an empty table gives none.  Other columns are not read.
     """
     parts = find_parts(docs, id_col, text_col)
     strong = F.col("kind") < len(BASE)

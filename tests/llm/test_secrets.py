@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 
@@ -83,3 +84,16 @@ def test_random_and_odd_texts(spark):
     assert sorted((tuple(dict(zip(names, r, strict=True))[c] for c in order) for r in rel.fetchall()), key=str) == sorted((want(*r) for r in single), key=str)
     assert any("user:" in f[-1] for f in found) and any("url:" in f[-1] for f in found)
     assert secrets.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_long_texts_that_nearly_match(spark):
+    n = 1_000_000
+    texts = ["a." * 100_000 + ":", "a." * 100_000 + "com:8080", "x" * n + "://host", "x" * n, "a-" * 200_000, "password" + " " * n, "password = " * 50_000, "A" * n + "=" * 9, "user: " * 100_000, "'\"" * 200_000, "é" * n, "0" * n, "https://" * 50_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    began = time.monotonic()
+    found = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
+    assert time.monotonic() - began < 60
+    assert len(found) == len(texts)
+    for i in (0, 1, 2, 3, 4, 5, 10, 11):
+        assert tuple(found[i])[:-1] == want(i, texts[i])[:-1]
+    assert found[11].spans == f"hex:0:{n}"
