@@ -24,7 +24,8 @@ from colsync.llm.store import Scratch
 #: Turns that one window of the search for the latest message holds.
 STRETCH = 256
 
-_MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+#: The marks of a quoted line.  Groups repeat possessively, which Java does in a loop and not by recursion.
+_MARKS = r"^[ \t]*((?:>[ \t]?)++)"
 
 
 def normalised(text: Column) -> Column:
@@ -45,7 +46,8 @@ def _parsed(text: Column) -> Column:
 def _own_text(text: Column) -> Column:
     """What the message says itself: the lines that are not quoted, without blank ones at its ends."""
     kept = F.transform(F.filter(_parsed(text), lambda x: x.level == 0), lambda x: x.says)
-    return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
+    # the end is looked for at the beginning of a run only, else long runs within take their square in time
+    return F.regexp_replace(F.array_join(kept, "\n"), r"\A\s+|(?<!\s)\s+\z", "")
 
 
 def _hashes(texts: Column) -> Column:
@@ -59,18 +61,21 @@ def _said(own: Column) -> Column:
 
 
 def _passages(text: Column) -> Column:
-    """Quoted passages: ``level, part, hash``; part 0 is the whole passage and part 1 one of its lines."""
-    blocks = F.regexp_extract_all(F.regexp_replace(text, "\r\n?", "\n"), F.lit(r"(?m)(?:^[ \t]*>[^\n]*(?:\n|\z))+"), F.lit(0))
+    """Quoted passages, with repeats: ``level, part, hash``; part 0 is the whole passage and part 1 one of its lines."""
+    blocks = F.regexp_extract_all(F.regexp_replace(text, "\r\n?", "\n"), F.lit(r"(?m)(?:^[ \t]*>[^\n]*(?:\n|\z))++"), F.lit(0))
 
-    def of_block(block: Column) -> Column:
-        lines = F.filter(_parsed(block), lambda x: x.level > 0)
+    def of_lines(lines: Column) -> Column:
         levels = F.array_distinct(F.transform(lines, lambda x: x.level))
         whole = F.transform(levels, lambda level: F.struct(level.alias("level"), F.lit(0).alias("part"), normalised(F.array_join(F.transform(F.filter(lines, lambda x: x.level == level), lambda x: x.says), " ")).alias("text")))
         single = F.transform(lines, lambda x: F.struct(x.level.alias("level"), F.lit(1).alias("part"), normalised(x.says).alias("text")))
         return F.filter(F.concat(whole, single), lambda x: x.text != "")
 
+    def of_block(block: Column) -> Column:
+        # the lines as a lambda's variable, so that they are parsed once and not for each level
+        return F.flatten(F.transform(F.array(F.filter(_parsed(block), lambda x: x.level > 0)), of_lines))
+
     found = F.flatten(F.transform(blocks, of_block))
-    return F.array_distinct(F.transform(found, lambda x: F.struct(x.level.alias("level"), x.part.alias("part"), F.xxhash64(x.text).alias("hash"))))
+    return F.transform(found, lambda x: F.struct(x.level.alias("level"), x.part.alias("part"), F.xxhash64(x.text).alias("hash")))
 
 
 def latest_before(quotes: DataFrame, said: DataFrame) -> DataFrame:
@@ -111,7 +116,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
 
     Null and empty texts say nothing and quote nothing.  A null ``conv_id`` or
     ``turn`` is never linked.  Messages that repeat a turn are rows of their own
-    and one message for links.  Other columns are not read.
+    and one message for links.  Very long messages are parsed whole, in time
+    linear in their length.  Ids and turns are whole numbers.  Other columns are
+    not read; an empty table gives none.
     """
     scratch = Scratch(messages.sparkSession, "quotes")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -125,7 +132,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     parents = scratch.put(best.select("conv_id", "turn", "n_linked", (-F.col("b.back")).alias("parent")), "parents")
     linked = _roots(parents, scratch).join(parents, ["conv_id", "turn"]).select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "parent", "root", "depth", "n_linked")
     own = messages.select(conv, turn, "role", _own_text(text).alias("content"), _passages(text).alias("_q"))
-    whole = F.filter("_q", lambda q: q.part == 0)
+    whole = F.array_distinct(F.transform(F.filter("_q", lambda q: q.part == 0), lambda q: F.xxhash64(q.level, q.hash)))
     rows = own.select("conv_id", "turn", "role", "content", F.size(whole).cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform("_q", lambda q: q.level)), F.lit(0)).cast("long").alias("max_level"))
     found = rows.join(linked, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
     zero = F.lit(0).cast("long")

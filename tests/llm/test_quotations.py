@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -118,3 +119,14 @@ def test_long_conversation(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = {r.turn: r for r in quotations.link_quotations(df).collect()}
     assert all(out[t].reply_to == (t - 1 if t else None) for t in range(0, 1500, 3))
+
+
+def test_long_quotes(spark):
+    n = 100_000
+    texts = ["hello", "> hello\n" * n, ">" * n, "> " * n + "hello", "\n".join(f"> line {i}" for i in range(n)), " " * n * 5 + "x" + " " * n * 5 + "\n> hello", "\n" * n * 3 + "end", ">" + " \n" * n]
+    df = spark.createDataFrame([(1, i, "u", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").repartition(4)
+    began = time.monotonic()
+    out = {r.turn: r for r in quotations.link_quotations(df).collect()}
+    assert time.monotonic() - began < 90
+    assert len(out) == len(texts) and out[1].reply_to == 0 and out[5].reply_to == 0 and out[5].content == "x"
+    assert out[3].max_level == n and out[2].n_quotes == 0 and out[4].n_quotes == 1 and out[6].content == "end"
