@@ -94,3 +94,38 @@ def test_documents_without_tokens_count(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.source, r.lang): (r.docs, r.tokens) for r in op1_token_counts(spark, str(tmp_path)).collect()}
     assert got == {("a", "en"): (2, 0), ("b", "en"): (2, 2), (None, None): (1, 0)}
+
+
+def test_white_space_runs():
+    from pathlib import Path
+
+    encoding = tc._encoding("test", Path(tc.VOCABULARY).read_bytes())
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b1", " x", "!", "\n", " " * 600, "\n" * 700, "\t \u3000" * 300, "é", " ", "\xa0" * 501]) for _ in range(rng.randint(1, 9)))
+        assert tc.text_tokens(encoding, text) == len(encoding.encode_ordinary(text))
+    assert tc.text_tokens(encoding, " " * 1_000_000) > 0
+    assert tc.text_tokens(encoding, "a" + "\n" * 1_000_000 + " b") > 2
+
+
+def test_batch_that_commits_during_compaction(spark, tmp_path, monkeypatch):
+    schema = "op string, source string, lang string, tokenizer string, tokens_before long, tokens_after long"
+    rollup = tc.TokenRollup(spark, f"file://{tmp_path}/r")
+    batch = lambda n: spark.createDataFrame([("insert", "a", "en", "v", None, n)], schema)
+    for n in (1, 2):
+        assert rollup.apply(f"b{n}", batch(n))
+    sums = rollup._sums
+
+    def meanwhile(tables):
+        monkeypatch.setattr(rollup, "_sums", sums)
+        assert rollup.apply("late", batch(40))
+        return sums(tables)
+
+    monkeypatch.setattr(rollup, "_sums", meanwhile)
+    rollup.compact()
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 3, 43)]
+    rollup.compact()
+    assert rollup.vacuum() >= 3 and [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 3, 43)]
+    assert not rollup.apply("late", batch(40)) and rollup.apply("b3", batch(3))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 4, 46)]
+    assert not rollup._commit("b3", "another writer")
