@@ -2,10 +2,11 @@
 
 Patterns find the base spans.  The tagger of ``tagger`` adds spans that no
 pattern fits: phone numbers without a country code, cards with odd separators,
-addresses with ``[at]``.  It is trained here on labelled spans in seeded
-artificial lines, and reads overlapping windows around every character that
-personal data of these kinds cannot do without: a digit, an ``@`` or a written
-``at`` in brackets.  So no part of a text that could hold a span is left out.
+addresses with ``[at]`` or with ``at`` and ``dot`` as words.  It is trained here
+on labelled spans in seeded artificial lines, and reads overlapping windows
+around every place that the written forms it learns cannot do without: a digit,
+an ``@``, an ``at`` in brackets or the word ``dot``.  Texts are read whole; what
+has none of these, such as numbers in words, is not found.
 
 A span counts only from a window that holds it whole and away from its cut
 edges; neighbouring windows overlap by half, and spans are at most half a
@@ -31,14 +32,24 @@ from colsync.llm.words import text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and from one window to the next.
-WINDOW, STRIDE = 96, 48
+WINDOW, STRIDE = 160, 80
 #: Windows that are decoded at a time.
-BATCH = 512
+BATCH = 384
 #: Training steps, lines of each, and their length.
-STEPS, LINES, LENGTH = 300, 48, 72
+STEPS, LINES, LENGTH = 420, 48, 96
 SEED = 20
 
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.IGNORECASE)
+_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]|(?<![a-z])dot(?![a-z])", re.IGNORECASE | re.ASCII)
+#: A written address; the tagger finds where one is, and its ends are those of this.
+_ADDRESS = re.compile(
+    r"[a-z0-9_%+-]+(?:(?:\.|\sdot\s)[a-z0-9_%+-]+)*(?:@|\s@\s?|\s?[\[(]\s?at\s?[\])]\s?|\sat\s)[a-z0-9-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[a-z0-9-]+)+",
+    re.IGNORECASE | re.ASCII,
+)
+_DOT = re.compile(rb"(?<![A-Za-z])[Dd][Oo][Tt](?![A-Za-z])")
+#: What looks like a number to call but is a date, a range of years or a number of a book.
+_NOT_CALLED = re.compile(r"(?:1[5-9]|20)[0-9]{2}\s?[-/–]\s?(?:(?:1[5-9]|20)[0-9]{2}|[0-9]{2})|[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}|97[89][-\x20]?(?:[0-9][-\x20]?){9}[0-9Xx]|[0-9]{4}-[0-9]{3}[0-9Xx]")
+#: Ten digits as three, three and four: area and exchange begin with 2 to 9.
+_AREA = re.compile(r"(?:\+?1[-.\x20]?)?\(?([0-9])[0-9]{2}\)?[-.\x20]?([0-9])[0-9]{2}[-.\x20]?[0-9]{4}")
 _TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -121,13 +132,25 @@ def plausible(kind: int, found: str) -> bool:
     if "\n" in found or len(found) > STRIDE:
         return False
     if kind == 0:
-        return bool(re.search(r"@|[\[(] ?at ?[\])]", found, re.IGNORECASE)) and len(re.findall(r"[A-Za-z]{2,}", found)) >= 2
+        worded = re.search(r"\sat\s", found, re.IGNORECASE) and not re.search(r"\sdot\s", found, re.IGNORECASE)
+        return bool(_ADDRESS.fullmatch(found)) and not worded and len(re.findall(r"[A-Za-z]{2,}", found)) >= 2
     if kind == 1:
         parts = re.findall(r"[0-9]+", found)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
-    return 7 <= len(digits) <= 15 and not re.search(r"[A-Za-z]", found)
+    area = _AREA.fullmatch(found)
+    return 7 <= len(digits) <= 15 and not re.search(r"[A-Za-z]", found) and not _NOT_CALLED.fullmatch(found) and not (area and {"0", "1"} & set(area.groups()))
+
+
+def settled(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
+    """The ends of a span of the tagger: those of the address that it overlaps most, else its own."""
+    if kind == 0:
+        low = max(0, a - STRIDE)
+        found = [(min(b, low + m.end()) - max(a, low + m.start()), low + m.start(), low + m.end()) for m in _ADDRESS.finditer(text[low : b + STRIDE])]
+        best = max(found, default=(0, a, b))
+        return best[1:] if best[0] > 0 else (a, b)
+    return a, b
 
 
 def _runs(path: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -176,8 +199,10 @@ def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]
             size = min(WINDOW, len(texts[i]) - s)
             for kind, a, b in _runs(paths[:size, k]):
                 whole = (a > 0 or s == 0) and (b < size or s + size == len(texts[i]))
-                if whole and plausible(kind, texts[i][s + a : s + b]):
-                    out[i].append((kind, s + a, s + b))
+                if whole:
+                    low, high = settled(kind, texts[i], s + a, s + b)
+                    if plausible(kind, texts[i][low:high]):
+                        out[i].append((kind, low, high))
     return out
 
 
@@ -205,14 +230,17 @@ def _entity(rng: random.Random) -> tuple[int, str]:
     name = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwxyz") for _ in range(rng.randint(2, 7)))
     kind = rng.choice([0, 1, 2, 3, 3, -1, -1, -1])
     if kind == 0:
-        local = name() + rng.choice(["", "." + name(), _digits(rng, 2), "." + _digits(rng, 2), "_" + name()])
-        host = name() + rng.choice(["", _digits(rng, 1)])
-        tld = rng.choice(["com", "org", "net", "de", "fr", "es", "io"])
-        at, dot = rng.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), (" (at) ", "."), ("[at]", "."), (" @ ", "."), (" (at) ", " (dot) "), (" [at] ", ".")])
-        return 0, local + at + host + dot + rng.choice(["", "example" + dot]) + tld
+        words = rng.random() < 0.25
+        at, dot = (" at ", " dot ") if words else rng.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), (" (at) ", "."), ("[at]", "."), ("(at)", "."), (" @ ", "."), (" @ ", "."), (" (at) ", " (dot) "), (" [at] ", ".")])
+        inner = " dot " if words else "."
+        local = name() + rng.choice(["", "", inner + name(), _digits(rng, 2), inner + _digits(rng, 2), "_" + name(), "_" + _digits(rng, 2)])
+        host = name() + rng.choice(["", "", name(), _digits(rng, 1)]) + (inner + name() + rng.choice(["", name()]) if rng.random() < 0.2 else "")
+        tld = rng.choice(["com", "org", "net", "de", "fr", "es", "io", "co"])
+        written = local + at + host + dot + rng.choice(["", "", "example" + dot]) + tld
+        return 0, written.upper() if rng.random() < 0.05 else written.replace(" at ", " AT ").replace(" dot ", " DOT ") if rng.random() < 0.2 else written
     if kind == 1:
         parts = [str(rng.randint(0, 255)) for _ in range(4)]
-        return 1, rng.choice([".", ".", "[.]", " . "]).join(parts) if rng.random() < 0.4 else ".".join(parts)
+        return 1, rng.choice([".", "[.]", "[.]", " . ", "[dot]"]).join(parts) if rng.random() < 0.6 else ".".join(parts)
     if kind == 2:
         if rng.random() < 0.2:
             d = _card(rng, 15)
@@ -220,8 +248,8 @@ def _entity(rng: random.Random) -> tuple[int, str]:
         d = _card(rng, 16)
         return 2, rng.choice(["", "", " ", "-", ".", "  ", "/", "_"]).join(d[i : i + 4] for i in range(0, 16, 4))
     if kind == 3:
-        a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-        return 3, rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+49 {a} {b}{c}", f"0{a} {b} {c}", f"0{a}/{b}{c}", f"00 44 {a} {b} {c}", f"+33 {c} {b}", f"1-{a}-{b}-{c}"])
+        a, b, c = rng.choice("23456789") + _digits(rng, 2), rng.choice("23456789") + _digits(rng, 2), _digits(rng, 4)
+        return 3, rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+49 {a} {b}{c}", f"0{a} {b} {c}", f"0{a}/{b}{c}", f"00 44 {a} {b} {c}", f"+33 {c} {b}", f"1-{a}-{b}-{c}"])
     hexes = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([8, 18, 32, 40])))
     caps = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
     d = lambda a, b: str(rng.randint(a, b))
@@ -229,7 +257,9 @@ def _entity(rng: random.Random) -> tuple[int, str]:
         [
             f"{d(1, 9)}.{d(0, 9)}", f"v{d(1, 9)}.{d(0, 20)}.{d(0, 20)}", d(1900, 2099), f"${d(1, 999)}.{_digits(rng, 2)}", f"{d(2000, 2030)}-{_digits(rng, 2)}-{_digits(rng, 2)}",
             f"password={hexes}", f'token = "{hexes}"', f"AKIA{caps}", f"{d(1, 99)}%", f"#{d(1, 99999)}", f"{d(1, 12)}:{_digits(rng, 2)}", d(1, 99999), f"{d(1, 9)},{_digits(rng, 3)},{_digits(rng, 3)}",
-            f"({d(1, 9)}) {d(10, 99)}", f"BY-NC {d(1, 4)}.0", f"version {d(1, 9)}.", "@" + name(), f"{d(1, 31)}.{d(1, 12)}.{d(1900, 2030)}", f"{d(1, 9)}.{d(1, 9)}.{d(1, 9)}", _digits(rng, rng.choice([5, 6, 20, 24])),
+            f"({d(1, 9)}) {d(10, 99)}", f"{d(1900, 2030)}-{d(1900, 2030)}", f"{d(1900, 2030)}/{_digits(rng, 2)}", f"{_digits(rng, 2)}-{_digits(rng, 2)}-{d(1900, 2030)}", f"{_digits(rng, 2)}/{_digits(rng, 2)}/{d(1900, 2030)}",
+            f"978-{d(0, 9)}-{_digits(rng, 2)}-{_digits(rng, 6)}-{d(0, 9)}", f"{d(100, 400)}-{d(100, 400)}", f"{_digits(rng, 4)}-{_digits(rng, 4)}", f"{_digits(rng, 5)}.{_digits(rng, 2)}",
+            "at the dot", "at " + name() + " a dot", "dot com", "at " + name(), f"BY-NC {d(1, 4)}.0", f"version {d(1, 9)}.", "@" + name(), f"{d(1, 31)}.{d(1, 12)}.{d(1900, 2030)}", f"{d(1, 9)}.{d(1, 9)}.{d(1, 9)}", _digits(rng, rng.choice([5, 6, 20, 24])),
         ]
     )
 
@@ -288,7 +318,11 @@ def find_spans(tagger: Tagger, texts: pa.Array) -> tuple[list[list], list[list]]
     np.cumsum(_TRIGGER_BYTE[data], out=seen[1:])
     base: list[list] = [[] for _ in range(len(texts))]
     both = base.copy()
-    todo = np.flatnonzero(seen[offsets[1:]] > seen[offsets[:-1]])
+    marked = seen[offsets[1:]] > seen[offsets[:-1]]
+    raw = data.tobytes() if not marked.all() else b""
+    for i in np.flatnonzero(~marked & (offsets[1:] > offsets[:-1])):
+        marked[i] = _DOT.search(raw, offsets[i], offsets[i + 1]) is not None
+    todo = np.flatnonzero(marked)
     held = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in todo]
     for i, text, found in zip(todo, held, tagged(tagger, held), strict=True):
         base[i] = base_spans(text)
@@ -300,8 +334,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: ``doc_id``, counts of base spans by kind, ``base_sha256`` and ``spans``.
 
     Places are code points, ends exclusive.  Null and empty texts have no spans
-    (the digest of nothing).  Rows that repeat an id are rows of their own; an
-    empty table gives none.  ``spans`` also has what the tagger adds.
+    (the digest of nothing).  Very long texts are read whole, some hundreds of
+    windows at a time.  Rows that repeat an id are rows of their own; ids are
+    whole numbers, and an empty table gives none.  Other columns are not read.
+    ``spans`` also has what the tagger adds.
     """
     held = docs.sparkSession.sparkContext.broadcast(model())
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
