@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +26,18 @@ def chunked(df: DataFrame, value: str, keys: list[str], sizes: tuple[int, ...])
     """Each value in pieces of each size: ``*keys, block_size, chunk_no, chunk``; an empty value has none."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys), "block_size int, chunk_no int, chunk binary"])
 
-    def run(batches):
-        for pdf in batches:
-            for _, row in pdf.iterrows():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(len(keys))
+            for row in range(batch.num_rows):
+                whole = held[row].as_py() or b""
                 for size in sizes:
-                    pieces = list(fixed_chunks(bytes(row[value] or b""), size))
-                    out = pd.DataFrame({"block_size": size, "chunk_no": range(len(pieces)), "chunk": pieces})
-                    for k in reversed(keys):
-                        out.insert(0, k, row[k])
-                    yield out
+                    pieces = list(fixed_chunks(whole, size))
+                    named = [batch.column(k).take(pa.array([row] * len(pieces), pa.int64())) for k in range(len(keys))]
+                    made = [*named, pa.array([size] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(made, names=[*keys, "block_size", "chunk_no", "chunk"])
 
-    return df.select(*keys, value).mapInPandas(run, schema)
+    return df.select(*keys, F.col(value).cast("binary")).mapInArrow(run, schema)
 
 
 def block_study(columns: DataFrame, value: str, keys: list[str], sizes: tuple[int, ...], codecs: tuple[int, ...] = POOL) -> DataFrame:

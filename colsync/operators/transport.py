@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +13,8 @@ from colsync.functions.binary import little_endian, to_little_endian
 #: The fields of a package's header after its 2-byte tag, 8 bytes each, and the tag.
 HEADER_FIELDS = ("ori_len", "cmpr_len", "start_ts", "total_events", "tran_start_ts", "net_bw", "cmpr_threads")
 TAG, TAG_END, HEADER_BYTES = 1, 2, 58
-#: Steps of the bandwidth ladder, as parts of the given rate.
-LADDER = (1.0, 0.8, 0.6, 0.8, 1.0)
+#: Steps of the bandwidth ladder, and seconds for which a wandering rate holds.
+STEPS, HOLD_S = 5, 3
 
 
 def package_header(fields: dict[str, Column]) -> Column:
@@ -40,15 +43,28 @@ def throttle_seconds(size: Column, rate: Column, elapsed: Column, threads: Colum
     return F.when(size > threshold, F.greatest(F.lit(0.0), (size / rate - elapsed) * threads)).otherwise(0.0)
 
 
-def ladder_rate(number: Column, rate: float, steps: tuple[float, ...] = LADDER) -> Column:
-    """The rate of the ``number``-th write, from 0: the steps in turn."""
-    return F.element_at(F.array(*[F.lit(rate * s) for s in steps]), (number % len(steps) + 1).cast("int"))
+def ladder_rate(number: Column, rate: int, balance: int) -> Column:
+    """The rate of the ``number``-th write, from 0.
+
+    Five whole steps go from ``rate - balance`` to ``rate + balance``.  The first
+    write has the given rate; each one after it takes the next step, from the
+    second on, and after the last begins with the first.
+    """
+    steps = [rate - balance + i * 2 * balance // (STEPS - 1) for i in range(STEPS)]
+    return F.when(number == 0, F.lit(rate)).otherwise(F.element_at(F.array(*[F.lit(s) for s in steps]), (number % STEPS + 1).cast("int"))).cast("long")
+
 
+def _unit(seed: int, number: Column) -> Column:
+    """A number of 60 bits that looks random, the same for the same seed and number."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), number.cast("string"))), 1, 15), 16, 10).cast("long")
 
-def walk_rate(number: Column, rate: float, spread: float = 0.2, seed: int = 1111) -> Column:
-    """A rate that wanders around the given one, the same for the same seed and number."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), number), F.lit(1_000_000)) / 1_000_000
-    return F.lit(rate) * (1 + (unit * 2 - 1) * spread)
+
+def walk_rate(seconds: Column, rate: int, balance: int, seed: int = 1111) -> Column:
+    """A rate that is drawn anew every three seconds from ``rate - balance`` up to but not ``rate + balance``; before that, and without a balance, the given one."""
+    step = F.floor(seconds / HOLD_S)
+    if not balance:
+        return F.lit(rate).cast("long")
+    return F.when(step < 1, F.lit(rate)).otherwise(_unit(seed, step) % (2 * balance) + rate - balance).cast("long")
 
 
 def bytes_in_flight(df: DataFrame, by: list[str], order: list[str], sent: Column, acknowledged: Column) -> DataFrame:
@@ -63,23 +79,65 @@ def completed(df: DataFrame, by: list[str], order: list[str], total: Column) ->
     return df.withColumn("received", F.sum("ori_len").over(w)).withColumn("done", F.col("received") >= total)
 
 
-def token_bucket(df: DataFrame, by: list[str], order: list[str], size: str, at: str, rate: float, capacity: float) -> DataFrame:
-    """Waits of a token bucket: ``*by, n_writes, waited_s, tokens``.
+class TokenBucket:
+    """A bucket that is filled anew every ``period`` seconds; what is left of the fill before is not kept.
 
-    Tokens come in at ``rate`` a second up to ``capacity``; a write takes its
-    bytes, and waits for what is missing.  Times of ``at`` are in seconds.
+    A fill has ``rate * period`` bytes.  Every ``balance_s`` seconds of fills
+    the amount is drawn anew from that less or more ``balance * period``.
+    Writes of up to ``threshold`` bytes take nothing.
     """
-    held = F.array_sort(F.collect_list(F.struct(*order, F.col(at).cast("double").alias("_at"), F.col(size).cast("double").alias("_n"))))
-    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("waited"), F.lit(0).cast("long").alias("n"))
-
-    def step(s: Column, x: Column) -> Column:
-        now = F.greatest(x["_at"], F.coalesce(s.last, x["_at"]))
-        have = F.least(F.lit(float(capacity)), s.tokens + (now - F.coalesce(s.last, now)) * rate) - x["_n"]
-        wait = F.greatest(F.lit(0.0), -have / rate)
-        return F.struct(F.greatest(have, F.lit(0.0)).alias("tokens"), (now + wait).alias("last"), (s.waited + wait).alias("waited"), (s.n + 1).alias("n"))
 
-    folded = df.groupBy(*by).agg(F.aggregate(held, start, step).alias("_s"))
-    return folded.select(*by, F.col("_s.n").alias("n_writes"), F.round("_s.waited", 6).alias("waited_s"), F.round("_s.tokens", 6).alias("tokens"))
+    def __init__(self, rate: float, period: float, balance: float = 0.0, balance_s: float = 1.0, threshold: float = 0.0, seed: int = 1111):
+        self.fill, self.spread, self.period, self.threshold, self.seed = rate * period, balance * period, period, threshold, seed
+        self.every = max(1, int(balance_s / period))
+        self.left, self.fills, self.next = 0.0, 0, None
+
+    def _amount(self) -> float:
+        """Bytes of the fill that comes now."""
+        epoch = self.fills // self.every
+        if not epoch or not self.spread:
+            return self.fill
+        unit = int(hashlib.md5(f"{self.seed}:{epoch}".encode()).hexdigest()[:15], 16) / float(1 << 60)
+        return self.fill + (2 * unit - 1) * self.spread
+
+    def write(self, size: float, now: float) -> float:
+        """When a write that comes now may go out."""
+        if self.next is None:
+            self.next = now
+        if size <= self.threshold:
+            return now
+        taken = min(self.left, size)
+        self.left, size = self.left - taken, size - taken
+        while size > 0:
+            now = max(now, self.next)
+            # fills that go whole, but for the last one and those before the amount changes
+            many = int(max(0, min(size // self.fill - 1, self.every - 1 - self.fills % self.every if self.spread else size // self.fill - 1)))
+            if many and self._amount() == self.fill:
+                now, size, self.fills = now + many * self.period, size - many * self.fill, self.fills + many
+            self.next, self.fills = now + self.period, self.fills + 1
+            self.left = self._amount()
+            taken = max(0.0, min(self.left, size))
+            self.left, size = self.left - taken, size - taken
+        return now
+
+
+def token_bucket(df: DataFrame, by: list[str], order: list[str], size: str, at: str, rate: float, period: float, **options) -> DataFrame:
+    """Waits of the writes of each key, one after the other, at a ``TokenBucket``: ``*by, n_writes, waited_s, tokens``.
+
+    Times of ``at`` are in seconds; a write begins when it comes and the one before it is out.
+    """
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in by), "n_writes long, waited_s double, tokens double"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        bucket, free, waited = TokenBucket(rate, period, **options), float("-inf"), 0.0
+        for n, moment in zip(pdf[size].astype(float), pdf[at].astype(float), strict=True):
+            now = max(free, moment)
+            free = bucket.write(n, now)
+            waited += free - now
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "n_writes": [len(pdf)], "waited_s": [waited], "tokens": [bucket.left]})
+
+    return df.select(*by, *order, size, at).groupBy(*by).applyInPandas(run, schema)
 
 
 def bandwidth_feedback(df: DataFrame, by: list[str], order: list[str], size: Column, seconds: Column, at: Column, start: float, least: int = 0, idle: float = 5.0) -> DataFrame:

@@ -16,6 +16,7 @@ from colsync.functions import binary as fb
 from colsync.functions import mysql
 from colsync.operators import blocks, codecs, columns, container, events, lightweight, rows, stats, transport
 from colsync.plans import logs, pipeline, planner, profile
+from colsync.sources import binlog
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -193,12 +194,12 @@ def column_sizes(spark, sf_dir):
 
 
 @query(f"""
-    WITH c AS ({_SIZES}), t AS (SELECT *, unnest(range(4)) AS turn FROM c),
+    WITH c AS ({_SIZES}), t AS (SELECT *, unnest(range(ceil(ori_len / 1000)::BIGINT + 1)) AS turn FROM c),
     w AS (SELECT *, sum(1000) OVER (PARTITION BY block_no, column_name ORDER BY turn) AS e FROM t)
     SELECT block_no, column_name, turn, least(e - 1000, ori_len)::BIGINT AS lo, least(e, ori_len)::BIGINT AS hi FROM w""")
 def column_slices(spark, sf_dir):
-    """Four takes of 1000 bytes from each column."""
-    takes = _line_sizes(spark, sf_dir).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn("byte_num", F.lit(1000))
+    """Takes of 1000 bytes from each column until it is empty, and one more."""
+    takes = _line_sizes(spark, sf_dir).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("ori_len") / 1000)))).withColumn("byte_num", F.lit(1000))
     return columns.cursors(takes, ["block_no", "column_name"], ["turn"]).select("block_no", "column_name", "turn", "lo", "hi")
 
 
@@ -398,11 +399,16 @@ def codec_names(spark, sf_dir):
 # -- registry and profiles ------------------------------------------------------
 
 
-@query("SELECT o_custkey % 50 AS table_id, min(o_orderkey) AS packet_no, arg_min(o_orderpriority, o_orderkey) AS name FROM orders GROUP BY 1")
+@query("SELECT o_custkey % 50 AS table_id, arg_min(o_orderpriority, o_orderkey) AS name, (1 + o_custkey % 50 % 3)::INTEGER AS n_columns FROM orders GROUP BY ALL")
 def registry_first_wins(spark, sf_dir):
-    """The first definition of each table id."""
-    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("table_id"), "o_orderkey", "o_orderpriority")
-    return o.groupBy("table_id").agg(F.min("o_orderkey").alias("packet_no"), F.min_by("o_orderpriority", "o_orderkey").alias("name"))
+    """A TABLE_MAP for each order, whose table is named by its priority; the first of each table id is parsed and kept."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("table_id"), "o_orderkey", F.col("o_orderpriority").alias("name"))
+    kinds = [r["name"] for r in o.select("name").distinct().orderBy("name").limit(100).collect()]
+    define = lambda i, name: mysql.TableInfo("shop", name, (mysql.TYPES["LONGLONG"],) * (1 + i % 3), (0,) * (1 + i % 3), (True,) * (1 + i % 3))
+    bodies = spark.createDataFrame([(i, name, bytearray(mysql.table_map_body(i, define(i, name)))) for i in range(50) for name in kinds], "table_id long, name string, body binary")
+    maps = binlog.event_packets(o.join(F.broadcast(bodies), ["table_id", "name"]).withColumn("_file", F.lit("all")), binlog.EVENTS["TABLE_MAP"], F.col("body"), F.lit(0), "_file", [F.col("o_orderkey")])
+    registry = rows.registry_of(events.view(events.headers(maps), "TABLE_MAP"))
+    return spark.createDataFrame([(i, info.name, len(info.types)) for i, info in registry.items()], "table_id long, name string, n_columns int")
 
 
 _CODECS = "(VALUES " + ", ".join(f"({c})" for c in codecs.POOL) + ") AS k(codec)"
@@ -538,10 +544,19 @@ def bytes_in_flight(spark, sf_dir):
     return out.select("event_id", "in_flight")
 
 
-@query("SELECT o_orderkey, round([1.0, 0.8, 0.6, 0.8, 1.0][(o_orderkey % 5 + 1)::INTEGER] * 2e6, 3)::DOUBLE AS rate FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 2000000 ELSE 2000000 - 800001 + (o_orderkey % 5) * 2 * 800001 // 4 END AS rate FROM orders")
 def bandwidth_ladder(spark, sf_dir):
     """The rate of each write on the ladder."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(transport.ladder_rate(F.col("o_orderkey"), BANDWIDTH), 3).alias("rate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", transport.ladder_rate(F.col("o_orderkey"), int(BANDWIDTH), 800_001).alias("rate"))
+
+
+@query("""SELECT event_id, CASE WHEN s < 3 THEN 2000000 ELSE ('0x' || substr(md5('1111:' || (s // 3)), 1, 15))::BIGINT % 1600000 + 1200000 END AS rate
+    FROM (SELECT event_id, floor(epoch(ts))::BIGINT - min(floor(epoch(ts))::BIGINT) OVER () AS s FROM events)""")
+def bandwidth_walk(spark, sf_dir):
+    """The rate at each event of a bandwidth that is drawn anew every three seconds."""
+    e = table(spark, sf_dir, "events").select("event_id", seconds("ts").alias("s"))
+    start = e.agg(F.min("s").alias("start"))
+    return e.join(F.broadcast(start)).select("event_id", transport.walk_rate(F.col("s") - F.col("start"), int(BANDWIDTH), 800_000).alias("rate"))
 
 
 @query("SELECT event_id, round(CASE WHEN n > 30 THEN greatest(0, (n / 1000 - 0.01) * 2) ELSE 0 END, 9)::DOUBLE AS sleep_s FROM (SELECT event_id, 24 + strlen(props) AS n FROM events)")
@@ -552,16 +567,19 @@ def throttle_sleep(spark, sf_dir):
 
 
 @query("""
-    WITH RECURSIVE v AS (SELECT user_id % 20 AS key, event_id / 40.0 AS tm, (24 + strlen(props))::DOUBLE AS n, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i FROM events),
-    f AS (SELECT key, i, greatest(200.0 - n, 0.0)::DOUBLE AS tokens, (tm + greatest(0.0, (n - 200.0) / 60.0))::DOUBLE AS last, greatest(0.0, (n - 200.0) / 60.0)::DOUBLE AS waited FROM v WHERE i = 1
+    WITH RECURSIVE v AS (SELECT user_id % 20 AS key, event_id / 40.0::DOUBLE AS tm, (24 + strlen(props))::DOUBLE AS n, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i FROM events),
+    f AS (SELECT key, 0::BIGINT AS i, 0.0::DOUBLE AS have, NULL::DOUBLE AS next, -1e18::DOUBLE AS free, 0.0::DOUBLE AS waited FROM v WHERE i = 1
           UNION ALL
-          SELECT key, i, greatest(have, 0.0), moment + greatest(0.0, -have / 60.0), waited + greatest(0.0, -have / 60.0) FROM (
-              SELECT v.key, v.i, f.waited, greatest(v.tm, f.last)::DOUBLE AS moment, (least(200.0, f.tokens + (greatest(v.tm, f.last) - f.last) * 60.0) - v.n)::DOUBLE AS have FROM f JOIN v ON v.key = f.key AND v.i = f.i + 1))
-    SELECT key, max(i) AS n_writes, round(arg_max(waited, i), 6) AS waited_s, round(arg_max(tokens, i), 6) AS tokens FROM f GROUP BY key""")
+          SELECT key, i, CASE WHEN k > 0 THEN have + k * 15.0 - n WHEN n > 30 THEN have - n ELSE have END, CASE WHEN k > 0 THEN greatest(moment, next) + k * 0.25 ELSE next END,
+                 CASE WHEN k > 0 THEN greatest(moment, next) + (k - 1) * 0.25 ELSE moment END, waited + CASE WHEN k > 0 THEN greatest(moment, next) + (k - 1) * 0.25 - moment ELSE 0 END
+          FROM (SELECT v.key, v.i, v.n, f.have, f.waited, greatest(v.tm, f.free) AS moment, coalesce(f.next, greatest(v.tm, f.free)) AS next, CASE WHEN v.n > 30 THEN greatest(0, ceil((v.n - f.have) / 15.0)) ELSE 0 END AS k
+                FROM f JOIN v ON v.key = f.key AND v.i = f.i + 1))
+    SELECT key, max(i) AS n_writes, round(arg_max(waited, i), 6) AS waited_s, round(arg_max(have, i), 6) AS tokens FROM f GROUP BY key""")
 def token_bucket(spark, sf_dir):
-    """Waits of a token bucket for each key's writes."""
+    """Waits at a token bucket of each key's writes: 60 bytes a second in fills of a quarter of one; writes of up to 30 bytes pass."""
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("key"), "event_id", (F.col("event_id") / 40.0).alias("at"), (F.octet_length("props") + 24).alias("n"))
-    return transport.token_bucket(e, ["key"], ["event_id"], "n", "at", 60.0, 200.0)
+    out = transport.token_bucket(e, ["key"], ["event_id"], "n", "at", 60.0, 0.25, threshold=30.0)
+    return out.select("key", "n_writes", F.round("waited_s", 6).alias("waited_s"), F.round("tokens", 6).alias("tokens"))
 
 
 @query("""
@@ -617,15 +635,32 @@ def phase_totals(spark, sf_dir):
 # -- codecs and containers ------------------------------------------------------
 
 
-@query("SELECT doc_id, codec, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS sha FROM documents, (VALUES " + ", ".join(f"({c})" for c in (152, 153, 156, 157, 159, 160, 162)) + ") AS k(codec)")
-def codec_roundtrip(spark, sf_dir):
-    """Documents through seven codecs and back."""
+def _through(ids: tuple[int, ...]) -> str:
+    return "SELECT doc_id, codec, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS sha FROM documents, (VALUES " + ", ".join(f"({c})" for c in ids) + ") AS k(codec)"
+
+
+def _roundtrip(spark, sf_dir, ids):
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("v"))
-    d = d.withColumn("codec", F.explode(F.array(*[F.lit(c) for c in (152, 153, 156, 157, 159, 160, 162)])))
+    d = d.withColumn("codec", F.explode(F.array(*[F.lit(c) for c in ids])))
     back = d.select("doc_id", "codec", codecs.decode(codecs.encode(F.col("v"), F.col("codec")), F.col("codec")).alias("v"))
     return back.select("doc_id", "codec", F.octet_length("v").cast("long").alias("n_bytes"), F.sha2("v", 256).alias("sha"))
 
 
+_FAST, _SLOW = (151, 152, 153, 156, 157, 159, 160, 162), (154, 155, 161)
+
+
+@query(_through(_FAST))
+def codec_roundtrip(spark, sf_dir):
+    """Documents through the fast codecs and back."""
+    return _roundtrip(spark, sf_dir, _FAST)
+
+
+@query(_through(_SLOW))
+def codec_roundtrip_slow(spark, sf_dir):
+    """Documents through the slow codecs and back."""
+    return _roundtrip(spark, sf_dir, _SLOW)
+
+
 @query()
 def codec_sizes(spark, sf_dir):
     """Compressed bytes of all documents by codec and language; sizes depend on the libraries."""
@@ -650,34 +685,103 @@ def container_roundtrip(spark, sf_dir):
     return joined.groupBy("file").agg(F.count("*").alias("n_packets"), F.sum(F.octet_length("packet")).cast("long").alias("n_bytes"), F.min(F.col("packet").eqNullSafe(F.col("want"))).alias("same"))
 
 
-def _pipeline_bytes(spark, sf_dir, transposed: bool, mode: str = "zstd"):
+def _pipeline(spark, sf_dir, transposed: bool, mode: str):
+    """Orders in packages; the packages are cut up again, decoded and compared with the columns, byte for byte."""
     packets = logs.table_packets(table(spark, sf_dir, "orders"), logs.ORDERS, F.col("o_orderpriority"), ["o_orderkey"])
-    options = pipeline.Options(mode=mode, transposed=transposed, block_bytes=FIXED_BYTES, bandwidth=BANDWIDTH)
-    if mode == pipeline.NORMAL:
-        options.profile = _profile(spark, pipeline.cut_columns(packets, options)[0])
-    sent = pipeline.run(packets, options).packages
-    return sent.groupBy("file").agg(F.sum("ori_len").cast("long").alias("ori_len"), F.min(F.octet_length("header")).alias("header_bytes"))
+    options = pipeline.Options(mode=mode, transposed=transposed, block_bytes=FIXED_BYTES, bandwidth=BANDWIDTH, codecs=(151, 152, 156))
+    if mode in (pipeline.NORMAL, pipeline.REPLAY):
+        cut = pipeline.cut_columns(packets, options)[0]
+        options.profile = _profile(spark, cut)
+        options.plan = planner.lp_plan(cut, options.profile, pipeline.KEYS, BANDWIDTH).select(*pipeline.KEYS, "column_name", "codec", "byte_num")
+    run = pipeline.run(packets, options)
+    back = pipeline.restored_columns(pipeline.unpacked(run.packages, run.segments.drop("payload")))
+    keys = [*pipeline.KEYS, "column_name"]
+    compared = run.columns.where("ori_len > 0").select(*keys, F.col("values").alias("want")).join(back.where(F.octet_length("values") > 0), keys, "full_outer")
+    same = compared.groupBy("file").agg(F.min(F.col("values").eqNullSafe(F.col("want"))).alias("same"))
+    read = transport.parse_header("header")
+    sent = run.packages.groupBy("file").agg(F.sum(read["ori_len"]).cast("long").alias("ori_len"), F.min(F.octet_length("header")).alias("header_bytes"))
+    return sent.join(same, "file")
 
 
-_SENT = f"SELECT o_orderpriority AS file, (sum({ORDER_BYTES}) + {ORDER_MAP_BYTES})::BIGINT AS ori_len, 58 AS header_bytes FROM orders GROUP BY 1"
+_SENT = f"SELECT o_orderpriority AS file, (sum({ORDER_BYTES}) + {ORDER_MAP_BYTES})::BIGINT AS ori_len, 58 AS header_bytes, true AS same FROM orders GROUP BY 1"
 
 
 @query(_SENT)
 def pipeline_transposed(spark, sf_dir):
-    """Orders through the whole pipeline, a column for each field: bytes that the packages stand for."""
-    return _pipeline_bytes(spark, sf_dir, True)
+    """Orders through the whole pipeline and back, a column for each field."""
+    return _pipeline(spark, sf_dir, True, "zstd")
+
+
+@query(_SENT)
+def pipeline_untransposed(spark, sf_dir):
+    """The same in fixed blocks of the raw stream."""
+    return _pipeline(spark, sf_dir, False, "zstd")
 
 
 @query(_SENT)
 def pipeline_normal(spark, sf_dir):
     """The same with a codec mix by linear program for each block of raw bytes."""
-    return _pipeline_bytes(spark, sf_dir, False, pipeline.NORMAL)
+    return _pipeline(spark, sf_dir, False, pipeline.NORMAL)
 
 
 @query(_SENT)
-def pipeline_untransposed(spark, sf_dir):
-    """The same in fixed blocks of the raw stream."""
-    return _pipeline_bytes(spark, sf_dir, False)
+def pipeline_normal_transposed(spark, sf_dir):
+    """A codec mix by linear program for each column of each block."""
+    return _pipeline(spark, sf_dir, True, pipeline.NORMAL)
+
+
+@query(_SENT)
+def pipeline_one_best(spark, sf_dir):
+    """The one best codec of each block, by codecs timed on its columns."""
+    return _pipeline(spark, sf_dir, True, pipeline.ONE_BEST)
+
+
+@query(_SENT)
+def pipeline_multi_best(spark, sf_dir):
+    """The best mix of each block, by codecs timed on it."""
+    return _pipeline(spark, sf_dir, False, pipeline.MULTI_BEST)
+
+
+@query(_SENT)
+def pipeline_replay(spark, sf_dir):
+    """A plan that was made before, replayed."""
+    return _pipeline(spark, sf_dir, True, pipeline.REPLAY)
+
+
+_KINDS = ("FORMAT_DESCRIPTION", "TRANSACTION_PAYLOAD", "PREVIOUS_GTIDS", "ANONYMOUS_GTID", "ROTATE", "QUERY", "XID", "STOP")
+
+
+@query(f"""
+    SELECT file, packet_no, event_type, CASE kind
+        WHEN 0 THEN '4|8.0.' || o_orderkey || '|' || o_custkey || '|19' WHEN 1 THEN o_orderstatus || o_orderkey WHEN 2 THEN '07|' || o_orderpriority WHEN 3 THEN o_orderpriority || o_orderstatus
+        WHEN 4 THEN o_custkey || '|log.' || o_orderkey WHEN 5 THEN o_custkey || '|' || (o_orderkey % 1000) || '|3|' || o_orderstatus || '|' || o_orderpriority || '|UPDATE t SET x = ' || o_orderkey WHEN 6 THEN o_orderkey::VARCHAR ELSE '' END AS detail
+    FROM (SELECT *, o_orderkey % 8 AS kind, [{", ".join(str(binlog.EVENTS[k]) for k in _KINDS)}][(o_orderkey % 8 + 1)::INTEGER] AS event_type, o_orderpriority AS file, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS packet_no FROM orders)""")
+def event_kinds(spark, sf_dir):
+    """Events of all kinds without rows, a kind for each order in turn, as packets and decoded again."""
+    o = table(spark, sf_dir, "orders")
+    le = lambda c, n: fb.to_little_endian(F.col(c) if isinstance(c, str) else c, n)
+    text = lambda *c: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in c]).cast("binary")
+    key, customer, status, priority = (F.col(f"o_{c}") for c in ("orderkey", "custkey", "orderstatus", "orderpriority"))
+    version = text("8.0.", key)
+    bodies = (
+        F.concat(le(F.lit(4), 2), F.substring(F.concat(version, F.unhex(F.lit("00" * 50))), 1, 50), le(customer, 4), le(F.lit(19), 1)),
+        text(status, key), F.concat(F.unhex(F.lit("07")), text(priority)), text(priority, status), F.concat(le(customer, 8), text("log.", key)),
+        F.concat(le(customer, 4), le(key % 1000, 4), le(F.octet_length(status), 1), le(F.lit(3), 2), le(F.octet_length(priority), 2), text(priority), text(status), text("UPDATE t SET x = ", key)),
+        le(key, 8), text(""),
+    )
+    pick = lambda options: F.element_at(F.array(*options), (key % len(_KINDS) + 1).cast("int"))
+    packets = binlog.event_packets(o.withColumn("_file", priority), pick([F.lit(binlog.EVENTS[k]) for k in _KINDS]), pick(bodies), F.lit(0), "_file", [key])
+    heads = events.headers(packets)
+    fields = {
+        "FORMAT_DESCRIPTION": ("version", "server_version", "created", "header_len"), "TRANSACTION_PAYLOAD": ("payload",), "PREVIOUS_GTIDS": ("gtid_flags", "gtids"), "ANONYMOUS_GTID": ("gtid",), "ROTATE": ("position", "next_name"),
+        "QUERY": ("thread_id", "exec_time", "error_code", "db", "status_vars", "sql"), "XID": ("xid",), "STOP": (),
+    }
+    shown = lambda c: F.lower(F.hex(c)) if c == "gtid_flags" else F.col(c).cast("string")
+    found = [events.view(heads, k).select("file", "packet_no", F.lit(binlog.EVENTS[k]).alias("event_type"), F.concat_ws("|", F.lit("") if not fields[k] else shown(fields[k][0]), *[shown(c) for c in fields[k][1:]]).alias("detail")) for k in _KINDS]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query()
@@ -685,4 +789,13 @@ def block_size_study(spark, sf_dir):
     """Ratios of each codec by block size over the benchmark's texts."""
     b = table(spark, sf_dir, "benchmark").select(F.lit("text").alias("column_name"), F.col("text").cast("binary").alias("v"))
     study = stats.block_study(b, "v", ["column_name"], stats.SMALL_SIZES, (152, 153, 156, 157))
-    return study.select("column_name", "block_size", "codec", "n", "ori_len", "cmpr_len")
+    return study.select("column_name", "block_size", "codec", "n", "ori_len", "cmpr_len", *[F.round(c, 9).alias(c) for c in ("mean", "variance", "least", "largest")])
+
+
+@query()
+def column_size_study(spark, sf_dir):
+    """Ratios of all codecs of the pool over the columns of the orders log, in pieces of 1 to 1000 KiB; sizes depend on the libraries."""
+    packets = logs.table_packets(table(spark, sf_dir, "orders"), logs.ORDERS, F.col("o_orderpriority"), ["o_orderkey"])
+    cut = pipeline.cut_columns(packets, pipeline.Options(mode="zstd", block_bytes=10 << 20))[0]
+    study = stats.block_study(cut, "values", ["column_name"], tuple(1024 * k for k in stats.COLUMN_SIZES))
+    return study.select("column_name", "block_size", "codec", "n", "ori_len", "cmpr_len", *[F.round(c, 9).alias(c) for c in ("mean", "variance", "least", "largest")])

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from colsync.operators import blocks, codecs, container, lightweight, stats, transport
+from colsync.operators import blocks, codecs, columns, container, lightweight, stats, transport
 from colsync.plans import logs, planner, profile, simplex
 
 U32 = st.lists(st.one_of(st.integers(0, 2**32 - 1), st.integers(0, 300)), max_size=60)
@@ -214,3 +214,70 @@ def test_blocks_without_bytes_have_a_codec(spark):
     columns = spark.createDataFrame([(1, "a", 0), (2, "a", 100)], "block_no int, column_name string, ori_len long")
     rates = spark.createDataFrame([("a", 152, 2.0, 1e6), ("a", 156, 1.5, 1e8)], "column_name string, codec int, gain double, bw double")
     assert {r.block_no: (r.codec, r.score) for r in planner.one_best(columns, rates, ["block_no"], 2e6).collect()} == {1: (152, 0.0), 2: (156, 3e6)}
+
+
+def test_bandwidth_ladder_and_walk(spark):
+    rate, balance = 1000, 401
+    steps = [rate - balance + i * (2 * balance) // 4 for i in range(5)]
+    want, at, now = [], 0, rate
+    for _ in range(12):  # a write, then the next step
+        want.append(now)
+        at = (at + 1) % 5
+        now = steps[at]
+    df = spark.range(12)
+    assert [r.rate for r in df.select("id", transport.ladder_rate(F.col("id"), rate, balance).alias("rate")).orderBy("id").collect()] == want
+    walked = [r.rate for r in spark.range(300).select("id", transport.walk_rate(F.col("id") * 1.0, rate, balance).alias("rate")).orderBy("id").collect()]
+    assert walked[:3] == [rate] * 3 and all(rate - balance <= x < rate + balance for x in walked)
+    assert all(len(set(walked[i : i + 3])) == 1 for i in range(0, 300, 3)) and len(set(walked)) > 60
+    assert {r.rate for r in spark.range(30).select(transport.walk_rate(F.col("id") * 1.0, rate, 0).alias("rate")).collect()} == {rate}
+
+
+@pytest.mark.parametrize("balance", [0.0, 40.0])
+def test_token_bucket_fill_by_fill(spark, balance):
+    rng = random.Random(7)
+    writes = [(k, i, rng.choice([5, 12, 40, 300, 2500]), i * rng.choice([0.1, 1.0])) for k in range(3) for i in range(40)]
+    rate, period, balance_s, threshold = 100.0, 0.25, 1.0, 10
+
+    def plain(rows):
+        fill, spread, every = rate * period, balance * period, int(balance_s / period)
+        left, count, extra, fills, free, waited, due = 0.0, every, 0.0, 0, float("-inf"), 0.0, None
+        for n, at in rows:
+            now = begun = max(free, at)
+            due = now if due is None else due
+            if n > threshold:
+                taken = min(left, n)
+                left, n = left - taken, n - taken
+                while n > 0:
+                    now = max(now, due)
+                    due, count, fills = now + period, count - 1, fills + 1
+                    if count == 0:
+                        unit = int(transport.hashlib.md5(f"1111:{fills // every}".encode()).hexdigest()[:15], 16) / float(1 << 60)
+                        extra, count = (2 * unit - 1) * spread, every
+                    left = fill + extra
+                    taken = max(0.0, min(left, n))
+                    left, n = left - taken, n - taken
+            waited, free = waited + now - begun, now
+        return waited, left
+
+    df = spark.createDataFrame(writes, "k int, i int, n int, at double")
+    got = {r.k: (r.n_writes, r.waited_s, r.tokens) for r in transport.token_bucket(df, ["k"], ["i"], "n", "at", rate, period, balance=balance, balance_s=balance_s, threshold=threshold).collect()}
+    for k in range(3):
+        waited, left = plain([(n, at) for a, _, n, at in writes if a == k])
+        assert got[k][0] == 40 and got[k][1] == pytest.approx(waited) and got[k][2] == pytest.approx(left)
+
+
+def test_column_names_and_lost_events(spark):
+    df = spark.createDataFrame([("7:12",), ("Timestamps",), ("x:1",), ("7:",)], "name string")
+    assert [r.k and tuple(r.k) for r in df.select(columns.split_key(F.col("name")).alias("k")).collect()] == [(7, 12), None, None, None]
+    cut = spark.createDataFrame([(1, "BodyLens", 3), (1, "Seqs", 3), (2, "BodyLens", 2)], "block_no int, column_name string, n_values long")
+    whole, lost = (spark.createDataFrame([(1, 3), (2, n)], "block_no int, n_events long") for n in (2, 4))
+    assert columns.check_counts(cut, whole, ["block_no"]).count() == 3
+    with pytest.raises(Exception, match="lost events"):
+        columns.check_counts(cut, lost, ["block_no"]).collect()
+
+
+def test_packages_in_a_folder(spark, tmp_path):
+    one, two = (spark.createDataFrame([(k, bytearray(b"x" * k))], "block_no long, payload binary") for k in (1, 2))
+    for batch, rows in ((0, one), (1, two), (1, two)):  # a batch that comes again replaces itself
+        transport.write_packages(rows, str(tmp_path / "out"), batch)
+    assert sorted((r.batch, r.block_no) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 1), (1, 2)]
