@@ -7,10 +7,12 @@ which begins with a flag; the body of an event follows with its 19-byte header.
 from __future__ import annotations
 
 import glob
+import json
 import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -18,8 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from colsync.functions.binary import to_little_endian
 
 SCHEMA = "file string, packet_no long, offset long, body_len int, seq smallint, flag smallint, body binary"
-#: Bytes that are read from a file at a time, and packets of a batch.
-CHUNK, ROWS = 4 << 20, 20_000
+#: Bytes that are read from a file at a time, packets of a batch, and bytes of a file that one task reads, about.
+CHUNK, ROWS, SPLIT = 4 << 20, 20_000, 128 << 20
 #: Event kinds.
 EVENTS = {
     "STOP": 3, "QUERY": 2, "ROTATE": 4, "FORMAT_DESCRIPTION": 15, "XID": 16, "TABLE_MAP": 19, "WRITE_ROWS_V0": 20, "WRITE_ROWS_V1": 23, "WRITE_ROWS": 30,
@@ -28,9 +30,40 @@ EVENTS = {
 NAMES = {code: name for name, code in EVENTS.items()}
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, local or any that a URI names and Arrow knows (``hdfs``, ``s3``, ``gs``), and the path in it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
+def boundaries(path: str, every: int = SPLIT) -> Iterator[tuple[int, int, int]]:
+    """``(start, stop, first packet)`` of the parts of a file, each of ``every`` bytes or a packet more; only headers are looked at.
+
+    The last part goes to the end of the file, whole packets or not.
+    """
+    fs, inner = _store(path)
+    with fs.open_input_file(inner) as file:
+        size, start, first = file.size(), 0, 0
+        at, number, held, low = 0, 0, b"", 0
+        while at + 4 <= size:
+            if at + 4 > low + len(held):
+                file.seek(at)
+                low, held = at, file.read(CHUNK)
+            i = at - low
+            step = 4 + (held[i] | held[i + 1] << 8 | held[i + 2] << 16)
+            if at + step > size:
+                break
+            at, number = at + step, number + 1
+            if at - start >= every:
+                yield start, at, first
+                start, first = at, number
+        if start < size:
+            yield start, size, first
+
+
 def frames(path: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, bytes]]:
     """``(offset, packet)`` of a file from one packet boundary to another; a packet that is cut short at the end raises."""
-    with open(path, "rb") as file:
+    fs, inner = _store(path)
+    with fs.open_input_file(inner) as file:
         file.seek(start)
         at, held = start, b""
         while True:
@@ -70,8 +103,18 @@ def _batches(path: str, packets: Iterable[tuple[int, bytes]], first: int = 0) ->
 
 
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    return sorted(glob.glob(os.path.join(path, "*"))) if os.path.isdir(path) else sorted(glob.glob(path))
+    """The files of a folder, of a local pattern, or the file itself, in order."""
+    if "://" not in path and glob.has_magic(path):
+        return sorted(glob.glob(path))
+    fs, inner = _store(path)
+    [info] = fs.get_file_info([inner])
+    if info.type == pafs.FileType.NotFound:
+        return []
+    prefix = path[: len(path) - len(inner)] if "://" in path and path.endswith(inner) else ""
+    if info.type == pafs.FileType.File:
+        return [path]
+    found = [i.path for i in fs.get_file_info(pafs.FileSelector(inner)) if i.type == pafs.FileType.File and not i.base_name.startswith((".", "_"))]
+    return sorted(prefix + f if "://" in path else f for f in found)
 
 
 class _File(InputPartition):
@@ -80,10 +123,12 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, splits: str | None):
+        self.path, self.splits = path, splits
 
     def partitions(self) -> list[_File]:
+        if self.splits:
+            return [_File(*x) for x in json.loads(self.splits)]
         return [_File(f) for f in _files(self.path)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
@@ -93,7 +138,9 @@ class _Reader(DataSourceReader):
 class _StreamReader(DataSourceStreamReader):
     """New packets of growing or new files; an incomplete tail waits for the next trigger.
 
-    The offset of the stream is the position in each file and the packets up to it.
+    The offset of the stream is the position in each file and the packets up to
+    it.  There is no rate: a reader that starts again isn't told the position of
+    the checkpoint before it is asked for the end, so it can't take a part.
     """
 
     def __init__(self, path: str):
@@ -106,12 +153,16 @@ class _StreamReader(DataSourceStreamReader):
         out = dict(start)
         for path in _files(self.path):
             at, count = start.get(path, [0, 0])
-            end, size = at, os.path.getsize(path)
-            with open(path, "rb") as file:
+            end = at
+            fs, inner = _store(path)
+            with fs.open_input_file(inner) as file:
+                size, held, low = file.size(), b"", at
                 while end + 4 <= size:
-                    file.seek(end)
-                    head = file.read(4)
-                    step = 4 + int.from_bytes(head[:3], "little")
+                    if end + 4 > low + len(held):
+                        file.seek(end)
+                        low, held = end, file.read(CHUNK)
+                    i = end - low
+                    step = 4 + (held[i] | held[i + 1] << 8 | held[i + 2] << 16)
                     if end + step > size:
                         break
                     end, count = end + step, count + 1
@@ -133,7 +184,11 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class BinlogDataSource(DataSource):
-    """``spark.read.format("binlog").load(path)``: packets of a file, a folder or a pattern, a partition for each file."""
+    """``spark.read.format("binlog").load(path)``: packets of a file, a folder or a local pattern.
+
+    A partition is a file, or a part of one where the option ``splits`` says so
+    (see ``read_packets``).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -143,20 +198,46 @@ class BinlogDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options.get("splits"))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _StreamReader(self.options["path"])
 
 
-def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """The packets of a log: ``file, packet_no, offset, body_len, seq, flag, body``; the body is without the flag."""
+def _walk(every: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = list(boundaries(path, every))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3))], names=["path", "start", "stop", "first"])
+
+    return run
+
+
+def read_packets(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
+    """The packets of a log: ``file, packet_no, offset, body_len, seq, flag, body``; the body is without the flag.
+
+    Files of more than ``split_bytes`` are read in parts: a job of a task for
+    each file hops from header to header and finds where parts may begin.  The
+    driver holds a short row for each part.
+    """
     spark.dataSource.register(BinlogDataSource)
-    return spark.read.format("binlog").load(path)
+    files, reader = _files(path), spark.read.format("binlog")
+    sizes = {}
+    for f in files:
+        fs, inner = _store(f)
+        sizes[f] = fs.get_file_info(inner).size
+    large = [f for f in files if sizes[f] > split_bytes]
+    if large:
+        named = spark.createDataFrame([(f,) for f in large], "path string").repartition(len(large))
+        found = named.mapInArrow(_walk(split_bytes), "path string, start long, stop long, first long").collect()
+        splits = [(r.path, r.start, r.stop, r["first"]) for r in found] + [(f, 0, None, 0) for f in files if f not in set(large)]
+        reader = reader.option("splits", json.dumps(sorted(splits, key=lambda x: x[:2])))
+    return reader.load(path)
 
 
 def stream_packets(spark: SparkSession, path: str) -> DataFrame:
-    """The packets as a stream."""
+    """The packets as a stream; a trigger takes all that is there."""
     spark.dataSource.register(BinlogDataSource)
     return spark.readStream.format("binlog").load(path)
 

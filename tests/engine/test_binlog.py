@@ -1,5 +1,6 @@
 """Packets to rows and back: decoding against the tables that were encoded, containers byte for byte, streams against batches."""
 
+import random
 from datetime import datetime
 from decimal import Decimal
 
@@ -164,3 +165,21 @@ def test_vectors():
     for value, p, s in ((Decimal("12345678901234.5678"), 18, 4), (Decimal("-0.05"), 4, 2), (Decimal("0"), 10, 0), (Decimal("-999999999.99"), 11, 2), (Decimal("7"), 65, 30)):
         text = mysql.decimal_text(mysql.pack_decimal(value, p, s), p, s)
         assert Decimal(text) == value and text.startswith("-") == (value < 0)
+
+
+def test_large_files_are_read_in_parts(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    rng = random.Random(3)
+    for k in range(3):
+        binlog.write_file(str(folder / f"f{k}"), [event_body(EVENTS["XID"], bytes(rng.randrange(256) for _ in range(rng.randint(0, 400)))) for _ in range(200 * k)])
+    whole = read_packets(spark, str(folder))
+    for path in (str(folder), f"file://{folder}", str(folder / "f*")):
+        parts = read_packets(spark, path, split_bytes=3000)
+        assert parts.rdd.getNumPartitions() > 20
+        assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    with open(folder / "f1", "ab") as f:
+        f.write(b"\x09\x00\x00\x01\x00torn")
+    with pytest.raises(Exception, match="no whole packet"):
+        read_packets(spark, str(folder), split_bytes=3000).collect()
+
