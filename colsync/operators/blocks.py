@@ -1,10 +1,11 @@
 """Cutting packet streams into blocks.
 
 Fixed cuts are arithmetic on offsets.  The greedy cut at packet boundaries
-depends on each block before it, so it folds over an index of short rows,
-offset, length and class, one file at a time and a batch at a time; block ends
-are found by binary search on the offsets, a step for each block and not for
-each packet.
+depends on each block before it, so it goes over an index of short rows,
+offset, length and class, in three steps: each stretch of a file finds, in a
+task of its own, how it would be cut for every place at which its first block
+may begin; the stretches of a file are put together from these short tables;
+then each is cut from where the one before has left off.
 """
 
 from __future__ import annotations
@@ -15,12 +16,40 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 
-def packet_offsets(df: DataFrame, length: Column, by: list[str], order: list[str]) -> DataFrame:
-    """``offset`` of each packet: the lengths before it in its file."""
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("packet_len", length.cast("long")).withColumn("offset", F.coalesce(F.sum("packet_len").over(before), F.lit(0)).cast("long"))
+def _range_of(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are at most the value, by halving; 0 for null."""
+
+    def halve(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(value >= F.lit(bounds[middle]), halve(middle + 1, hi)).otherwise(halve(lo, middle))
+
+    return halve(0, len(bounds))
+
+
+def packet_offsets(df: DataFrame, length: Column, by: list[str], order: list[str], ranges: int = 64) -> DataFrame:
+    """``offset`` of each packet: the lengths before it in its file.
+
+    Quantiles of the first column of the order (a number, date or time; files of
+    any other order stay whole) cut each file into ``ranges`` parts, so a hot file
+    is no single task: parts are summed, and their sums lead the rows of the parts
+    after them.  The quantiles are approximate and only balance the work.
+    """
+    rows = df.withColumn("packet_len", length.cast("long"))
+    kind, bounds = df.schema[order[0]].dataType, []
+    if isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        found = rows.agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], 1000)).first()[0]
+        bounds = sorted(set(found or []))
+    parted = rows.withColumn("_part", _range_of(F.col(order[0]), bounds)).withColumn("_row", F.lit(True))
+    before = lambda w: F.coalesce(F.sum("packet_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    sums = parted.groupBy(*by, "_part").agg(F.sum("packet_len").alias("packet_len"))
+    leads = sums.select(*by, "_part", before(Window.partitionBy(*by).orderBy("_part")).alias("packet_len"), F.lit(False).alias("_row"))
+    placed = parted.unionByName(leads, allowMissingColumns=True)
+    return placed.withColumn("offset", before(Window.partitionBy(*by, "_part").orderBy("_row", *order))).where("_row").drop("_part", "_row")
 
 
 def fixed_blocks(index: DataFrame, size: int, by: list[str]) -> DataFrame:
@@ -55,29 +84,84 @@ class Cutter:
         return out
 
 
-def bound_blocks(index: DataFrame, size: int) -> DataFrame:
-    """The block of each packet: ``file, packet_no, block_no, offset, packet_len, class``; ``index`` has all but the block.
+def _outcomes(offsets: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """How a stretch is cut for each place at which its first block may begin: ``at, n_blocks, start, kind``.
 
-    The packets of a file stream through one task in order; it holds a batch of
-    them at a time, however long the file is.
+    A block that is open when the stretch begins ends at the first packet beyond
+    ``its start + size``, at the first change of kind at the latest; it began no
+    later than the stretch, so only packets up to ``size`` after the first one
+    count.  The row that holds is the first with ``at`` beyond ``start + size``,
+    or the first of all if the open block is of another kind; without one the
+    block stays open.  Places that are cut alike share a row.
     """
+    n = len(offsets)
+    change = np.append(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1, n)
+    after = np.append(np.minimum(np.searchsorted(offsets, offsets + size, side="right"), change[np.searchsorted(change, np.arange(n), side="right")]), n)
+    count, last = np.append(np.ones(n, np.int64), 0), np.arange(n + 1)
+    while (after < n).any():  # twice the steps each time
+        count, last = count + count[after], np.where(after < n, last[after], last)
+        after = after[after]
+    far = int(np.searchsorted(offsets, offsets[0] + size, side="right"))
+    first = np.arange(min(far, int(change[0]), n - 1) + 1)
+    first = first[(first == 0) | (offsets[first] > offsets[first - 1]) | (first == change[0])]
+    at = np.where((first == change[0]) & (first > 0), np.iinfo(np.int64).max, offsets[first])
+    ends = np.append(np.flatnonzero((np.diff(count[first]) != 0) | (np.diff(last[first]) != 0)), len(first) - 1)
+    first, at = first[ends], at[ends]
+    return at, count[first], offsets[last[first]], kinds[last[first]]
+
+
+def bound_blocks(index: DataFrame, size: int, stretch: int | None = None) -> DataFrame:
+    """The block of each packet: ``file, packet_no, block_no, offset, packet_len, class``; ``index`` has all but the block.
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, cutter = None, Cutter(size)
-        for rows in batches:
-            names = rows["file"].to_numpy()
-            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(rows)]
-            number = np.empty(len(rows), np.int64)
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if names[a] != file or cutter.number < 0:
-                    file, cutter = names[a], Cutter(size)
-                number[a:b] = cutter.cut(rows["offset"].to_numpy()[a:b], rows["class"].to_numpy()[a:b])
-            yield pd.DataFrame({"file": rows["file"], "packet_no": rows["packet_no"], "block_no": number, "offset": rows["offset"], "packet_len": rows["packet_len"], "class": rows["class"]})
-
-    ordered = index.select("file", "packet_no", "offset", "packet_len", "class").repartition("file").sortWithinPartitions("file", "packet_no")
-    return ordered.mapInPandas(fold, "file string, packet_no long, block_no long, offset long, packet_len long, class boolean")
+    A task holds the index of ``stretch`` bytes of a file (16 blocks, at least 16
+    MiB), however long the file is; what follows one after the other for a file is
+    a row for each way to cut a stretch.
+    """
+    stretch = stretch or max(16 << 20, 16 * size)
+    rows = index.select("file", "packet_no", "offset", "packet_len", "class", F.coalesce(F.col("class").cast("int"), F.lit(-1)).alias("kind"), F.expr(f"offset div {stretch}").alias("part"))
+    parts = rows.groupBy("file", "part")
+
+    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("packet_no")
+        kinds = pdf["kind"].to_numpy()
+        at, count, start, kind = _outcomes(pdf["offset"].to_numpy(), kinds, size)
+        return pd.DataFrame({"file": pdf["file"].iloc[0], "part": pdf["part"].iloc[0], "first": kinds[0], "at": at, "n_blocks": count, "start": start, "kind": kind})
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, file, state = None, None, None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            keys = held["file"].fillna("").to_numpy(), held["part"].to_numpy()
+            edges = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1
+            for a, b in zip([0, *edges[:-1]], edges, strict=False):  # the last part may go on in the next batch
+                row, file, state = _enter(held.iloc[a:b], file, state)
+                yield row
+            held = held.iloc[edges[-1] :] if len(edges) else held
+        if held is not None and len(held):
+            yield _enter(held, file, state)[0]
+
+    def _enter(part: pd.DataFrame, file, state):
+        """The state in which a part begins, and the one after it: number of the open block, its start and kind."""
+        name = part["file"].iloc[0]
+        if state is None or name != file:
+            state = (-1, 0, 0)
+        row = pd.DataFrame({"file": [name], "part": part["part"].iloc[:1].to_numpy(), "number": [state[0]], "start": [state[1]], "kind": [state[2]]})
+        broken = state[0] < 0 or state[2] != part["first"].iloc[0]
+        i = 0 if broken else int(np.searchsorted(part["at"].to_numpy(), state[1] + size, side="right"))
+        if i < len(part):
+            way = part.iloc[i]
+            state = (state[0] + int(way["n_blocks"]), int(way["start"]), int(way["kind"]))
+        return row, name, state
+
+    def fold(pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("packet_no")
+        cutter = Cutter(size)
+        cutter.number, cutter.start, cutter.kind = (int(begin[c].iloc[0]) for c in ("number", "start", "kind"))
+        return pdf.assign(block_no=cutter.cut(pdf["offset"].to_numpy(), pdf["kind"].to_numpy()))[["file", "packet_no", "block_no", "offset", "packet_len", "class"]]
+
+    found = parts.applyInPandas(ways, "file string, part long, first int, at long, n_blocks long, start long, kind int")
+    begins = found.repartition("file").sortWithinPartitions("file", "part", "at").mapInPandas(chain, "file string, part long, number long, start long, kind int")
+    return parts.cogroup(begins.groupBy("file", "part")).applyInPandas(fold, "file string, packet_no long, block_no long, offset long, packet_len long, class boolean")
 
 
 def block_summary(cut_packets: DataFrame, start: int = 0, interval_ms: int = 0) -> DataFrame:

@@ -68,6 +68,38 @@ def test_greedy_cut():
         assert got == want
 
 
+@pytest.mark.parametrize("stretch", [40, 300, None])
+def test_greedy_cut_in_stretches(spark, stretch):
+    rng = random.Random(6)
+    rows, want = [], set()
+    for file in ("a", "b", "c", "d"):
+        offset, start, number, kind = 0, 0, -1, None
+        for i in range({"a": 400, "b": 1, "c": 90, "d": 200}[file]):
+            size, now = rng.choice([0, 5, 9, 30, 130]), None if rng.random() < 0.02 else rng.random() < 0.95
+            if number < 0 or offset - start > 60 or now is not kind:
+                start, number, kind = offset, number + 1, now
+            rows.append((file, i, offset, size, now))
+            want.add((file, i, number, offset, size, now))
+            offset += size
+    index = spark.createDataFrame(rows, "file string, packet_no long, offset long, packet_len long, class boolean").repartition(5)
+    assert {tuple(r) for r in blocks.bound_blocks(index, 60, stretch).collect()} == want
+    assert blocks.bound_blocks(index.limit(0), 60, stretch).collect() == []
+
+
+@pytest.mark.parametrize("order", ["i", "s", "t"])
+def test_offsets_over_ranges(spark, order):
+    rng = random.Random(7)
+    rows = [(rng.choice(["hot", "hot", "hot", "x", None]), i, f"{i:05d}", rng.randint(0, 50)) for i in range(500)] + [("hot", None, None, 3), ("null only", None, None, 4)]
+    df = spark.createDataFrame(rows, "f string, i int, s string, n int").withColumn("t", F.timestamp_seconds("i")).repartition(4)
+    got = {(r.f, r.i): r.offset for r in blocks.packet_offsets(df, F.col("n"), ["f"], [order], 16).collect()}
+    at, want = {}, {}
+    for f, i, _, n in sorted(rows, key=lambda r: -1 if r[1] is None else r[1]):
+        want[f, i] = at.get(f, 0)
+        at[f] = want[f, i] + n
+    assert got == want
+    assert blocks.packet_offsets(df.limit(0), F.col("n"), ["f"], [order]).collect() == []
+
+
 @pytest.mark.parametrize(
     "c,a,b,aeq,beq,bounds,x,fun",
     [
