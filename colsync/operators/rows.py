@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsync.functions.mysql import TYPES, TableInfo, datetime2_micros, decimal_text, pack_datetime2, parse_table_map, time2_text, width
+from colsync.functions.mysql import TYPES, TableInfo, datetime2_micros, decimal_texts, pack_datetime2, parse_table_map, time2_texts, width
 from colsync.functions.ragged import binary_buffers, gather, interleave, to_binary
 
 CHECKSUM = 4
@@ -152,8 +152,7 @@ def _typed(values: pa.Array, code: int, meta: int) -> pa.Array:
     if code == 18:
         micros = datetime2_micros(raw, meta)
         return pa.array(micros, mask=null | (micros == np.iinfo(np.int64).min)).cast(pa.timestamp("us"))
-    texts = [None if x is None else (time2_text(x, meta) if code == 19 else decimal_text(x, meta >> 8, meta & 0xFF)) for x in values.to_pylist()]
-    out = pa.array(texts, pa.string())
+    out = to_binary(*(time2_texts(raw, meta) if code == 19 else decimal_texts(raw, meta >> 8, meta & 0xFF)), null).cast(pa.string())
     return out.cast(pa.decimal128(meta >> 8, meta & 0xFF)) if spark_type(code, meta).startswith("decimal") else out
 
 

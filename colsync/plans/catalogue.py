@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from colsync.functions import binary as fb
 from colsync.functions import mysql
+from colsync.functions.ragged import to_binary
 from colsync.operators import blocks, codecs, columns, container, events, lightweight, rows, stats, transport
 from colsync.plans import logs, pipeline, planner, profile
 from colsync.sources import binlog
@@ -325,6 +326,16 @@ def byte_codec_roundtrip(spark, sf_dir):
 # -- scalar functions -----------------------------------------------------------
 
 
+def _texts(read, width: int):
+    """A function of a column of values of one width: their bytes as rows of an array, read all at once as characters and lengths."""
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        raw = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), width)
+        return pd.Series(to_binary(*read(raw)).cast("string").to_pandas())
+
+    return run
+
+
 @query("""
     SELECT doc_id, (CASE WHEN quality IS NULL THEN 1 ELSE 0 END + CASE WHEN toxic = 1 THEN 2 ELSE 0 END + CASE WHEN quality = 1 THEN 4 ELSE 0 END)::INTEGER AS bitmap, coalesce(toxic = 1, false) AS second_bit, 1::BIGINT AS n_bytes
     FROM documents LEFT JOIN labels USING (doc_id)""")
@@ -343,16 +354,15 @@ def bit_counts(spark, sf_dir):
 
 
 @query("""
-    SELECT doc_id, n AS value, CASE WHEN n < 251 THEN 1 WHEN n < 65536 THEN 3 WHEN n < 16777216 THEN 4 ELSE 9 END AS size, left(coalesce(text, ''), 20) AS head
+    SELECT doc_id, n AS value, CASE WHEN n < 251 THEN 1 WHEN n < 65536 THEN 3 WHEN n < 16777216 THEN 4 ELSE 9 END AS size, sha256(coalesce(text, '')) AS sha
     FROM (SELECT *, strlen(coalesce(text, '')) AS n FROM documents)""")
 def lenenc_size(spark, sf_dir):
-    """Lengths and whole texts, length-encoded and read again; a text that differs raises, and the head is that of the text read."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Lengths and whole texts, length-encoded and read again; the digest is that of the text read."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     n = F.octet_length("text")
-    coded = d.select("doc_id", "text", fb.to_length_encoded(n).alias("a"), n.alias("_n"), F.concat(fb.to_length_encoded(n), F.col("text").cast("binary")).alias("s"))
-    read = fb.length_encoded_string("s", 1).cast("string")
-    head = F.when(read.eqNullSafe(F.col("text")), F.substring(read, 1, 20)).otherwise(F.raise_error(F.lit("a text was not read back whole")))
-    return coded.select("doc_id", fb.length_encoded_int("a", 1)["value"].cast("long").alias("value"), fb.length_encoded_size("_n").alias("size"), head.alias("head"))
+    coded = d.select("doc_id", fb.to_length_encoded(n).alias("a"), n.alias("_n"), F.concat(fb.to_length_encoded(n), F.col("text")).alias("s"))
+    read = fb.length_encoded_string("s", 1)
+    return coded.select("doc_id", fb.length_encoded_int("a", 1)["value"].cast("long").alias("value"), fb.length_encoded_size("_n").alias("size"), F.sha2(read.cast("binary"), 256).alias("sha"))
 
 
 @query("SELECT n_nationkey, (n_nationkey * 1000003)::BIGINT AS le6, (n_nationkey * 70001 % 16777216)::BIGINT AS le3, ((n_nationkey * 257) % 65536)::BIGINT AS be2 FROM nation")
@@ -369,18 +379,32 @@ def le_int_decode(spark, sf_dir):
 def time2_decode(spark, sf_dir):
     """Stored times with two digits of a fraction as text."""
     stored = ["800000.00", "7FFFFF.FF", "7FFFFF.9D", "7FFFFF.00", "7FFFFE.FF", "7FFFFE.F6"]
-    decode = F.udf(lambda x: mysql.time2_text(bytes.fromhex(x.replace(".", "")), 2))
-    return spark.createDataFrame([(s,) for s in stored], "stored string").select("stored", decode("stored").alias("text"))
+    rows_ = spark.createDataFrame([(s,) for s in stored], "stored string")
+    return rows_.select("stored", _texts(lambda raw: mysql.time2_texts(raw, 2), 4)(F.unhex(F.replace("stored", F.lit("."), F.lit("")))).alias("text"))
+
+
+@query("""
+    SELECT event_id, printf('%s%02d:%02d:%02d', CASE WHEN s > 0 AND event_id % 2 = 1 THEN '-' ELSE '' END, s // 3600, s // 60 % 60, s % 60) AS text
+    FROM (SELECT event_id, floor(epoch(ts))::BIGINT % 3000000 AS s FROM events)""")
+def time2_of_events(spark, sf_dir):
+    """Times of up to 833 hours, below zero for every other event, stored without a fraction and read as text."""
+    s = seconds("ts") % 3_000_000
+    whole = F.shiftleft(F.floor(s / 3600), 12) + F.shiftleft(F.floor(s / 60) % 60, 6) + s % 60
+    number = F.lit(1 << 23) + F.when(F.col("event_id") % 2 == 1, -whole).otherwise(whole)
+    stored = F.unhex(F.lpad(F.hex(number), 6, "0"))
+    return table(spark, sf_dir, "events").select("event_id", _texts(lambda raw: mysql.time2_texts(raw, 0), 3)(stored).alias("text"))
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 2)::DECIMAL(18, 2)::VARCHAR AS text FROM orders")
 def decimal_decode(spark, sf_dir):
     """Prices packed as decimals and read as text again."""
-    @F.pandas_udf("string")
-    def through(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: mysql.decimal_text(mysql.pack_decimal(v, 18, 2), 18, 2))
+    @F.pandas_udf("binary")
+    def packed(values: pd.Series) -> pd.Series:
+        return pd.Series([r.tobytes() for r in mysql.pack_decimals(values.fillna(0).to_numpy(np.int64), 18, 2)])
 
-    return table(spark, sf_dir, "orders").select("o_orderkey", through(F.round("o_totalprice", 2).cast("decimal(18,2)")).alias("text"))
+    unscaled = (F.round("o_totalprice", 2).cast("decimal(18,2)") * 100).cast("long")
+    text = _texts(lambda raw: mysql.decimal_texts(raw, 18, 2), mysql.decimal_bytes(18, 2))(packed(unscaled))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_totalprice").isNotNull(), text).alias("text"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"({c}, '{n}')" for c, n in mysql.TYPE_NAMES.items()) + ") AS t(code, name)")
