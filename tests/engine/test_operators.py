@@ -145,6 +145,20 @@ def test_small_programs_by_vertices():
         assert np.isclose(simplex.solve(c, a, b).fun, best)
 
 
+def test_programs_of_unlike_sizes():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        a, b, c = rng.integers(-4, 6, (4, 3)).astype(float), rng.integers(1, 12, 4).astype(float), rng.integers(-6, 7, 3).astype(float)
+        a, b = np.vstack([a, np.eye(3)]), np.append(b, [20, 20, 20])
+        plain = simplex.solve(c, a, b, scale=False)
+        rows, columns = 10.0 ** rng.integers(-9, 10, 7), 10.0 ** rng.integers(-9, 10, 3)
+        got = simplex.solve(c * columns * 1e-7, a * rows[:, None] * columns, b * rows)
+        assert got.success and np.isclose(got.fun * 1e7, plain.fun)
+        assert np.isclose(got.duals @ (b * rows), got.fun)
+    row, column = simplex._scales(np.array([[1e12, 0.0], [3.0, 1e-9]]))
+    assert (np.log2(row) % 1 == 0).all() and (np.log2(column) % 1 == 0).all()
+
+
 def test_allocation():
     rng = random.Random(6)
     for _ in range(30):
