@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colsync.operators.lightweight import percent_split
+
 
 @dataclass(frozen=True)
 class Codec:
@@ -142,6 +144,18 @@ def decode(value: Column, codec: int | Column) -> Column:
     return _function("decode")(codec, value)
 
 
+def encode_split(value: Column, percents: list[int], ids: list[int]) -> Column:
+    """A value cut by percentages, each part by its own codec: an array of ``codec, lo, payload``."""
+    ranges = percent_split(F.octet_length(value).cast("long"), percents)
+    part = lambda lo, hi, id: F.struct(F.lit(id).alias("codec"), lo.alias("lo"), encode(F.substring(value, (lo + 1).cast("int"), (hi - lo).cast("int")), id).alias("payload"))
+    return F.array(*[part(lo, hi, id) for (lo, hi), id in zip(ranges, ids, strict=True)])
+
+
+def decode_split(parts: Column, n: int) -> Column:
+    """The value again from its ``n`` parts, by the codecs that they name."""
+    return F.concat(*[decode(parts[i]["payload"], parts[i]["codec"]) for i in range(n)])
+
+
 MEASURED = "ori_len long, cmpr_len long, seconds double, decode_seconds double"
 
 

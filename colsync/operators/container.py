@@ -135,12 +135,9 @@ def decode_blocks(containers: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for _, r in pdf.iterrows():
-                for name, places, values in chunks(bytes(r["container"])):
-                    out = pd.DataFrame({"column_name": name, "place": places, "value": values})
-                    for k in reversed(keys):
-                        out.insert(0, k, r[k])
-                    yield out
+            for container, *held in zip(pdf["container"], *(pdf[k] for k in keys), strict=True):
+                for name, places, values in chunks(bytes(container)):
+                    yield pd.DataFrame({**dict(zip(keys, held, strict=True)), "column_name": name, "place": places, "value": values})
 
     return containers.select(*keys, "container").mapInPandas(run, schema)
 

@@ -54,6 +54,8 @@ def _bits(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 IMAGES = "file string, packet_no long, table_id long, row_no int, included binary, nulls binary, values array<binary>, checksum binary"
+#: Tables of a log whose definitions the driver holds.
+MAX_TABLES = 1_000_000
 
 
 def _decode(batches: Iterator[pa.RecordBatch], registry: dict[int, TableInfo]) -> Iterator[pa.RecordBatch]:
@@ -105,10 +107,13 @@ def row_images(write_rows: DataFrame, registry: dict[int, TableInfo]) -> DataFra
 def registry_of(table_maps: DataFrame) -> dict[int, TableInfo]:
     """The definitions by table id; the first TABLE_MAP of an id counts for good.
 
-    One short row per table; ``table_maps`` has ``file, packet_no, table_id, data``.
+    One short row per table, ``MAX_TABLES`` at most, which the driver holds and
+    broadcasts; more raise.  ``table_maps`` has ``file, packet_no, table_id, data``.
     """
-    first = table_maps.groupBy("table_id").agg(F.min(F.struct("file", "packet_no", "data"))["data"].alias("data"))
-    return {r.table_id: parse_table_map(bytes(r.data))[1] for r in first.collect()}
+    first = table_maps.groupBy("table_id").agg(F.min(F.struct("file", "packet_no", "data"))["data"].alias("data")).limit(MAX_TABLES + 1).collect()
+    if len(first) > MAX_TABLES:
+        raise ValueError(f"more than {MAX_TABLES} tables in a log")
+    return {r.table_id: parse_table_map(bytes(r.data))[1] for r in first}
 
 
 # -- typed values -------------------------------------------------------------

@@ -91,11 +91,17 @@ def lineitem_log_summary(spark, sf_dir):
     return back.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.min(F.unix_micros(F.col("l_shipdate").cast("timestamp"))).alias("first_us"), F.max("l_partkey").alias("last_part"))
 
 
-@query("""
-    SELECT event_type, count(*) AS n_events, sum(24 + strlen(props))::BIGINT AS n_bytes FROM events GROUP BY event_type""")
+_BY_TURN = (*events.HANDLED, 99)
+
+
+@query(f"""
+    SELECT k.code AS event_type, k.name AS event_name, count(*) AS n_events, sum(24 + strlen(props))::BIGINT AS n_bytes
+    FROM events JOIN (VALUES {", ".join(f"({i}, {c}, '{events.NAMES.get(c, 'OTHER')}')" for i, c in enumerate(_BY_TURN))}) AS k(turn, code, name) ON event_id % {len(_BY_TURN)} = turn GROUP BY k.code, k.name""")
 def events_by_kind(spark, sf_dir):
-    """Events and their bytes by type."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n_events"), F.sum(F.octet_length("props") + 24).cast("long").alias("n_bytes"))
+    """Events as packets of all kinds in turn, one of them unknown, a file for each user; counted from the decoded headers."""
+    e = table(spark, sf_dir, "events").withColumn("_file", F.col("user_id").cast("string"))
+    kind = F.element_at(F.array(*[F.lit(c) for c in _BY_TURN]), (F.col("event_id") % len(_BY_TURN) + 1).cast("int"))
+    return events.event_counts(events.headers(binlog.event_packets(e, kind, F.col("props").cast("binary"), F.lit(0), "_file", [F.col("event_id")])))
 
 
 # -- blocks ---------------------------------------------------------------------
@@ -125,14 +131,14 @@ def fixed_blocks(spark, sf_dir):
 
 
 _EVENT_PACKETS = """SELECT (user_id % 16)::VARCHAR AS file, (row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) - 1) AS packet_no, (24 + strlen(props))::BIGINT AS packet_len,
-    (event_id % 97 <> 0) AS class FROM events"""
+    (event_id % 97 <> 0) AS class, event_type FROM events"""
 
 
 def _event_packets(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("file", (F.col("user_id") % 16).cast("string"))
     w = Window.partitionBy("file").orderBy("event_id")
-    e = e.select("file", "event_id", (F.row_number().over(w) - 1).cast("long").alias("packet_no"), F.octet_length("props").alias("_n"), (F.col("event_id") % 97 != 0).alias("class"))
-    return blocks.packet_offsets(e, F.col("_n") + 24, ["file"], ["event_id"]).select("file", "packet_no", "offset", "packet_len", "class")
+    e = e.select("file", "event_id", (F.row_number().over(w) - 1).cast("long").alias("packet_no"), F.octet_length("props").alias("_n"), (F.col("event_id") % 97 != 0).alias("class"), "event_type")
+    return blocks.packet_offsets(e, F.col("_n") + 24, ["file"], ["event_id"]).select("file", "packet_no", "offset", "packet_len", "class", "event_type")
 
 
 _BOUND = f"""
@@ -167,10 +173,17 @@ def class_split(spark, sf_dir):
     return blocks.class_islands(_event_packets(spark, sf_dir), F.col("class"), ["file"], ["packet_no"]).withColumn("island", F.col("island").cast("long"))
 
 
-@query("""SELECT event_id // 500 AS block_no, event_type, count(*) AS n FROM events GROUP BY ALL""")
+@query(
+    _BOUND
+    + """
+    SELECT r.file, r.block_no::BIGINT AS block_no, event_type, count(*) AS n
+    FROM ranged r JOIN q ON q.file = r.file AND q.packet_no >= r.s AND (r.e IS NULL OR q.packet_no < r.e) GROUP BY r.file, r.block_no, event_type"""
+)
 def block_event_counts(spark, sf_dir):
-    """Events of each kind in each block."""
-    return table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 500).alias("block_no"), "event_type").agg(F.count("*").alias("n"))
+    """Events of each kind in each greedy block."""
+    packets = _event_packets(spark, sf_dir)
+    held = blocks.bound_blocks(packets, BOUND_BYTES).select("file", "packet_no", "block_no")
+    return held.join(packets.select("file", "packet_no", "event_type"), ["file", "packet_no"]).groupBy("file", "block_no", "event_type").agg(F.count("*").alias("n"))
 
 
 # -- columns --------------------------------------------------------------------
@@ -500,6 +513,17 @@ def lp_objective_switch(spark, sf_dir):
     return plan.groupBy("block_no").agg((F.first("objective") < planner.TARGET).alias("below"))
 
 
+@query(f"""
+    SELECT block_no, column_name, arg_min(codec, pack + send)::INTEGER AS codec, any_value(ori_len)::BIGINT AS byte_num
+    FROM (SELECT block_no, column_name, codec, ori_len, ori_len / bw AS pack, ori_len / (gain * {BANDWIDTH}) AS send FROM ({_SIZES}), {_PROFILE}) JOIN ({_OPTIMUM}) USING (block_no)
+    WHERE optimum < {planner.TARGET} GROUP BY block_no, column_name""")
+def lp_second_plan(spark, sf_dir):
+    """What the second program gives each column of the blocks that switch to it; these are short of the target, so each column has the codec of the least sum."""
+    sizes = _line_sizes(spark, sf_dir)
+    plan = planner.lp_plan(sizes, _profile(spark, sizes), ["block_no"], BANDWIDTH)
+    return plan.where("switched").select("block_no", "column_name", "codec", "byte_num")
+
+
 @query("""
     WITH RECURSIVE v AS (SELECT user_id % 40 AS key, value, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS i FROM events),
     f AS (SELECT key, i, value AS kept, 1 AS changes FROM v WHERE i = 1
@@ -649,6 +673,16 @@ def percent_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(ranges).alias("r")).select("doc_id", "r.*")
 
 
+@query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, [0, strlen(coalesce(text, '')) * 50 // 100, strlen(coalesce(text, '')) * 80 // 100]::VARCHAR AS starts, sha256(coalesce(text, '')) AS sha FROM documents")
+def percent_split_codecs(spark, sf_dir):
+    """Texts split 50 : 30 : 20, each part by its own codec, and put together again."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("v"))
+    parts = d.select("doc_id", codecs.encode_split(F.col("v"), [50, 30, 20], [153, 156, 151]).alias("p"))
+    starts = F.concat(F.lit("["), F.array_join(F.transform("p", lambda x: x["lo"].cast("string")), ", "), F.lit("]"))
+    back = parts.select("doc_id", starts.alias("starts"), codecs.decode_split(F.col("p"), 3).alias("v"))
+    return back.select("doc_id", F.octet_length("v").cast("long").alias("n_bytes"), "starts", F.sha2("v", 256).alias("sha"))
+
+
 @query("SELECT event_type AS phase, count(*) AS runs, round(sum(value), 4) AS seconds FROM events GROUP BY 1")
 def phase_totals(spark, sf_dir):
     """Sums of timings by phase."""
