@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
+from colsync.operators.folds import edges
+
 
 def _range_of(value: Column, bounds: list) -> Column:
     """How many of the sorted bounds are at most the value, by halving; 0 for null."""
@@ -131,12 +133,11 @@ def bound_blocks(index: DataFrame, size: int, stretch: int | None = None) -> Dat
         held, file, state = None, None, None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            keys = held["file"].fillna("").to_numpy(), held["part"].to_numpy()
-            edges = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1
-            for a, b in zip([0, *edges[:-1]], edges, strict=False):  # the last part may go on in the next batch
+            cut = edges(held, ["file", "part"])
+            for a, b in zip(cut, cut[1:-1], strict=False):  # the last part may go on in the next batch
                 row, file, state = _enter(held.iloc[a:b], file, state)
                 yield row
-            held = held.iloc[edges[-1] :] if len(edges) else held
+            held = held.iloc[cut[-2] :]
         if held is not None and len(held):
             yield _enter(held, file, state)[0]
 

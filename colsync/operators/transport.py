@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsync.functions.binary import little_endian, to_little_endian
+from colsync.operators.folds import fold_sorted
 
 #: The fields of a package's header after its 2-byte tag, 8 bytes each, and the tag.
 HEADER_FIELDS = ("ori_len", "cmpr_len", "start_ts", "total_events", "tran_start_ts", "net_bw", "cmpr_threads")
@@ -125,19 +126,24 @@ def token_bucket(df: DataFrame, by: list[str], order: list[str], size: str, at:
     """Waits of the writes of each key, one after the other, at a ``TokenBucket``: ``*by, n_writes, waited_s, tokens``.
 
     Times of ``at`` are in seconds; a write begins when it comes and the one before it is out.
+    A key's writes stream, however many.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in by), "n_writes long, waited_s double, tokens double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        bucket, free, waited = TokenBucket(rate, period, **options), float("-inf"), 0.0
-        for n, moment in zip(pdf[size].astype(float), pdf[at].astype(float), strict=True):
-            now = max(free, moment)
-            free = bucket.write(n, now)
-            waited += free - now
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "n_writes": [len(pdf)], "waited_s": [waited], "tokens": [bucket.left]})
-
-    return df.select(*by, *order, size, at).groupBy(*by).applyInPandas(run, schema)
+    class Writer:
+        bucket, free, waited, n = None, float("-inf"), 0.0, 0
+
+    def start() -> Writer:
+        writer = Writer()
+        writer.bucket = TokenBucket(rate, period, **options)
+        return writer
+
+    def step(writer: Writer, rows: pd.DataFrame) -> None:
+        for n, moment in zip(rows[size].astype(float), rows[at].astype(float), strict=True):
+            now = max(writer.free, moment)
+            writer.free = writer.bucket.write(n, now)
+            writer.waited += writer.free - now
+        writer.n += len(rows)
+
+    return fold_sorted(df.select(*dict.fromkeys([*by, *order, size, at])), by, order, start, step, lambda w: (w.n, w.waited, w.bucket.left), "n_writes long, waited_s double, tokens double")
 
 
 def bandwidth_feedback(df: DataFrame, by: list[str], order: list[str], size: Column, seconds: Column, at: Column, start: float, least: int = 0, idle: float = 5.0) -> DataFrame:

@@ -7,6 +7,11 @@ numbers, and all that depends on a clock is replaced by the literal profile of
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +23,7 @@ from colsync.functions.ragged import to_binary
 from colsync.operators import blocks, codecs, columns, container, events, lightweight, rows, stats, transport
 from colsync.plans import logs, pipeline, planner, profile
 from colsync.sources import binlog
+from colsync.streaming import state
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -79,6 +85,40 @@ def binlog_roundtrip(spark, sf_dir):
     return back.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("order_us"), "o_orderpriority")
 
 
+def _written(spark, sf_dir) -> str:
+    """Orders as logs in a new folder that all executors share; on this machine alone it goes at the end of the session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="colsync-")
+        atexit.register(shutil.rmtree, root, True)
+    folder = f"{root.rstrip('/')}/colsync/logs-{uuid.uuid4().hex}"
+    binlog.write_log(logs.table_packets(table(spark, sf_dir, "orders"), logs.ORDERS, F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]+", "_"), ["o_orderkey"]), f"{folder}/in")
+    return folder
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) AS order_us, o_orderpriority, regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '_', 'g') AS file FROM orders""")
+def binlog_source(spark, sf_dir):
+    """Orders written as binlog files, read by the source in parts of 256 KiB, the table definition from its event, and decoded."""
+    packets = binlog.read_packets(spark, f"{_written(spark, sf_dir)}/in", split_bytes=256 << 10)
+    heads = events.headers(packets)
+    registry = rows.registry_of(events.view(heads, "TABLE_MAP"))
+    back = rows.typed_rows(rows.row_images(events.view(heads, "WRITE_ROWS"), registry), registry[logs.ORDERS.table_id], list(logs.ORDERS.columns), keep=("file",))
+    return back.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("order_us"), "o_orderpriority", "file")
+
+
+@query(f"""
+    SELECT 'TABLE_MAP' AS event_name, count(DISTINCT o_orderpriority) AS n_events, (count(DISTINCT o_orderpriority) * {ORDER_MAP_BYTES})::BIGINT AS n_bytes FROM orders
+    UNION ALL SELECT 'WRITE_ROWS', count(*), sum({ORDER_BYTES})::BIGINT FROM orders""")
+def binlog_stream(spark, sf_dir):
+    """The same files as a stream into the sink, twice over from one checkpoint; what it holds is counted, and nothing came twice."""
+    folder = _written(spark, sf_dir)
+    for _ in range(2):
+        state.package_sink(binlog.stream_packets(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint", 600)
+    return events.event_counts(events.headers(spark.read.parquet(f"{folder}/out"))).drop("event_type")
+
+
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, min(epoch_us(l_shipdate)) AS first_us, max(l_partkey) AS last_part FROM lineitem GROUP BY ALL""")
 def lineitem_log_summary(spark, sf_dir):
     """Lineitem through row images of fixed and variable width, summed."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ NAMES = {code: name for name, code in EVENTS.items()}
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path, local or any that a URI names and Arrow knows (``hdfs``, ``s3``, ``gs``), and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
@@ -242,6 +245,42 @@ def stream_packets(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("binlog").load(path)
 
 
+# -- writing logs ---------------------------------------------------------------
+
+
+def write_log(packets: DataFrame, folder: str) -> None:
+    """Packets as logs, a file for each ``file`` in the order of ``packet_no``; files of these names are replaced.
+
+    A file is written under a name of its attempt and then moved, so a task that
+    is tried again or twice leaves whole files only.  A file streams through one
+    task, as its bytes follow one another.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = _store(folder)
+        fs.create_dir(inner)
+        name, out, part, done = None, None, f"{inner}/.part-{uuid.uuid4().hex}", []
+
+        def finish() -> None:
+            out.close()
+            fs.move(part, f"{inner}/{name}")
+            done.append(name)
+
+        for batch in batches:
+            for file, seq, flag, body in zip(*(batch.column(c).to_pylist() for c in ("file", "seq", "flag", "body")), strict=True):
+                if out is None or file != name:
+                    if out is not None:
+                        finish()
+                    name, out = file, fs.open_output_stream(part)
+                out.write(packet(body, seq, flag))
+        if out is not None:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["file"])
+
+    sorted_ = packets.select("file", "packet_no", "seq", "flag", "body").repartition("file").sortWithinPartitions("file", "packet_no")
+    sorted_.mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+
+
 # -- synthetic logs -----------------------------------------------------------
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from colsync.operators import events
@@ -72,6 +73,79 @@ class Profile(StatefulProcessor):
         pass
 
 
+class Bandwidth(StatefulProcessor):
+    """The bandwidth of the last send that counts; a link that is idle falls back by a timer of processing time."""
+
+    def __init__(self, start: float, least: int, idle: float):
+        self.start, self.least, self.idle = start, least, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._known = handle.getValueState("known", StructType([StructField("bandwidth", DoubleType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = pd.concat(list(rows))
+        big = parts[(parts["n_bytes"] >= self.least) & (parts["seconds"] > 0)].sort_values("at")
+        if len(big):
+            last = big.iloc[-1]
+            self._known.update((float(last["n_bytes"] / last["seconds"]),))
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, int(self.idle * 1000)))
+        yield self._row(key, self._known.get()[0] if self._known.exists() else self.start, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._known.clear()
+        yield self._row(key, self.start, True)
+
+    def _row(self, key, bandwidth: float, idle: bool) -> pd.DataFrame:
+        return pd.DataFrame({"link": [key[0]], "bandwidth": [bandwidth], "idle": [idle]})
+
+    def close(self) -> None:
+        pass
+
+
+def bandwidth_stream(sends: DataFrame, by: list[str], start: float, least: int = 0, idle: float = 5.0) -> DataFrame:
+    """``link, bandwidth, idle`` after each batch of a link's sends (``at, n_bytes, seconds``), and when it has been idle for ``idle`` seconds.
+
+    Sends of under ``least`` bytes don't count; ``start`` holds before the first
+    and after a pause.  A link is one column, its name a string.  Its timers keep
+    a stream going, so its trigger is an interval: with ``availableNow`` it never ends.
+    """
+    return sends.groupBy(*by).transformWithStateInPandas(Bandwidth(start, least, idle), "link string, bandwidth double, idle boolean", "Update", "ProcessingTime")
+
+
+def observed(rows: DataFrame, name: str, size: str) -> DataFrame:
+    """The rows, with their number and the sum of ``size`` told to whoever listens under this name (see ``report``)."""
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
+class _Report(StreamingQueryListener):
+    def __init__(self, name: str, hook: Callable[[int, dict], None]):
+        self.name, self.hook = name, hook
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = event.progress.observedMetrics.get(self.name)
+        if found is not None:
+            self.hook(event.progress.batchId, found.asDict())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def report(spark: SparkSession, name: str, hook: Callable[[int, dict], None]) -> StreamingQueryListener:
+    """Call ``hook(batch, values)`` with what ``observed`` counts under a name in each batch of a stream; ``removeListener`` ends it."""
+    listener = _Report(name, hook)
+    spark.streams.addListener(listener)
+    return listener
+
+
 def registry_stream(packets: DataFrame) -> DataFrame:
     """The first definition of each table as it comes in: ``table_id, packet_no, data`` (hex)."""
     maps = events.view(events.headers(packets), "TABLE_MAP").selectExpr("table_id", "packet_no", "hex(data) AS data")

@@ -1,6 +1,7 @@
 """Packets to rows and back: decoding against the tables that were encoded, containers byte for byte, streams against batches."""
 
 import random
+import time
 from datetime import datetime
 from decimal import Decimal
 
@@ -113,6 +114,34 @@ def test_stream_is_batch(spark, tmp_path):
     assert [(r.table_id, mysql.parse_table_map(bytes.fromhex(r.data))[1].name) for r in kept] == [(7, "t")]
 
 
+def test_idle_bandwidth_and_reports(spark, tmp_path):
+    from colsync.streaming import state
+
+    state.use_rocksdb(spark)
+    source = tmp_path / "sends"
+    fields = "link string, at double, n_bytes long, seconds double"
+    for i, link in enumerate(["a", "a", "b"]):
+        spark.createDataFrame([(link, float(i), 1000 * (i + 1), 0.5), (link, i + 0.5, 10, 0.5)], fields).coalesce(1).write.mode("append").parquet(str(source))
+        time.sleep(0.1)
+    sends = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(str(source))
+    seen = []  # a timer's batch has no rows
+    watch = state.report(spark, "sends", lambda batch, values: seen.append((batch, values["rows"], values["bytes"])))
+    known = state.bandwidth_stream(state.observed(sends, "sends", "n_bytes"), ["link"], start=7.0, least=100, idle=0.001)
+    query = state.package_sink(known, str(tmp_path / "out"), str(tmp_path / "ck"), processingTime="100 milliseconds")
+    got, until = {}, time.time() + 60
+    while time.time() < until and not (got.get("b", [])[-1:] == got.get("a", [])[-1:] == [(7.0, True)] and len(seen) >= 3):
+        time.sleep(0.5)
+        if query.lastProgress and query.lastProgress["batchId"] >= 3:
+            got = {}
+            for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect():
+                got.setdefault(r.link, []).append((r.bandwidth, r.idle))
+    query.stop()
+    spark.streams.removeListener(watch)
+    assert [x for x in got["a"] if not x[1]] == [(2000.0, False), (4000.0, False)] and got["a"][-1] == (7.0, True)
+    assert got["b"] == [(6000.0, False), (7.0, True)]
+    assert [x[1:] for x in sorted(seen) if x[1]] == [(2, 1010), (2, 2010), (2, 3010)]
+
+
 def test_tables_through_packets(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     back = logs.decoded(logs.table_packets(orders, logs.ORDERS, F.col("o_orderpriority"), ["o_orderkey"]), logs.ORDERS)
@@ -167,6 +196,17 @@ def test_vectors():
         assert Decimal(text) == value and text.startswith("-") == (value < 0)
 
 
+def test_logs_are_written_as_they_were(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        tiny(str(tmp_path / "in" / name))
+    for _ in range(2):  # a second time replaces the files
+        binlog.write_log(read_packets(spark, str(tmp_path / "in")).repartition(7), f"file://{tmp_path}/out")
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["a", "b"]
+    for name in ("a", "b"):
+        assert (tmp_path / "out" / name).read_bytes() == (tmp_path / "in" / name).read_bytes()
+
+
 def test_large_files_are_read_in_parts(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()

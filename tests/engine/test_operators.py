@@ -258,6 +258,25 @@ def test_profiles_with_zeros_and_negative_values(spark):
     assert row.n == len(small) and row.mean_change == pytest.approx(sum(small) / len(small))
 
 
+def test_folds_over_batches(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 2, 2, 2, None]), rng.choice(["a", None]), i, rng.choice([None, rng.uniform(-3, 3)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, l string, i int, v double").repartition(3)
+    want = {}
+    for k, l, _, v in rows:
+        kept, changes = want.get((k, l), (None, 0))
+        want[k, l] = (v, changes + 1) if kept is None or v is not None and abs(v - kept) > 0.05 * abs(kept) else (kept, changes)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (7, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = profile.fold_values(df, "v", ["k", "l"], ["i"]).collect()
+            assert {(r.k, r.l): (r.kept, r.changes) for r in got} == want and len(got) == len(want)
+        assert profile.fold_values(df.limit(0), "v", ["k", "l"], ["i"]).collect() == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
 def test_blocks_without_bytes_have_a_codec(spark):
     columns = spark.createDataFrame([(1, "a", 0), (2, "a", 100)], "block_no int, column_name string, ori_len long")
     rates = spark.createDataFrame([("a", 152, 2.0, 1e6), ("a", 156, 1.5, 1e8)], "column_name string, codec int, gain double, bw double")
