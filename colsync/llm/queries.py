@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colsync.llm import decontaminate, mixing, ngram_join, pii, quality, quotations, secrets, sharding, token_counts
+from colsync.llm import decontaminate, filter_audit, mixing, ngram_join, pii, quality, quotations, secrets, sharding, token_counts
 from colsync.llm.exact_dedup import exact_duplicates
 from colsync.llm.store import Scratch
 
@@ -74,6 +74,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes after any others, by language; see ``filter_audit``."""
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NOT_SPACE = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -179,6 +184,24 @@ def _secrets_sql() -> str:
     SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
 
 
+_AUDIT_SQL = f"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_NOT_SPACE}') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    c AS MATERIALIZED (
+        SELECT part, (len(w) < {filter_audit.MIN_WORDS})::INTEGER + 2 * (100 * len(list_distinct(w)) < {filter_audit.MIN_DISTINCT_PERCENT} * len(w))::INTEGER
+                     + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.MAX_CAPITAL_PERCENT} * length(t))::INTEGER + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER + 16 * coalesce(d.doc_id > first, false)::INTEGER AS mask,
+               coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    p AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT *, 1 << (ascii(filter_order[step]) - 65) AS next, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INTEGER AS applied FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM p)),
+    r AS (SELECT part, filter_order, step::INTEGER AS step, next,
+                 coalesce(sum(n) FILTER (mask & (applied | next) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & applied = 0 AND mask & next <> 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (mask & applied <> 0 AND mask & next <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = next), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(n) FILTER (mask & applied = 0 AND mask & next <> 0 AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (mask & applied = 0 AND mask & next <> 0 AND toxic), 0)::BIGINT AS toxic_lost
+          FROM c, s GROUP BY ALL)
+    SELECT * EXCLUDE next, sum(removed) OVER (PARTITION BY part, next)::BIGINT AS shapley FROM r"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -190,6 +213,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
@@ -202,6 +226,7 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op13_filter_audit": _AUDIT_SQL,
     "op10_sharding": f"""
         WITH sized AS (
             SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
