@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colsync.llm import decontaminate, filter_audit, mixing, ngram_join, pii, quality, quotations, secrets, sharding, token_counts
+from colsync.llm import collocations, decontaminate, filter_audit, language_id, mixing, ngram_join, pii, quality, quotations, secrets, sharding, token_counts
 from colsync.llm.exact_dedup import exact_duplicates
 from colsync.llm.store import Scratch
 
@@ -74,6 +74,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by compression; see ``language_id``."""
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two to four words in all documents, by language; see ``collocations``."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes after any others, by language; see ``filter_audit``."""
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -184,6 +194,24 @@ def _secrets_sql() -> str:
     SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
 
 
+_PHRASES_SQL = f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+    n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+    f AS MATERIALIZED (
+        SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+        GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
+    c AS (SELECT *, string_split(phrase, ' ') AS x FROM f WHERE k > 1),
+    u AS (SELECT *, unnest(range(1, k)) AS at FROM c),
+    s AS (SELECT u.lang, u.phrase, u.a, at, b.a AS l, e.a AS r, 2000000::HUGEINT * u.a // (b.a::HUGEINT + e.a) AS score
+          FROM u JOIN f b ON b.lang = u.lang AND b.phrase = array_to_string(x[1:at], ' ') JOIN f e ON e.lang = u.lang AND e.phrase = array_to_string(x[at + 1:u.k], ' ')),
+    g AS (SELECT lang, phrase, any_value(a) AS a, arg_min(l, (score, at)) AS l, arg_min(r, (score, at)) AS r, min(score)::BIGINT AS score FROM s GROUP BY lang, phrase),
+    o AS (SELECT lang, a AS longer, array_to_string(x[i:j], ' ') AS phrase FROM (SELECT *, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM c)) WHERE j - i + 1 < k),
+    h AS (SELECT DISTINCT g.lang, g.phrase FROM g JOIN o ON o.lang = g.lang AND o.phrase = g.phrase AND 100::HUGEINT * longer >= {collocations.COVER_PERCENT}::HUGEINT * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM g ANTI JOIN h USING (lang, phrase) JOIN n USING (lang) QUALIFY rank <= {collocations.TOP}"""
+
+
 _AUDIT_SQL = f"""
     WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_NOT_SPACE}') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
     l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
@@ -213,6 +241,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
+    "op11_language_id": op11_language_id,
+    "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -226,6 +256,7 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op12_collocations": _PHRASES_SQL,
     "op13_filter_audit": _AUDIT_SQL,
     "op10_sharding": f"""
         WITH sized AS (
