@@ -39,9 +39,11 @@ def unpivot(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataF
 
 def transpose(values: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Columns of each block: ``*keys, column_name, n_values, ori_len, values, lens, places``."""
-    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("place"), "value")))
-    grouped = values.groupBy(*keys, "column_name").agg(F.count("*").alias("n_values"), F.sum(F.octet_length("value")).cast("long").alias("ori_len"), held.alias("_h"), F.expr(f"listagg(value) WITHIN GROUP (ORDER BY {order})").alias("values"))
-    return grouped.select(*keys, "column_name", "n_values", "ori_len", "values", F.transform("_h", lambda x: F.octet_length(x.value)).alias("lens"), F.transform("_h", lambda x: x.place).alias("places"))
+    # lengths beside the bytes, in the same order, so that no value is held twice
+    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("place"), F.octet_length("value").alias("len"))))
+    joined = F.expr(f"listagg(value) WITHIN GROUP (ORDER BY {order}, octet_length(value))")
+    grouped = values.groupBy(*keys, "column_name").agg(F.count("*").alias("n_values"), F.sum(F.octet_length("value")).cast("long").alias("ori_len"), held.alias("_h"), joined.alias("values"))
+    return grouped.select(*keys, "column_name", "n_values", "ori_len", "values", F.col("_h.len").alias("lens"), F.col("_h.place").alias("places"))
 
 
 def untranspose(columns: DataFrame, keys: list[str]) -> DataFrame:

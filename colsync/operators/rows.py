@@ -54,18 +54,28 @@ def _bits(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 IMAGES = "file string, packet_no long, table_id long, row_no int, included binary, nulls binary, values array<binary>, checksum binary"
-#: Tables of a log whose definitions the driver holds.
-MAX_TABLES = 1_000_000
+#: Tables whose definitions the driver holds in ``registry_of``, and tasks that the rows of a table are dealt to in a join.
+MAX_TABLES, SALTS = 1_000_000, 16
 
 
-def _decode(batches: Iterator[pa.RecordBatch], registry: dict[int, TableInfo]) -> Iterator[pa.RecordBatch]:
+def _definition(table: int, data: bytes | None) -> TableInfo:
+    if data is None:
+        raise ValueError(f"rows of table {table} have no TABLE_MAP before them")
+    return parse_table_map(data)[1]
+
+
+def _decode(batches: Iterator[pa.RecordBatch], registry: dict[int, TableInfo] | None) -> Iterator[pa.RecordBatch]:
+    """``registry`` has the definitions, or each row has its own in the column ``definition``."""
     for batch in batches:
         data, offsets = binary_buffers(batch.column("data"))
         tables = batch.column("table_id").to_numpy(zero_copy_only=False)
-        for table in np.unique(tables):
-            if int(table) not in registry:
+        for table, at in zip(*np.unique(tables, return_index=True), strict=True):
+            if registry is None:
+                info = _definition(int(table), batch.column("definition")[int(at)].as_py())
+            elif int(table) not in registry:
                 raise ValueError(f"rows of table {table} have no TABLE_MAP before them")
-            info = registry[int(table)]
+            else:
+                info = registry[int(table)]
             pick = np.flatnonzero(tables == table)
             begin, end = offsets[pick], offsets[pick + 1]
             extra = data[begin + 8].astype(np.int64) | data[begin + 9].astype(np.int64) << 8
@@ -92,28 +102,45 @@ def _decode(batches: Iterator[pa.RecordBatch], registry: dict[int, TableInfo]) -
                 pick, end, maps, included, cursor, row_no = pick[more], end[more], maps[more], included[more], at[more], row_no + 1
 
 
-def row_images(write_rows: DataFrame, registry: dict[int, TableInfo]) -> DataFrame:
+def row_images(write_rows: DataFrame, registry: dict[int, TableInfo] | DataFrame) -> DataFrame:
     """One row per row image of WRITE_ROWS events: ``file, packet_no, table_id, row_no, included, nulls, values, checksum``.
 
     ``write_rows`` has ``file, packet_no, table_id`` and the event ``data``.  A
     value that is not included or null is null; length prefixes stay in the
     values, as in the log.  Several images in an event are taken one after the
     other until the checksum is left.
+
+    ``registry`` is a dictionary, which is broadcast, or a table of any number
+    of definitions (``definitions_of``), which meets the rows in a join: rows of
+    a table are dealt to ``SALTS`` tasks, with a copy of its definition in each.
     """
+    if isinstance(registry, DataFrame):
+        salted = registry.select("table_id", "definition", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        rows = write_rows.select("file", "packet_no", "table_id", "data", F.pmod(F.xxhash64("file", "packet_no"), F.lit(SALTS)).cast("int").alias("_salt"))
+        joined = rows.join(salted, ["table_id", "_salt"], "left").select("file", "packet_no", "table_id", "data", "definition")
+        return joined.mapInArrow(lambda batches: _decode(batches, None), IMAGES)
     held = write_rows.sparkSession.sparkContext.broadcast(registry)
     return write_rows.select("file", "packet_no", "table_id", "data").mapInArrow(lambda batches: _decode(batches, held.value), IMAGES)
 
 
+def definitions_of(table_maps: DataFrame) -> DataFrame:
+    """The definitions as a table, ``table_id, definition``; the first TABLE_MAP of an id counts for good.
+
+    ``table_maps`` has ``file, packet_no, table_id, data``.
+    """
+    return table_maps.groupBy("table_id").agg(F.min(F.struct("file", "packet_no", "data"))["data"].alias("definition"))
+
+
 def registry_of(table_maps: DataFrame) -> dict[int, TableInfo]:
     """The definitions by table id; the first TABLE_MAP of an id counts for good.
 
-    One short row per table, ``MAX_TABLES`` at most, which the driver holds and
-    broadcasts; more raise.  ``table_maps`` has ``file, packet_no, table_id, data``.
+    For logs of few tables: the driver holds a short row for each, ``MAX_TABLES``
+    at most, and raises beyond; ``definitions_of`` has no bound.
     """
-    first = table_maps.groupBy("table_id").agg(F.min(F.struct("file", "packet_no", "data"))["data"].alias("data")).limit(MAX_TABLES + 1).collect()
+    first = definitions_of(table_maps).limit(MAX_TABLES + 1).collect()
     if len(first) > MAX_TABLES:
         raise ValueError(f"more than {MAX_TABLES} tables in a log")
-    return {r.table_id: parse_table_map(bytes(r.data))[1] for r in first}
+    return {r.table_id: parse_table_map(bytes(r.definition))[1] for r in first}
 
 
 # -- typed values -------------------------------------------------------------

@@ -7,11 +7,6 @@ numbers, and all that depends on a clock is replaced by the literal profile of
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +17,10 @@ from colsync.functions import mysql
 from colsync.functions.ragged import to_binary
 from colsync.operators import blocks, codecs, columns, container, events, lightweight, rows, stats, transport
 from colsync.plans import logs, pipeline, planner, profile
+from colsync.plans.tables import Tables, new_folder
 from colsync.sources import binlog
+from colsync.sources.manifest import Manifest
+from colsync.sources.store import sized_files
 from colsync.streaming import state
 
 QUERIES: dict = {}
@@ -86,14 +84,8 @@ def binlog_roundtrip(spark, sf_dir):
 
 
 def _written(spark, sf_dir) -> str:
-    """Orders as logs in a new folder that all executors share; on this machine alone it goes at the end of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="colsync-")
-        atexit.register(shutil.rmtree, root, True)
-    folder = f"{root.rstrip('/')}/colsync/logs-{uuid.uuid4().hex}"
+    """Orders as logs in a new folder."""
+    folder = new_folder(spark, "logs")
     binlog.write_log(logs.table_packets(table(spark, sf_dir, "orders"), logs.ORDERS, F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]+", "_"), ["o_orderkey"]), f"{folder}/in")
     return folder
 
@@ -103,8 +95,9 @@ def binlog_source(spark, sf_dir):
     """Orders written as binlog files, read by the source in parts of 256 KiB, the table definition from its event, and decoded."""
     packets = binlog.read_packets(spark, f"{_written(spark, sf_dir)}/in", split_bytes=256 << 10)
     heads = events.headers(packets)
-    registry = rows.registry_of(events.view(heads, "TABLE_MAP"))
-    back = rows.typed_rows(rows.row_images(events.view(heads, "WRITE_ROWS"), registry), registry[logs.ORDERS.table_id], list(logs.ORDERS.columns), keep=("file",))
+    maps = events.view(heads, "TABLE_MAP")
+    [info] = rows.registry_of(maps.where(F.col("table_id") == logs.ORDERS.table_id)).values()
+    back = rows.typed_rows(rows.row_images(events.view(heads, "WRITE_ROWS"), rows.definitions_of(maps)), info, list(logs.ORDERS.columns), keep=("file",))
     return back.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("order_us"), "o_orderpriority", "file")
 
 
@@ -112,10 +105,13 @@ def binlog_source(spark, sf_dir):
     SELECT 'TABLE_MAP' AS event_name, count(DISTINCT o_orderpriority) AS n_events, (count(DISTINCT o_orderpriority) * {ORDER_MAP_BYTES})::BIGINT AS n_bytes FROM orders
     UNION ALL SELECT 'WRITE_ROWS', count(*), sum({ORDER_BYTES})::BIGINT FROM orders""")
 def binlog_stream(spark, sf_dir):
-    """The same files as a stream into the sink, twice over from one checkpoint; what it holds is counted, and nothing came twice."""
+    """The same files as a stream into the sink, some units of the manifest a trigger, twice over from one checkpoint; what it holds is counted, and nothing came twice."""
     folder = _written(spark, sf_dir)
+    size = sum(n for _, n in sized_files(f"{folder}/in"))
+    log = Manifest(spark, f"{folder}/in", f"{folder}/manifest", split_bytes=max(64 << 10, size // 16), unit_bytes=max(64 << 10, size // 4))
     for _ in range(2):
-        state.package_sink(binlog.stream_packets(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint", 600)
+        log.refresh()
+        state.package_sink(log.stream(units_per_trigger=2), f"{folder}/out", f"{folder}/checkpoint", 600)
     return events.event_counts(events.headers(spark.read.parquet(f"{folder}/out"))).drop("event_type")
 
 
@@ -204,6 +200,18 @@ def bound_blocks(spark, sf_dir):
     return blocks.block_summary(blocks.bound_blocks(_event_packets(spark, sf_dir), BOUND_BYTES), 0, 10)
 
 
+@query(ORACLES["bound_blocks"])
+def stream_blocks(spark, sf_dir):
+    """The same blocks from a stream of the packets, a part of every file a trigger; the open block goes on in the next one."""
+    state.use_rocksdb(spark)
+    folder = new_folder(spark, "logs")
+    index = _event_packets(spark, sf_dir).select("file", "packet_no", "offset", "packet_len", "class")
+    index.repartitionByRange(6, "packet_no").write.parquet(f"{folder}/index")
+    packets = spark.readStream.schema(index.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/index")
+    state.package_sink(state.block_stream(packets, BOUND_BYTES), f"{folder}/cut", f"{folder}/checkpoint", 600)
+    return blocks.block_summary(spark.read.parquet(f"{folder}/cut"), 0, 10)
+
+
 @query(f"""
     SELECT file, island::BIGINT AS island, bool_or(class) AS class, count(*) AS n_packets
     FROM (SELECT file, class, count_if(changed) OVER (PARTITION BY file ORDER BY packet_no) AS island
@@ -478,14 +486,22 @@ def codec_names(spark, sf_dir):
 
 @query("SELECT o_custkey % 50 AS table_id, arg_min(o_orderpriority, o_orderkey) AS name, (1 + o_custkey % 50 % 3)::INTEGER AS n_columns FROM orders GROUP BY ALL")
 def registry_first_wins(spark, sf_dir):
-    """A TABLE_MAP for each order, whose table is named by its priority; the first of each table id is parsed and kept."""
-    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("table_id"), "o_orderkey", F.col("o_orderpriority").alias("name"))
-    kinds = [r["name"] for r in o.select("name").distinct().orderBy("name").limit(100).collect()]
-    define = lambda i, name: mysql.TableInfo("shop", name, (mysql.TYPES["LONGLONG"],) * (1 + i % 3), (0,) * (1 + i % 3), (True,) * (1 + i % 3))
-    bodies = spark.createDataFrame([(i, name, bytearray(mysql.table_map_body(i, define(i, name)))) for i in range(50) for name in kinds], "table_id long, name string, body binary")
-    maps = binlog.event_packets(o.join(F.broadcast(bodies), ["table_id", "name"]).withColumn("_file", F.lit("all")), binlog.EVENTS["TABLE_MAP"], F.col("body"), F.lit(0), "_file", [F.col("o_orderkey")])
-    registry = rows.registry_of(events.view(events.headers(maps), "TABLE_MAP"))
-    return spark.createDataFrame([(i, info.name, len(info.types)) for i, info in registry.items()], "table_id long, name string, n_columns int")
+    """A TABLE_MAP for each order, whose table is named by its priority, in files by ranges of orders; the first of each table id is kept and parsed."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("table_id"), "o_orderkey", F.col("o_orderpriority").alias("name"), F.format_string("%012d", F.floor(F.col("o_orderkey") / 4096)).alias("_file"))
+
+    @F.pandas_udf("binary")
+    def define(ids: pd.Series, names: pd.Series) -> pd.Series:
+        info = lambda i, name: mysql.TableInfo("shop", name, (mysql.TYPES["LONGLONG"],) * (1 + i % 3), (0,) * (1 + i % 3), (True,) * (1 + i % 3))
+        return pd.Series([mysql.table_map_body(int(i), info(int(i), name)) for i, name in zip(ids, names, strict=True)], dtype=object)
+
+    @F.pandas_udf("name string, n_columns int")
+    def parsed(data: pd.Series) -> pd.DataFrame:
+        found = [mysql.parse_table_map(bytes(d))[1] for d in data]
+        return pd.DataFrame({"name": [i.name for i in found], "n_columns": [len(i.types) for i in found]})
+
+    maps = binlog.event_packets(o, binlog.EVENTS["TABLE_MAP"], define("table_id", "name"), F.lit(0), "_file", [F.col("o_orderkey")])
+    kept = rows.definitions_of(events.view(events.headers(maps), "TABLE_MAP"))
+    return kept.select("table_id", parsed("definition").alias("p")).select("table_id", "p.*")
 
 
 _CODECS = "(VALUES " + ", ".join(f"({c})" for c in codecs.POOL) + ") AS k(codec)"
@@ -770,7 +786,7 @@ def codec_sizes(spark, sf_dir):
 @query(f"SELECT o_orderpriority AS file, count(*) + 1 AS n_packets, (sum({ORDER_BYTES}) + {ORDER_MAP_BYTES})::BIGINT AS n_bytes, true AS same FROM orders GROUP BY 1")
 def container_roundtrip(spark, sf_dir):
     """Orders as packets, in containers, and as packets again, compared byte for byte."""
-    packets = logs.table_packets(table(spark, sf_dir, "orders"), logs.ORDERS, F.col("o_orderpriority"), ["o_orderkey"])
+    packets = _order_packets(spark, sf_dir)
     heads = events.headers(packets)
     images = rows.row_images(events.view(heads, "WRITE_ROWS"), {logs.ORDERS.table_id: logs.ORDERS.info})
     cut = blocks.bound_blocks(pipeline.index(packets), FIXED_BYTES)
@@ -783,15 +799,20 @@ def container_roundtrip(spark, sf_dir):
     return joined.groupBy("file").agg(F.count("*").alias("n_packets"), F.sum(F.octet_length("packet")).cast("long").alias("n_bytes"), F.min(F.col("packet").eqNullSafe(F.col("want"))).alias("same"))
 
 
+def _order_packets(spark, sf_dir):
+    """Orders as packets, written once: what reads them several times doesn't encode them again."""
+    return Tables(spark).once("packets", lambda: logs.table_packets(table(spark, sf_dir, "orders"), logs.ORDERS, F.col("o_orderpriority"), ["o_orderkey"]))
+
+
 def _pipeline(spark, sf_dir, transposed: bool, mode: str):
     """Orders in packages; the packages are cut up again, decoded and compared with the columns, byte for byte."""
-    packets = logs.table_packets(table(spark, sf_dir, "orders"), logs.ORDERS, F.col("o_orderpriority"), ["o_orderkey"])
+    packets = _order_packets(spark, sf_dir)
     options = pipeline.Options(mode=mode, transposed=transposed, block_bytes=FIXED_BYTES, bandwidth=BANDWIDTH, codecs=(151, 152, 156))
+    cut = pipeline.begin(packets, options)
     if mode in (pipeline.NORMAL, pipeline.REPLAY):
-        cut = pipeline.cut_columns(packets, options)[0]
-        options.profile = _profile(spark, cut)
-        options.plan = planner.lp_plan(cut, options.profile, pipeline.KEYS, BANDWIDTH).select(*pipeline.KEYS, "column_name", "codec", "byte_num")
-    run = pipeline.run(packets, options)
+        options.profile = _profile(spark, cut.columns)
+        options.plan = planner.lp_plan(cut.columns, options.profile, pipeline.KEYS, BANDWIDTH).select(*pipeline.KEYS, "column_name", "codec", "byte_num")
+    run = pipeline.finish(cut, options)
     back = pipeline.restored_columns(pipeline.unpacked(run.packages, run.segments.drop("payload")))
     keys = [*pipeline.KEYS, "column_name"]
     compared = run.columns.where("ori_len > 0").select(*keys, F.col("values").alias("want")).join(back.where(F.octet_length("values") > 0), keys, "full_outer")

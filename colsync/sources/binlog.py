@@ -1,4 +1,4 @@
-"""Packet streams: a Python data source for batch and stream reads, and a writer of synthetic logs.
+"""Logs of packets: a Python data source for batch reads, and a writer of synthetic logs; ``manifest`` has the stream.
 
 A packet is a 3-byte little-endian body length, a sequence number and the body,
 which begins with a flag; the body of an event follows with its 19-byte header.
@@ -6,23 +6,25 @@ which begins with a flag; the body of an event follows with its 19-byte header.
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from colsync.functions.binary import to_little_endian
+from colsync.functions.ragged import to_binary
+from colsync.sources.framing import CHUNK, find_parts
+from colsync.sources.store import open_file, sized_files, store
 
 SCHEMA = "file string, packet_no long, offset long, body_len int, seq smallint, flag smallint, body binary"
-#: Bytes that are read from a file at a time, packets of a batch, and bytes of a file that one task reads, about.
-CHUNK, ROWS, SPLIT = 4 << 20, 20_000, 128 << 20
+#: Packets of a batch, and bytes of a file that one task reads, about.
+ROWS, SPLIT = 20_000, 128 << 20
 #: Event kinds.
 EVENTS = {
     "STOP": 3, "QUERY": 2, "ROTATE": 4, "FORMAT_DESCRIPTION": 15, "XID": 16, "TABLE_MAP": 19, "WRITE_ROWS_V0": 20, "WRITE_ROWS_V1": 23, "WRITE_ROWS": 30,
@@ -31,54 +33,26 @@ EVENTS = {
 NAMES = {code: name for name, code in EVENTS.items()}
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path, local or any that a URI names and Arrow knows (``hdfs``, ``s3``, ``gs``), and the path in it."""
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
-
-
-def boundaries(path: str, every: int = SPLIT) -> Iterator[tuple[int, int, int]]:
-    """``(start, stop, first packet)`` of the parts of a file, each of ``every`` bytes or a packet more; only headers are looked at.
-
-    The last part goes to the end of the file, whole packets or not.
-    """
-    fs, inner = _store(path)
-    with fs.open_input_file(inner) as file:
-        size, start, first = file.size(), 0, 0
-        at, number, held, low = 0, 0, b"", 0
-        while at + 4 <= size:
-            if at + 4 > low + len(held):
-                file.seek(at)
-                low, held = at, file.read(CHUNK)
-            i = at - low
-            step = 4 + (held[i] | held[i + 1] << 8 | held[i + 2] << 16)
-            if at + step > size:
-                break
-            at, number = at + step, number + 1
-            if at - start >= every:
-                yield start, at, first
-                start, first = at, number
-        if start < size:
-            yield start, size, first
-
-
-def frames(path: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, bytes]]:
-    """``(offset, packet)`` of a file from one packet boundary to another; a packet that is cut short at the end raises."""
-    fs, inner = _store(path)
-    with fs.open_input_file(inner) as file:
+def read_part(path: str, start: int = 0, stop: int | None = None, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """The packets of a file from one boundary to another, some MB at a time; one that is cut short at the end raises."""
+    name = os.path.basename(path)
+    with open_file(path) as file:
         file.seek(start)
         at, held = start, b""
         while True:
             read = file.read(CHUNK if stop is None else min(CHUNK, stop - at - len(held)))
             held += read
-            low = 0
-            while low + 4 <= len(held):
-                size = 4 + (held[low] | held[low + 1] << 8 | held[low + 2] << 16)
-                if low + size > len(held):
+            places, low, size = [], 0, len(held)
+            while low + 4 <= size:
+                end = low + 4 + (held[low] | held[low + 1] << 8 | held[low + 2] << 16)
+                if end > size:
                     break
-                yield at + low, held[low : low + size]
-                low += size
+                places.append(low)
+                low = end
+            for i in range(0, len(places), ROWS):
+                cut = np.array([*places[i : i + ROWS], places[i + ROWS] if i + ROWS < len(places) else low], np.int64)
+                yield _batch(name, first, at, np.frombuffer(held, np.uint8)[cut[0] : cut[-1]], cut - cut[0], int(cut[0]))
+                first += len(cut) - 1
             at, held = at + low, held[low:]
             if not read:
                 break
@@ -86,38 +60,24 @@ def frames(path: str, start: int = 0, stop: int | None = None) -> Iterator[tuple
         raise EOFError(f"{path}: {len(held)} bytes at {at} are no whole packet")
 
 
-def _batches(path: str, packets: Iterable[tuple[int, bytes]], first: int = 0) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file", pa.string()), ("packet_no", pa.int64()), ("offset", pa.int64()), ("body_len", pa.int32()), ("seq", pa.int16()), ("flag", pa.int16()), ("body", pa.binary())])
-    rows: list[tuple] = []
-    number = first
+def _batch(name: str, first: int, base: int, data: np.ndarray, cut: np.ndarray, shift: int) -> pa.RecordBatch:
+    """Packets as rows, from their bytes and where each begins."""
+    begin, size = cut[:-1], np.diff(cut) - 4
+    flagged = size > 0
+    body = np.ones(len(data), bool)
+    for i in range(4):
+        body[begin + i] = False
+    body[begin[flagged] + 4] = False
+    flag = data[np.minimum(begin + 4, len(data) - 1)].astype(np.int16)
+    columns = [pa.array([name] * len(begin), pa.string()), pa.array(first + np.arange(len(begin))), pa.array(base + shift + begin), pa.array(size.astype(np.int32)), pa.array(data[begin + 3].astype(np.int16)), pa.array(flag, mask=~flagged), to_binary(data[body], np.maximum(size - 1, 0))]
+    return pa.RecordBatch.from_arrays(columns, names=["file", "packet_no", "offset", "body_len", "seq", "flag", "body"])
 
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    name = os.path.basename(path)
-    for offset, packet in packets:
-        rows.append((name, number, offset, len(packet) - 4, packet[3], packet[4] if len(packet) > 4 else None, packet[5:]))
-        number += 1
-        if len(rows) >= ROWS:
-            yield batch()
-            rows.clear()
-    if rows:
-        yield batch()
-
-
-def _files(path: str) -> list[str]:
-    """The files of a folder, of a local pattern, or the file itself, in order."""
-    if "://" not in path and glob.has_magic(path):
-        return sorted(glob.glob(path))
-    fs, inner = _store(path)
-    [info] = fs.get_file_info([inner])
-    if info.type == pafs.FileType.NotFound:
-        return []
-    prefix = path[: len(path) - len(inner)] if "://" in path and path.endswith(inner) else ""
-    if info.type == pafs.FileType.File:
-        return [path]
-    found = [i.path for i in fs.get_file_info(pafs.FileSelector(inner)) if i.type == pafs.FileType.File and not i.base_name.startswith((".", "_"))]
-    return sorted(prefix + f if "://" in path else f for f in found)
+def read_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` over ``path, start, stop, first``: the packets of these parts."""
+    for batch in batches:
+        for path, start, stop, first in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "stop", "first")), strict=True):
+            yield from read_part(path, start, stop, first)
 
 
 class _File(InputPartition):
@@ -132,58 +92,10 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_File]:
         if self.splits:
             return [_File(*x) for x in json.loads(self.splits)]
-        return [_File(f) for f in _files(self.path)]
-
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        return _batches(partition.path, frames(partition.path, partition.start, partition.stop), partition.first)
-
-
-class _StreamReader(DataSourceStreamReader):
-    """New packets of growing or new files; an incomplete tail waits for the next trigger.
-
-    The offset of the stream is the position in each file and the packets up to
-    it.  There is no rate: a reader that starts again isn't told the position of
-    the checkpoint before it is asked for the end, so it can't take a part.
-    """
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def initialOffset(self) -> dict:
-        return {}
-
-    def _seen(self, start: dict) -> dict:
-        out = dict(start)
-        for path in _files(self.path):
-            at, count = start.get(path, [0, 0])
-            end = at
-            fs, inner = _store(path)
-            with fs.open_input_file(inner) as file:
-                size, held, low = file.size(), b"", at
-                while end + 4 <= size:
-                    if end + 4 > low + len(held):
-                        file.seek(end)
-                        low, held = end, file.read(CHUNK)
-                    i = end - low
-                    step = 4 + (held[i] | held[i + 1] << 8 | held[i + 2] << 16)
-                    if end + step > size:
-                        break
-                    end, count = end + step, count + 1
-            out[path] = [end, count]
-        return out
-
-    def latestOffset(self) -> dict:
-        self._at = self._seen(getattr(self, "_at", {}))
-        return self._at
-
-    def partitions(self, start: dict, end: dict) -> list[_File]:
-        return [_File(p, start.get(p, [0, 0])[0], stop, start.get(p, [0, 0])[1]) for p, (stop, _) in end.items() if stop > start.get(p, [0, 0])[0]]
+        return [_File(f) for f, _ in sized_files(self.path)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        return _batches(partition.path, frames(partition.path, partition.start, partition.stop), partition.first)
-
-    def commit(self, end: dict) -> None:
-        self._at = end
+        return read_part(partition.path, partition.start, partition.stop, partition.first)
 
 
 class BinlogDataSource(DataSource):
@@ -203,48 +115,25 @@ class BinlogDataSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"], self.options.get("splits"))
 
-    def streamReader(self, schema) -> DataSourceStreamReader:
-        return _StreamReader(self.options["path"])
-
-
-def _walk(every: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                found = list(boundaries(path, every))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3))], names=["path", "start", "stop", "first"])
-
-    return run
-
 
 def read_packets(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
     """The packets of a log: ``file, packet_no, offset, body_len, seq, flag, body``; the body is without the flag.
 
-    Files of more than ``split_bytes`` are read in parts: a job of a task for
-    each file hops from header to header and finds where parts may begin.  The
-    driver holds a short row for each part.
+    Files of more than ``split_bytes`` are read in parts, whose boundaries are
+    found in parts as well (``framing``): no task goes over more than a part of a
+    file.  Bytes at the end that are no whole packet raise.
     """
     spark.dataSource.register(BinlogDataSource)
-    files, reader = _files(path), spark.read.format("binlog")
-    sizes = {}
-    for f in files:
-        fs, inner = _store(f)
-        sizes[f] = fs.get_file_info(inner).size
-    large = [f for f in files if sizes[f] > split_bytes]
-    if large:
-        named = spark.createDataFrame([(f,) for f in large], "path string").repartition(len(large))
-        found = named.mapInArrow(_walk(split_bytes), "path string, start long, stop long, first long").collect()
-        splits = [(r.path, r.start, r.stop, r["first"]) for r in found] + [(f, 0, None, 0) for f in files if f not in set(large)]
+    files, reader = sized_files(path), spark.read.format("binlog")
+    if any(size > split_bytes for _, size in files):
+        parts, ends = find_parts(spark, [(f, 0, 0, size) for f, size in files if size > split_bytes], split_bytes)
+        splits = [(p.path, p.start, p.stop, p.first) for p in parts] + [(f, 0, None, 0) for f, size in files if size <= split_bytes]
+        # the reader says what is wrong with the rest
+        splits += [(f, ends[f][0], None, ends[f][1]) for f, size in files if f in ends and ends[f][0] < size]
         reader = reader.option("splits", json.dumps(sorted(splits, key=lambda x: x[:2])))
     return reader.load(path)
 
 
-def stream_packets(spark: SparkSession, path: str) -> DataFrame:
-    """The packets as a stream; a trigger takes all that is there."""
-    spark.dataSource.register(BinlogDataSource)
-    return spark.readStream.format("binlog").load(path)
-
-
 # -- writing logs ---------------------------------------------------------------
 
 
@@ -257,7 +146,7 @@ def write_log(packets: DataFrame, folder: str) -> None:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, inner = _store(folder)
+        fs, inner = store(folder)
         fs.create_dir(inner)
         name, out, part, done = None, None, f"{inner}/.part-{uuid.uuid4().hex}", []
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from colsync.operators import events
+from colsync.operators.blocks import Cutter
 from colsync.plans.profile import LEAST_BYTES, THRESHOLD
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROFILE = "column_name string, codec int, gain double, bw double, epoch long"
-REGISTRY = "table_id long, packet_no long, data string"
+REGISTRY = "table_id long, file string, packet_no long, data string"
+CUT = "file string, packet_no long, block_no long, offset long, packet_len long, class boolean"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -24,10 +27,15 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class FirstDefinition(StatefulProcessor):
-    """Keeps the first TABLE_MAP of each table id for good, and emits it once."""
+    """Keeps the first TABLE_MAP of each table id for good, and emits it once.
+
+    First is the least by file and packet number, as in ``rows.registry_of``,
+    among those of the batch that brings the table; a definition is not taken
+    back when a later batch brings an earlier file.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._kept = handle.getValueState("first", StructType([StructField("packet_no", LongType()), StructField("data", StringType())]))
+        self._kept = handle.getValueState("first", StructType([StructField("file", StringType()), StructField("packet_no", LongType()), StructField("data", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         if self._kept.exists():
@@ -36,12 +44,54 @@ class FirstDefinition(StatefulProcessor):
             return
         first = None
         for part in rows:
-            row = part.sort_values("packet_no").iloc[0]
-            if first is None or row["packet_no"] < first[0]:
-                first = int(row["packet_no"]), row["data"]
+            row = part.sort_values(["file", "packet_no"]).iloc[0]
+            found = str(row["file"]), int(row["packet_no"]), row["data"]
+            first = found if first is None else min(first, found)
         if first is not None:
             self._kept.update(first)
-            yield pd.DataFrame({"table_id": [key[0]], "packet_no": [first[0]], "data": [first[1]]})
+            yield pd.DataFrame({"table_id": [key[0]], "file": [first[0]], "packet_no": [first[1]], "data": [first[2]]})
+
+    def close(self) -> None:
+        pass
+
+
+class OpenBlock(StatefulProcessor):
+    """Cuts a file as it comes in: the open block, its start and its class are carried from batch to batch.
+
+    Packets that come before those in front of them wait in the state.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._open = handle.getValueState("open", StructType([StructField(n, LongType()) for n in ("number", "start", "kind", "next_packet", "next_offset")]))
+        self._early = handle.getListState("early", StructType([StructField(n, LongType()) for n in ("packet_no", "offset", "packet_len", "kind")]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        names = ["packet_no", "offset", "packet_len", "kind"]
+        early = pd.DataFrame([tuple(r) for r in self._early.get()] if self._early.exists() else [], columns=names).astype("int64")
+        # what has been cut is not cut again
+        number, start, kind, next_packet, next_offset = self._open.get() if self._open.exists() else (-1, 0, 0, 0, 0)
+        held = pd.concat([early, *(r[names].astype("int64") for r in rows)]).sort_values("packet_no").drop_duplicates("packet_no")
+        held = held[held["packet_no"] >= next_packet]
+        places = held["packet_no"].to_numpy()
+        ready = int((places == next_packet + np.arange(len(places))).argmin()) if (places != next_packet + np.arange(len(places))).any() else len(places)
+        cut, wait = held.iloc[:ready], held.iloc[ready:]
+        if ready:
+            ends = cut["offset"].to_numpy() + cut["packet_len"].to_numpy()
+            if cut["offset"].iloc[0] != next_offset or (cut["offset"].to_numpy()[1:] != ends[:-1]).any():
+                raise ValueError(f"packets of {key[0]} don't follow one another at {next_offset}")
+            cutter = Cutter(self.size)
+            cutter.number, cutter.start, cutter.kind = number, start, kind
+            block = cutter.cut(cut["offset"].to_numpy(), cut["kind"].to_numpy())
+            self._open.update((int(cutter.number), int(cutter.start), int(cutter.kind), int(next_packet + ready), int(ends[-1])))
+            told = cut["kind"].map({0: False, 1: True, -1: None}).astype("boolean")
+            yield pd.DataFrame({"file": key[0], "packet_no": cut["packet_no"], "block_no": block, "offset": cut["offset"], "packet_len": cut["packet_len"], "class": told})
+        if len(wait) or len(early):
+            self._early.clear()
+        if len(wait):
+            self._early.put([tuple(int(x) for x in r) for r in wait.itertuples(index=False)])
 
     def close(self) -> None:
         pass
@@ -63,7 +113,7 @@ class Profile(StatefulProcessor):
             if row.ori_len < self.least:
                 continue
             gain, bw = row.ori_len / max(row.cmpr_len, 1), row.ori_len / max(row.seconds, 1e-9)
-            if kept is None or abs(gain - kept[0]) / kept[0] > self.threshold or abs(bw - kept[1]) / kept[1] > self.threshold:
+            if kept is None or abs(gain - kept[0]) > self.threshold * abs(kept[0]) or abs(bw - kept[1]) > self.threshold * abs(kept[1]):
                 kept = (gain, bw, int(row.seq_no))
         if kept is not None:
             self._kept.update(tuple(kept))
@@ -147,11 +197,22 @@ def report(spark: SparkSession, name: str, hook: Callable[[int, dict], None]) ->
 
 
 def registry_stream(packets: DataFrame) -> DataFrame:
-    """The first definition of each table as it comes in: ``table_id, packet_no, data`` (hex)."""
-    maps = events.view(events.headers(packets), "TABLE_MAP").selectExpr("table_id", "packet_no", "hex(data) AS data")
+    """The first definition of each table as it comes in: ``table_id, file, packet_no, data`` (hex)."""
+    maps = events.view(events.headers(packets), "TABLE_MAP").selectExpr("table_id", "file", "packet_no", "hex(data) AS data")
     return maps.groupBy("table_id").transformWithStateInPandas(FirstDefinition(), REGISTRY, "Append", "None")
 
 
+def block_stream(index: DataFrame, size: int) -> DataFrame:
+    """The block of each packet of a stream, as ``blocks.bound_blocks`` gives them: ``file, packet_no, block_no, offset, packet_len, class``.
+
+    ``index`` has all but the block.  Packets may come in any batches and any
+    order; each goes out as soon as all in front of it have come.  What a file has
+    in one batch is held by one task, so the rate of the source bounds it.
+    """
+    rows = index.select("file", "packet_no", "offset", "packet_len", F.coalesce(F.col("class").cast("int"), F.lit(-1)).alias("kind"))
+    return rows.groupBy("file").transformWithStateInPandas(OpenBlock(size), CUT, "Append", "None")
+
+
 def profile_stream(measured: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_BYTES) -> DataFrame:
     """The profile after each batch: ``column_name, codec, gain, bw, epoch`` of the pairs that it measured.
 

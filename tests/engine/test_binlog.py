@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime
 from decimal import Decimal
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from colsync.functions import mysql
 from colsync.operators import blocks, columns, container, events, rows
 from colsync.plans import logs, pipeline
-from colsync.sources import binlog
+from colsync.sources import binlog, framing
 from colsync.sources.binlog import EVENTS, event_body, packet, read_packets, write_file
+from colsync.sources.manifest import Manifest
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,7 +96,12 @@ def test_stream_is_batch(spark, tmp_path):
     state.use_rocksdb(spark)
     folder = tmp_path / "logs"
     folder.mkdir()
-    run = lambda: state.package_sink(binlog.stream_packets(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "ck"), 120)
+    log = Manifest(spark, str(folder), str(tmp_path / "manifest"), split_bytes=100, unit_bytes=250)
+
+    def run():
+        log.refresh()
+        return state.package_sink(log.stream(), str(tmp_path / "out"), str(tmp_path / "ck"), 120)
+
     tiny(str(folder / "a"))
     run()
     tiny(str(folder / "b"))
@@ -108,7 +115,13 @@ def test_stream_is_batch(spark, tmp_path):
     batch = read_packets(spark, str(folder))
     seen = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     assert sorted(map(str, seen.collect())) == sorted(map(str, batch.collect()))
-    registry = state.registry_stream(binlog.stream_packets(spark, str(folder)))
+    assert log.refresh() == 0  # nothing new
+    # another stream over the same notes, a few bytes a trigger
+    query = state.package_sink(log.stream(units_per_trigger=1), str(tmp_path / "slow"), str(tmp_path / "ck3"), 300)
+    triggers = [r.n for r in spark.read.parquet(str(tmp_path / "slow")).groupBy("batch").agg(F.sum(F.col("body_len") + 4).alias("n")).collect()]
+    assert query.exception() is None and len(triggers) == spark.read.text(log.folder).select(F.input_file_name()).distinct().count() > 3
+    assert max(triggers) <= 250 + 100 + 200 and sum(triggers) == seen.agg(F.sum(F.col("body_len") + 4)).first()[0]
+    registry = state.registry_stream(log.stream())
     state.package_sink(registry, str(tmp_path / "reg"), str(tmp_path / "ck2"), 120)
     kept = spark.read.parquet(str(tmp_path / "reg")).collect()
     assert [(r.table_id, mysql.parse_table_map(bytes.fromhex(r.data))[1].name) for r in kept] == [(7, "t")]
@@ -166,6 +179,52 @@ def test_pipeline_modes(spark, mode, transposed):
     assert sum(p.ori_len for p in sent) == packets.agg(F.sum(F.col("body_len") + 4)).first()[0]
 
 
+def _measured(cut, speeds):
+    """Timings of each block as a table would have them: a tenth of the bytes, in the time that ``speeds`` gives a codec in a block."""
+    rows_ = [(r.file, r.block_no, r.column_name, c, r.ori_len, max(1, r.ori_len // 10), r.ori_len / speeds(r.block_no, c), 0.0) for r in cut.columns.collect() for c in (151, 152, 156)]
+    return cut.columns.sparkSession.createDataFrame(rows_, "file string, block_no long, column_name string, codec int, ori_len long, cmpr_len long, seconds double, decode_seconds double")
+
+
+@pytest.mark.parametrize("mode,transposed", [("oneBest", False), ("oneBest", True), ("multiBest", True)])
+def test_each_block_has_the_codec_of_its_own_timings(spark, mode, transposed):
+    """A run over a folder takes the timings and the plan that are there; blocks of one stream differ in their codecs."""
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 300")
+    packets = logs.table_packets(orders, logs.ORDERS, F.lit("all"), ["o_orderkey"]).cache()
+    options = pipeline.Options(mode=mode, transposed=transposed, block_bytes=6000, bandwidth=1e5, codecs=(151, 152, 156))
+    cut = pipeline.begin(packets, options)
+    fast = lambda block, c: {151: 1e3, 152: 1e7 if block % 2 else 1e4, 156: 1e4 if block % 2 else 1e7}[c]
+    cut.tables.once("measured", lambda: _measured(cut, fast))
+    first = pipeline.run(packets, options, cut.tables.folder)
+    used = {(r.block_no, r.codec) for r in first.plan.where("codec <> 151").collect()}
+    blocks_ = {r.block_no for r in first.blocks.collect()}
+    assert len(blocks_) > 2 and used == {(b, 152 if b % 2 else 156) for b in blocks_}
+    want = {(r.block_no, bytes(r.payload)) for r in first.packages.collect()}
+    # a run that has died: segments half written, packages not at all, and other timings by now
+    import shutil
+
+    folder = cut.tables.folder
+    for name in ("packages", "measured"):
+        shutil.rmtree(f"{folder}/{name}")
+    (Path(folder) / "segments" / "_SUCCESS").unlink()
+    cut.tables.once("measured", lambda: _measured(cut, lambda block, c: fast(block + 1, c)))
+    again = pipeline.run(packets, options, folder)
+    assert {(r.block_no, bytes(r.payload)) for r in again.packages.collect()} == want
+    back = pipeline.restored_columns(pipeline.unpacked(again.packages, again.segments.drop("payload")))
+    assert {(r.block_no, r.column_name): bytes(r["values"]) for r in back.collect() if r["values"]} == {(r.block_no, r.column_name): bytes(r["values"]) for r in again.columns.collect() if r["values"]}
+    again.tables.clear()
+    assert not Path(folder).exists()
+
+
+def test_lost_events_stop_the_pipeline(spark, monkeypatch):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 50")
+    packets = logs.table_packets(orders, logs.ORDERS, F.lit("all"), ["o_orderkey"])
+    options = pipeline.Options(mode="zstd", block_bytes=6000)
+    whole = pipeline.cut_columns
+    monkeypatch.setattr(pipeline, "cut_columns", lambda p, o: (whole(p.where("packet_no <> 3"), o)[0], whole(p, o)[1]))
+    with pytest.raises(Exception, match="lost events"):
+        pipeline.run(packets, options)
+
+
 def test_container_round_trip(spark, log):
     path, _ = log
     orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 200")
@@ -223,3 +282,108 @@ def test_large_files_are_read_in_parts(spark, tmp_path):
     with pytest.raises(Exception, match="no whole packet"):
         read_packets(spark, str(folder), split_bytes=3000).collect()
 
+
+
+def test_framing_of_misleading_files(spark, tmp_path):
+    """Values that hold whole logs, packets that are no events, huge and empty ones, and a torn end: parts are the chain from the start."""
+    rng = random.Random(9)
+    event = lambda n: event_body(EVENTS["XID"], rng.randbytes(n))
+    inner = b"".join(packet(event(rng.randint(0, 60)), i) for i in range(300))
+    files = {
+        "events": [packet(event(rng.randint(0, 300)), i) for i in range(400)],
+        "nested": [packet(event(50) if i % 7 else event_body(EVENTS["QUERY"], inner[: rng.randint(500, len(inner))]), i) for i in range(60)],
+        "other": [packet(rng.randbytes(rng.randint(0, 90)), i, 255) for i in range(300)],
+        "still": [packet(rng.randbytes(rng.randint(0, 90)), 7, 255) for _ in range(90)],
+        "empty": [(0).to_bytes(3, "little") + bytes([i & 255]) for i in range(500)],
+        "huge": [packet(event(3)), packet(event(90_000), 1), packet(event(3), 2)],
+        "torn": [packet(event(40), i) for i in range(100)],
+    }
+    (tmp_path / "in").mkdir()
+    wanted, asked = {}, []
+    for name, packets in files.items():
+        path = str(tmp_path / "in" / name)
+        torn = b"\xff\xff\x00\x09\x00" + inner[:4000] if name == "torn" else b""
+        with open(path, "wb") as f:
+            f.write(b"".join(packets) + torn)
+        wanted[path] = np.cumsum([0, *map(len, packets)])
+        asked.append((path, 0, 0, int(wanted[path][-1]) + len(torn)))
+    for every in (700, 5000):
+        parts, ends = framing.find_parts(spark, asked, every)
+        for path, places in wanted.items():
+            mine = [p for p in parts if p.path == path]
+            assert [p.start for p in mine] == [0, *(p.stop for p in mine[:-1])] and mine[-1].stop == places[-1]
+            for p in mine:
+                a, b = np.searchsorted(places, [p.start, p.stop])
+                assert places[a] == p.start and places[b] == p.stop and p.first == a and p.n == b - a
+            assert ends[path] == (places[-1], len(places) - 1)
+            assert all(p.stop - p.start <= every + np.diff(places).max() for p in mine)
+    with pytest.raises(Exception, match="no whole packet"):
+        read_packets(spark, str(tmp_path / "in"), split_bytes=700).collect()
+    (tmp_path / "in" / "torn").unlink()
+    whole, cut = read_packets(spark, str(tmp_path / "in")), read_packets(spark, str(tmp_path / "in"), split_bytes=700)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect())) and whole.count() == sum(len(p) for n, p in files.items() if n != "torn")
+
+
+def test_no_task_reads_more_than_its_range(tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    write_file(path, [event_body(EVENTS["XID"], bytes(40))] * 5000)
+    monkeypatch.setattr(framing, "CHUNK", 512)
+    read = []
+    monkeypatch.setattr(framing.Window, "at", lambda self, place, n, old=framing.Window.at: (read.append((place, n)), old(self, place, n))[1])
+    import pyarrow as pa
+
+    size = (tmp_path / "log").stat().st_size
+    ask = pa.RecordBatch.from_pylist([{"path": path, "lo": 64_000, "hi": 96_000, "size": size, "at": -1, "known": -1}])
+    [out] = framing._walk_ranges(iter([ask]))
+    assert out.column("at")[0].as_py() >= 64_000 and 96_000 <= out.column("out")[0].as_py() < 96_100
+    assert min(p for p, _ in read) == 64_000 and max(p + n for p, n in read) < 97_000
+
+
+def test_blocks_of_a_stream(spark, tmp_path):
+    from colsync.streaming import state
+
+    state.use_rocksdb(spark)
+    rng = random.Random(4)
+    index = []
+    for file, n in (("a", 700), ("b", 90), ("c", 1)):
+        at, kind = 0, True
+        for i in range(n):
+            kind = rng.choice([kind] * 30 + [True, False, None])
+            size = rng.choice([1, 30, 200, 900, 5000])
+            index.append((file, i, at, size, kind))
+            at += size
+    fields = "file string, packet_no long, offset long, packet_len long, class boolean"
+    # batches that overlap, out of order, one of them sent twice
+    cut = sorted(index, key=lambda r: (r[1] // 100 + rng.choice([0, 0, 0, 2]), rng.random()))
+    for lo in [*range(0, len(cut), 90), 90]:
+        spark.createDataFrame(cut[lo : lo + 90], fields).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    state.package_sink(state.block_stream(stream, 1500), str(tmp_path / "out"), str(tmp_path / "ck"), 300)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.select("batch").distinct().count() > 3
+    want = blocks.bound_blocks(spark.createDataFrame(index, fields), 1500)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    # a hole in a file's bytes is an error
+    spark.createDataFrame([("d", 0, 0, 10, True), ("d", 1, 11, 10, True)], fields).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="don't follow"):
+        state.package_sink(state.block_stream(stream, 1500), str(tmp_path / "out"), str(tmp_path / "ck"), 300)
+
+
+def test_definitions_without_a_driver(spark, monkeypatch):
+    """More tables than the driver may hold: rows meet their definitions in a join, a hot table's in many tasks."""
+    monkeypatch.setattr(rows, "MAX_TABLES", 100)
+    types = lambda i: (8, 3, 1)[i % 3]
+    info = lambda i: mysql.TableInfo("db", f"t{i}", (types(i),), (0,), (True,))
+    maps = [("f", i, i, bytearray(mysql.table_map_body(i, info(i)))) for i in range(3000)] + [("g", i, i, bytearray(mysql.table_map_body(i, info(i + 1)))) for i in range(0, 3000, 7)]
+    size = {8: 8, 3: 4, 1: 1}
+    body = lambda i, v: i.to_bytes(6, "little") + b"\0\0\2\0\1\1\0" + v.to_bytes(size[types(i)], "little") + b"CRC!"
+    events_ = [("f", 10_000 + i, i, bytearray(body(i, i % 100))) for i in range(3000)] + [("f", 20_000 + k, 5, bytearray(body(5, k % 100))) for k in range(2000)]
+    fields = "file string, packet_no long, table_id long, data binary"
+    maps, events_ = spark.createDataFrame(maps, fields), spark.createDataFrame(events_, fields)
+    images = rows.row_images(events_, rows.definitions_of(maps))
+    got = {(r.packet_no, r.table_id): int.from_bytes(r["values"][0], "little") for r in images.collect()}
+    assert len(got) == 5000 and all(v == (i % 100 if n < 20_000 else (n - 20_000) % 100) for (n, i), v in got.items())
+    with pytest.raises(ValueError, match="more than"):
+        rows.registry_of(maps)
+    with pytest.raises(Exception, match="no TABLE_MAP"):
+        rows.row_images(events_, rows.definitions_of(maps.where("table_id <> 5"))).collect()

@@ -348,3 +348,47 @@ def test_packages_in_a_folder(spark, tmp_path):
     for batch, rows in ((0, one), (1, two), (1, two)):  # a batch that comes again replaces itself
         transport.write_packages(rows, str(tmp_path / "out"), batch)
     assert sorted((r.batch, r.block_no) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 1), (1, 2)]
+
+
+def test_the_sweep_is_the_first_program(spark):
+    """Plans by hulls and prices against the simplex, a block at a time: same objectives, bounds kept, all bytes planned."""
+    rng = np.random.default_rng(12)
+    sizes, measured = [], []
+    for block in range(40):
+        for c in range(int(rng.integers(1, 7))):
+            sizes.append((block, f"c{c}", int(rng.integers(0, 50) if block == 39 else rng.choice([0, 1, 900, 40_000, 3_000_000]))))
+            for codec in rng.choice([152, 153, 154, 155, 156, 157], size=int(rng.integers(0, 6)), replace=False):
+                measured.append((block, f"c{c}", int(codec), float(rng.choice([0.8, 1.0, 1.5, 1.5, 3.0, 9.0])), float(rng.choice([1e4, 2e5, 2e5, 1e6, 5e7]))))
+    columns_ = spark.createDataFrame(sizes, "block_no long, column_name string, ori_len long")
+    prof = spark.createDataFrame(measured, "block_no long, column_name string, codec int, gain double, bw double")
+    routes = set()
+    for bandwidth, busy, target in ((1e5, 0.0, 0.05), (1e6, 0.4, 30.0), (1e4, 0.0, 1e9), (1e5, 1e4, 0.05)):
+        got = {}
+        for r in planner.lp_plan(columns_, prof, ["block_no"], bandwidth, busy, target).collect():
+            got.setdefault(r.block_no, []).append(r)
+        options = planner.with_plain(prof, columns_, ["block_no"]).join(columns_, ["block_no", "column_name"]).where("ori_len > 0").toPandas()
+        for block, rows_ in options.groupby("block_no"):
+            plan = pd.DataFrame([(r.column_name, r.codec, r.byte_num) for r in got[block]], columns=["column_name", "codec", "byte_num"])
+            need = rows_.groupby("column_name")["ori_len"].first()
+            assert plan.groupby("column_name")["byte_num"].sum().to_dict() == need.to_dict()
+            assert not plan.duplicated(["column_name", "codec"]).any()
+            if need.sum() < planner.LEAST:
+                assert set(plan["codec"]) == {151}
+                continue
+            want, said = planner.allocate(rows_, bandwidth, busy, target)
+            assert {(r.status, r.switched) for r in got[block]} == {(said["status"], said["switched"])}
+            if said["status"]:
+                routes.add("none")
+                continue
+            assert np.isclose(got[block][0].objective, said["objective"], rtol=1e-7, atol=1e-12)
+            used = plan.merge(rows_, on=["column_name", "codec"])
+            pack, send = (used["byte_num"] / used["bw"]).sum(), (used["byte_num"] / (used["gain"] * bandwidth)).sum()
+            slack = 1e-6 * (pack + send) + 10 * len(need) / bandwidth
+            if said["switched"]:
+                assert send <= target + slack and pack + busy * len(need) <= target + slack
+                assert np.isclose(send + pack + busy * len(need), said["second"], rtol=1e-6, atol=slack)
+                routes.add("second")
+            else:
+                assert pack <= send - busy + slack and np.isclose(send, said["objective"], rtol=1e-6, atol=slack)
+                routes.add("split" if len(used) > len(need) else "first")
+    assert routes == {"none", "second", "split", "first"}
