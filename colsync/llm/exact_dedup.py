@@ -77,37 +77,46 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical; a null text counts as empty.  The row with
-    the largest id of a group stays.  Rows that repeat an id and a text count as
-    members of the group, and each of those with the largest id is ``kept``; a null id is never chosen while
-    the group has another.  Very long texts are hashed whole.  An empty table
+    the largest id of a group stays, and of several rows with that id one; a null
+    id is never chosen while the group has another.  Very long texts are hashed whole.  An empty table
     gives an empty result; other columns are not read, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "exact")
     text = _text(text_col)
-    rows = scratch.put(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.xxhash64(text).alias("h")), "digests")
+    # written rows keep their number, which tells rows of one id and text apart
+    rows = scratch.put(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row")), "digests")
     total = rows.count()
     blocks = filter_blocks(total)
     filled = scratch.put(repeated_slots(rows.select("h"), blocks), "filter")
     flagged = possibly_repeated(rows, blocks, filled)
     digest = F.lower(F.hex("sha")).alias("text_sha256")
     alone = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
-    maybe = scratch.put(flagged.where("maybe").select("doc_id", "sha"), "maybe")
-    groups = scratch.put(maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    maybe = scratch.put(flagged.where("maybe").select("doc_id", "sha", "row"), "maybe")
+    groups = scratch.put(maybe.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("_keep"), F.count("*").alias("group_size")).select("sha", "_keep.doc_id", "_keep.row", "group_size").toDF("sha", "keep_id", "keep_row", "group_size"), "groups")
     found = join_groups(maybe, groups, "sha", "group_size", total)
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return alone.unionByName(found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), digest))
+    return alone.unionByName(found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), digest))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: those with the largest id of each text.
+    """The rows of ``docs``, all columns, that stay: the one with the largest id of each text.
 
-    As in ``exact_duplicates``, rows that repeat both the largest id and the
-    text all stay, a null id only where its text has no other.  Other columns
+    As in ``exact_duplicates``, one of rows that repeat both the largest id and
+    the text stays, a null id only where its text has no other.  Other columns
     may have any name; an empty table gives none.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    gone = scratch.put(exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select("doc_id", "text_sha256").distinct(), "gone")
-    a, b = fresh(docs.columns, "_id"), fresh(docs.columns, "_sha")
-    gone = gone.select(F.col("doc_id").alias(a), F.col("text_sha256").alias(b))
-    few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"].eqNullSafe(F.col(a)) & (F.sha2(_text(text_col), 256) == F.col(b)), "left_anti")
+    a, b, c = (fresh(docs.columns, n) for n in ("_id", "_sha", "_again"))
+    # a row that goes beside one of its id and text that stays: these rows are listed and one of them is taken
+    again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    listed = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(a), F.col("text_sha256").alias(b), again.alias(c)).distinct()
+    listed = scratch.put(listed, "gone")
+    few = listed.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    key = docs[f"`{id_col}`"].eqNullSafe(F.col(a)) & (F.sha2(_text(text_col), 256) == F.col(b))
+    columns = [F.col(f"`{name}`") for name in docs.columns]
+    kept = docs.join(F.broadcast(listed) if few else listed, key, "left_anti")
+    several = listed.where(F.col(c))
+    if several.isEmpty():
+        return kept
+    rows = docs.join(F.broadcast(several) if few else several, key)
+    one = rows.groupBy(a, b).agg(F.first(F.struct(*columns)).alias(c))
+    return kept.unionByName(one.select(*[F.col(c)[name].alias(name) for name in docs.columns]))

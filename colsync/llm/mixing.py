@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colsync.llm.skew import fresh
+from colsync.llm.skew import fresh, row_columns
 from colsync.llm.store import Scratch
 from colsync.llm.words import NOT_SPACE, word_counts, word_slices
 
@@ -109,8 +109,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     repeat.  ``size`` is the number of words of the whole text, 0 for null.
     ``taken`` counts the words that the mix takes from the document, repeats
     included; it is at most ``max_repeats * size``.  The seed, ids and sizes
-    fix the result; rows that repeat an id are ordered by size and are then
-    interchangeable.  An empty table gives an empty plan, a source without
+    fix the result; rows that repeat an id, or have none, are seeded each by its
+    size and a number within rows of that id, source and size, which are interchangeable.  An empty table gives an empty plan, a source without
     words a target of 0.  Ids are whole numbers; very long texts count whole,
     and other columns are not read.  With ``keyed_rows`` the documents are those of
     ``mixed``; the plan has their ``_same``, a ``_number`` within equal rows and
@@ -120,12 +120,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     spark = docs.sparkSession
     row = ["_same"] if keyed_rows else []
     sized = docs.select(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string"), *row).mapInArrow(_sized, "doc_id long, source string, size long" + ", _same string" * keyed_rows)
-    if keyed_rows:
-        sized = sized.withColumn("_row", F.monotonically_increasing_id())
     # ids, sources and sizes only: a few bytes a document, read three times below
-    sized = Scratch(spark, "mix").put(sized)
-    keyed = _numbered(sized).withColumn("u", seeded("doc_id", seed, "_same", "_number")) if keyed_rows else sized.withColumn("u", seeded("doc_id", seed))
-    return apportioned(keyed, weights, total, max_repeats, blocks)
+    sized = Scratch(spark, "mix").put(sized.withColumn("_row", F.monotonically_increasing_id()))
+    if keyed_rows:
+        return apportioned(_numbered(sized).withColumn("u", seeded("doc_id", seed, "_same", "_number")), weights, total, max_repeats, blocks)
+    # rows without an id, or with the same one, are told apart by their size and then by number
+    numbered = _numbered(sized.withColumn("_same", F.to_json(F.struct("doc_id", "source", "size"))))
+    keyed = numbered.withColumn("u", seeded("doc_id", seed, "size", "_number"))
+    return apportioned(keyed, weights, total, max_repeats, blocks).drop("_same", "_number", "_copies")
 
 
 def apportioned(keyed: DataFrame, weights: tuple = WEIGHTS, total: float | None = None, max_repeats: int = MAX_REPEATS, blocks: int = BLOCKS) -> DataFrame:
@@ -243,7 +245,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     columns are carried along, whatever their names; an empty table gives none.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    same = F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), *columns)) for k in (1, 2)])
+    same = F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), *row_columns(docs))) for k in (1, 2)])
     # the document as one field, so that its columns and those of the plan keep apart
     rows = docs.select(same.alias("_same"), F.struct(*columns).alias("row"))
     read = docs.select(same.alias("_same"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))

@@ -146,7 +146,7 @@ _REPLIES_SQL = rf"""
 
 _MIX_SQL = f"""
     WITH d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_NOT_SPACE}'))::BIGINT AS size,
-                                   ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u FROM documents),
+                                   row_number() OVER (PARTITION BY doc_id, source, size ORDER BY doc_id) - 1 AS number, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || number), 1, 15))::BIGINT AS u FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
     w AS (SELECT *, [5, 2, 1][place % 3 + 1] AS weight FROM s),
     r AS (SELECT *, 3 * source_size / weight AS ratio FROM w),
@@ -254,7 +254,7 @@ ORACLES = {
     "op6_quotations": _REPLIES_SQL,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+               row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op12_collocations": _PHRASES_SQL,
     "op13_filter_audit": _AUDIT_SQL,

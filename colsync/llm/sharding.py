@@ -82,12 +82,12 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the limit, or rows that repeat one id and are too large together.  Null ids
     hash like an empty string; rows that repeat an id are rows of their own.  A
     very long text is a number here.  ``keep`` also returns the columns of
-    ``docs``, whatever their names; those of the names above are replaced.  An
-    empty table has no shards.
+    ``docs``, whatever their names: one with a name from above goes on under
+    that name with ``_`` behind it.  An empty table has no shards.
     """
     scratch = Scratch(docs.sparkSession, "shards")
     key, size = F.col(f"`{id_col}`"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long")
-    extra = [c for c in docs.columns if c not in (id_col, *_RESULT)] if keep else []
+    extra = [c for c in docs.columns if c != id_col] if keep else []
     read = docs.select(key.alias("doc_id"), hash_bits(key).alias("bits"), size.alias("bytes"), F.struct(F.lit(0).alias(fresh(extra, "_none")), *[F.col(f"`{c}`") for c in extra]).alias("row"))
     # ids and sizes only: a few bytes a document
     sized = scratch.put(read.drop("row"), "sized")
@@ -105,12 +105,25 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = found.withColumn("bucket", bucket)
     name = F.when(F.col("bucket.depth") == 0, F.lit("root")).otherwise(F.col("bucket.prefix"))
     made = [F.col("bytes"), name, F.col("bucket.depth"), F.col("bucket.n"), F.col("bucket.bytes"), F.col("bucket.bytes") <= limit]
-    return found.select("doc_id", *[c.alias(n) for c, n in zip(made, _RESULT[1:], strict=True)], *[F.col(f"row.`{c}`") for c in extra])
+    return found.select("doc_id", *[c.alias(n) for c, n in zip(made, _RESULT[1:], strict=True)], *[F.col(f"row.`{c}`").alias(n) for c, n in _kept_names(extra).items()])
 
 
 _RESULT = ("doc_id", "n_bytes", "shard", "depth", "shard_docs", "shard_bytes", "fits")
 
 
+def _kept_names(columns: list[str]) -> dict[str, str]:
+    """A name for each column that is none of the result's and no other column's, whatever the case: its own, if that is free."""
+    taken, out = {n.lower() for n in (*_RESULT, *columns)}, {}
+    for c in columns:
+        name = c
+        if c.lower() in _RESULT:
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        out[c] = name
+    return out
+
+
 def _entries(buckets: DataFrame, depth: int) -> DataFrame:
     """The directory at ``depth`` bits: an ``entry`` for each prefix of that length that a bucket covers."""
     tail = F.expr(f"lpad(conv(i, 10, 2), {depth} - depth, '0')")

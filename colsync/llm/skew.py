@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 
 def fresh(columns: Iterable[str], name: str) -> str:
@@ -38,13 +39,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
 MAX_BROADCAST_IDS = 1 << 20
 
 
-def without_ids(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """The rows whose id is not among the one column of ``gone``, a written table; null ids stay.
+def hashable(value: Column, kind: DataType) -> Column:
+    """The value in a form that Spark can hash: maps, at any depth, as lists of their entries in the order they have."""
+    if "map<" not in kind.simpleString():
+        return value
+    if isinstance(kind, MapType):
+        entry = StructType([StructField("key", kind.keyType), StructField("value", kind.valueType)])
+        return hashable(F.map_entries(value), ArrayType(entry))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: hashable(x, kind.elementType))
+    # a null struct stays apart from one of nulls
+    return F.when(value.isNotNull(), F.struct(*[hashable(value[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]))
 
-    Up to ``MAX_BROADCAST_IDS`` the ids are broadcast, and the rows with their
-    texts stay where they are; beyond, both sides are shuffled.
-    """
-    name = fresh(rows.columns, "_gone")
-    gone = gone.select(F.col(f"`{gone.columns[0]}`").alias(name))
-    few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return rows.join(F.broadcast(gone) if few else gone, rows[f"`{id_col}`"] == F.col(name), "left_anti")
+
+def row_columns(rows: DataFrame) -> list[Column]:
+    """All columns of a table, whatever their names and types, for hashing its rows."""
+    return [hashable(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema]

@@ -16,10 +16,12 @@ def plain(rows):
     for i, t in rows:
         groups[t or ""].append(i)
     out = []
+    stayed = set()
     for i, t in rows:
         held = groups[t or ""]
         keep = max((x for x in held if x is not None), default=None)
-        out.append((i, keep, len(held), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+        out.append((i, keep, len(held), i == keep and (t or "") not in stayed, hashlib.sha256((t or "").encode()).hexdigest()))
+        stayed |= {t or ""} if i == keep else set()
     return sorted(out, key=str)
 
 
@@ -46,8 +48,10 @@ def test_edges(spark, monkeypatch, bits, broadcast, hot, few):
     rows = [(i, "same text") for i in range(700)] + [(1000 + i, f"text {i % 900}") for i in range(1300)] + [(5000, None), (5001, ""), (5002, " "), (5003, "é" * 100_000), (5004, "é" * 100_000), (5005, "Same Text")]
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, keep_id string, h int")
     assert got(exact_dedup.exact_duplicates(df)) == plain(rows)
-    odd = [(None, "a"), (None, "a"), (7, "a"), (7, "a"), (None, "b")]
-    assert got(exact_dedup.exact_duplicates(spark.createDataFrame(odd, "doc_id long, text string"))) == sorted([(None, 7, 4, False, hashlib.sha256(b"a").hexdigest())] * 2 + [(7, 7, 4, True, hashlib.sha256(b"a").hexdigest())] * 2 + [(None, None, 1, True, hashlib.sha256(b"b").hexdigest())], key=str)
+    odd = [(None, "a"), (None, "a"), (7, "a"), (7, "a"), (7, "a"), (3, "a"), (None, "b"), (None, "c"), (None, "c")] + [(9, "hot")] * 400 + [(2, "hot")] * 5
+    twice = spark.createDataFrame(odd, "doc_id long, text string").repartition(3)
+    assert got(exact_dedup.exact_duplicates(twice)) == plain(odd)
+    assert sorted(map(str, map(tuple, exact_dedup.drop_exact_duplicates(twice).collect()))) == sorted(map(str, [(7, "a"), (None, "b"), (None, "c"), (9, "hot")]))
     kept = exact_dedup.drop_exact_duplicates(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, k, _, _, _ in plain(rows) if i == k)
     assert exact_dedup.exact_duplicates(df.limit(0)).count() == 0
@@ -73,4 +77,4 @@ def test_drop_with_repeated_and_null_ids_and_clashing_columns(spark):
     df = spark.createDataFrame([(i, t, *[777] * len(names)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
     out = exact_dedup.drop_exact_duplicates(df)
     assert out.columns == df.columns and all(r[n] == 777 for r in out.collect() for n in names)
-    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(7, "a"), (7, "a"), (7, "b"), (None, "c"), (9, None)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(7, "a"), (7, "b"), (None, "c"), (9, None)], key=str)

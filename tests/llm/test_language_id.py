@@ -72,7 +72,7 @@ def test_edges(spark):
     rnd = random.Random(3)
     say = {lang: [" ".join(rnd.choice(words) for _ in range(40)) for _ in range(40)] for lang, words in (("en", ["the", "reading", "of", "water", "house"]), ("fi", ["talo", "vesi", "lukea", "ja", "onko"]))}
     rows = [(i * 10 + k, t, lang) for k, (lang, texts) in enumerate(say.items()) for i, t in enumerate(texts)]
-    odd = [(1001, None, "en"), (1002, "", "fi"), (1003, " 12 $%& \n", "en"), (1004, say["fi"][0] * 3000, None), (1005, "TALO, Vesi! JA; lukea onko talo vesi", "en"), (None, "reading the house of water", None), (1006, "q", "en"), (1006, "talo ja vesi onko lukea", None), (1006, "talo ja vesi onko lukea", None)]
+    odd = [(1001, None, "en"), (1002, "", "fi"), (1003, " 12 $%& \n", "en"), (1004, say["fi"][0] * 3000, None), (1005, "TALO, Vesi! JA; lukea onko talo vesi", None), (None, "reading the house of water", None), (1006, "q", "en"), (1006, "talo ja vesi onko lukea", None), (1006, "talo ja vesi onko lukea", None)]
     df = spark.createDataFrame([(*r, 0.5, "x") for r in rows + odd], "doc_id long, text string, lang string, score double, lang_pred string")
     out = language_id.identify(df).collect()
     found = sorted(((r.doc_id, r.lang_pred) for r in out if r.doc_id is None or r.doc_id > 1000), key=str)

@@ -125,3 +125,16 @@ def test_clashing_columns(spark):
     assert out and out[0].__fields__ == df.columns
     assert all(v == 777 for r in out for k, v in r.asDict().items() if k not in ("doc_id", "text", "source"))
     assert all((text[r.doc_id] + " same row").find(r.text.split(" ")[0]) >= 0 for r in out)
+
+
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 20)
+    rows = [(None, "w " * (i % 40), "a") for i in range(900)] + [(5, "w " * (i % 3), "a") for i in range(900)] + [(1000 + i, "w w w", "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    shards = []
+    held = mixing._selected
+    monkeypatch.setattr(mixing, "_selected", lambda dealt, *a: (shards.append(dealt), held(dealt, *a))[1])
+    out = sorted(map(str, mixing.mix_plan(df).collect()))
+    assert out == sorted(map(str, mixing.mix_plan(df.repartition(5)).collect())) and len(out) == 2100
+    largest = shards[0].groupBy("source", "shard").count().agg({"count": "max"}).first()[0]
+    assert largest < 60

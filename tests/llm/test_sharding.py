@@ -58,7 +58,7 @@ def test_edges(spark, tmp_path, monkeypatch):
     rows = [(i, "x" * (i % 7 * 10), i, "keep") for i in range(300)] + [(1000, "y" * 100_000, 1, "k"), (1001, None, 2, "k"), (1002, "", 3, "k"), (None, "é" * 50, 4, "k")] + [(7777, "z" * 90, 5, "same")] * 20
     df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes long, shard string")
     out = sharding.assign_shards(df, limit=400, keep=True)
-    assert out.columns == ["doc_id", "n_bytes", "shard", "depth", "shard_docs", "shard_bytes", "fits", "text"]
+    assert out.columns == ["doc_id", "n_bytes", "shard", "depth", "shard_docs", "shard_bytes", "fits", "text", "n_bytes_", "shard_"]
     got = out.collect()
     assert len(got) == len(rows)
     assert {r.doc_id: (r.shard, r.depth, r.shard_docs, r.shard_bytes, r.fits) for r in got} == plain([(a, len((t or "").encode())) for a, t, _, _ in rows], 400)
@@ -76,3 +76,15 @@ def test_clashing_columns(spark):
     got = out.collect()
     assert {r.doc_id: (r.shard, r.depth, r.shard_docs, r.shard_bytes, r.fits) for r in got} == plain([(k, k) for k in range(90)], 300)
     assert all(r[n] == 777 for r in got for n in names) and all(len(r.text) == r.doc_id for r in got)
+
+
+def test_clashing_columns_stay(spark):
+    names = ["shard", "depth", "n_bytes", "Shard_docs", "shard_bytes", "fits", "fits_", "row", "bits"]
+    df = spark.createDataFrame([(i, "x" * i, *[777] * len(names), {"k": i}) for i in range(30)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names) + ", tags map<string,long>")
+    out = sharding.assign_shards(df, limit=60, keep=True)
+    rows = out.collect()
+    assert len(rows) == 30 and out.columns[:7] == ["doc_id", "n_bytes", "shard", "depth", "shard_docs", "shard_bytes", "fits"]
+    assert out.columns[7:] == ["text", "shard_", "depth_", "n_bytes_", "Shard_docs_", "shard_bytes_", "fits__", "fits_", "row", "bits", "tags"]
+    assert all(r[n] == 777 for r in rows for n in out.columns[8:-1]) and all(r.tags == {"k": r.doc_id} for r in rows)
+    plainly = {r.doc_id: tuple(r)[1:] for r in sharding.assign_shards(df, limit=60).collect()}
+    assert {r.doc_id: tuple(r)[1:7] for r in rows} == plainly
