@@ -202,10 +202,10 @@ _PHRASES_SQL = f"""
         SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
         GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
     c AS (SELECT *, string_split(phrase, ' ') AS x FROM f WHERE k > 1),
-    u AS (SELECT *, unnest(range(1, k)) AS at FROM c),
-    s AS (SELECT u.lang, u.phrase, u.a, at, b.a AS l, e.a AS r, 2000000::HUGEINT * u.a // (b.a::HUGEINT + e.a) AS score
-          FROM u JOIN f b ON b.lang = u.lang AND b.phrase = array_to_string(x[1:at], ' ') JOIN f e ON e.lang = u.lang AND e.phrase = array_to_string(x[at + 1:u.k], ' ')),
-    g AS (SELECT lang, phrase, any_value(a) AS a, arg_min(l, (score, at)) AS l, arg_min(r, (score, at)) AS r, min(score)::BIGINT AS score FROM s GROUP BY lang, phrase),
+    u AS (SELECT *, unnest(range(1, k)) AS k1 FROM c),
+    s AS (SELECT u.lang, u.phrase, u.a, k1, b.a AS l, e.a AS r, 2000000::HUGEINT * u.a // (b.a::HUGEINT + e.a) AS score
+          FROM u JOIN f b ON b.lang = u.lang AND b.phrase = array_to_string(x[1:k1], ' ') JOIN f e ON e.lang = u.lang AND e.phrase = array_to_string(x[k1 + 1:u.k], ' ')),
+    g AS (SELECT lang, phrase, any_value(a) AS a, arg_min(l, (score, k1)) AS l, arg_min(r, (score, k1)) AS r, min(score)::BIGINT AS score FROM s GROUP BY lang, phrase),
     o AS (SELECT lang, a AS longer, array_to_string(x[i:j], ' ') AS phrase FROM (SELECT *, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM c)) WHERE j - i + 1 < k),
     h AS (SELECT DISTINCT g.lang, g.phrase FROM g JOIN o ON o.lang = g.lang AND o.phrase = g.phrase AND 100::HUGEINT * longer >= {collocations.COVER_PERCENT}::HUGEINT * a)
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
