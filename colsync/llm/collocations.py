@@ -41,7 +41,7 @@ SLICE_BYTES = 8 << 20
 #: A prefix with more than one in so many words is dealt deeper from the start, if it has this many occurrences at least.
 HOT_SHARE, HOT_LEAST = 4096, 4096
 #: Contexts of a bucket in the mean, the fewest and most buckets, and contexts that a task holds.
-BUCKET_CONTEXTS, MIN_BUCKETS, MAX_BUCKETS, MAX_CONTEXTS = 1 << 18, 64, 4096, 1 << 21
+BUCKET_CONTEXTS, MIN_BUCKETS, MAX_BUCKETS, MAX_CONTEXTS = 1 << 19, 64, 4096, 1 << 21
 
 #: Bytes between words, and between pieces.
 _GAP, _STOP = np.zeros(256, bool), np.zeros(256, bool)
@@ -123,7 +123,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, langs: list[str], lang: np.n
     bounds = np.searchsorted(starts, offsets)
     per_text = np.diff(bounds)
     row = np.repeat(np.arange(len(per_text)), per_text)
-    stops = np.cumsum(_STOP[data])[starts] if len(starts) else starts
+    stops = np.cumsum(_STOP[data], dtype=np.int32)[starts] if len(starts) else starts
     at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[inside]))])
     words, token_lang, token = _encoded(words, lang[row])
@@ -163,7 +163,7 @@ def pack(c: Contexts, rows: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(body))
 
 
-def unpack(block: bytes) -> Contexts:
+def unpack(block: bytes | pa.Buffer) -> Contexts:
     """The contexts of a packed block."""
     raw = zstandard.ZstdDecompressor().decompress(block)
     n, n_words, n_langs, wide = struct.unpack_from("<IIIB", raw)
@@ -311,12 +311,12 @@ def _grow(buckets: int, turn: int, least: int, most: int):
     def run(batches):
         place, held, size, large = None, [], 0, False
         for batch in batches:
-            for bucket, depth, block in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            for i, (bucket, depth) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if (bucket, depth) != place:
                     if held:
                         yield from finish(held, place[1])
                     place, held, size, large = (bucket, depth), [], 0, False
-                c = unpack(block)
+                c = unpack(batch.column(2)[i].as_buffer())
                 if large:
                     yield from again(c, bucket, depth)
                     continue
