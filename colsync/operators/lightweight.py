@@ -182,29 +182,48 @@ def dod_encode(values: np.ndarray) -> bytes:
     return _put_bits(np.concatenate((v[:2].astype(np.uint64), (prefix.astype(np.uint64) << width.astype(np.uint64)) | field)), np.concatenate((np.full(2, 32), size + width)))
 
 
+def _fields(bits: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The numbers of ``width`` bits at these places."""
+    return bits[at[:, None] + np.arange(width)] @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64))
+
+
+def _chain(after: np.ndarray, start: int, n: int) -> np.ndarray:
+    """The first ``n`` places of the chain from ``start``, by pointer doubling: what is known goes on from where it ends, all at once."""
+    places = np.array([start])
+    while len(places) < n:
+        places = np.concatenate((places, after[places]))
+        after = after[after]
+    return places[:n]
+
+
 def dod_decode(data: bytes, n: int) -> np.ndarray:
-    """``n`` u32 values again; a field above half of its range stands for a negative number."""
-    bits = np.unpackbits(np.frombuffer(data, np.uint8))
-    number = lambda at, width: int(bits[at : at + width] @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64))) if width else 0
-    out, at, delta = [], 0, 0
-    for i in range(n):
-        if i < 2:
-            out.append(number(at, 32))
-            at += 32
-            delta = (out[1] - out[0]) if i else 0
-            continue
-        ones = 0
-        while ones < 4 and bits[at + ones]:
-            ones += 1
-        _, size, width = _PREFIX[ones]
-        at += size
-        dod = number(at, width)
-        at += width
-        if width and dod > 1 << (width - 1):
-            dod -= 1 << width
-        delta += dod
-        out.append((out[-1] + delta) % (1 << 32))
-    return np.array(out, np.uint64).astype(np.uint32)
+    """``n`` u32 values again; a field above half of its range stands for a negative number.
+
+    Where a code ends is worked out for every bit at which one could begin; the
+    places of the codes are the chain from the first.
+    """
+    raw = np.unpackbits(np.frombuffer(data, np.uint8))
+    if len(raw) < 32 * min(n, 2) or n < 1:
+        return np.zeros(0, np.uint32)
+    bits = np.concatenate((raw, np.zeros(40, np.uint8))).astype(np.int64)
+    first = _fields(bits, 32 * np.arange(min(n, 2)), 32)
+    if n < 3:
+        return first.astype(np.uint32)
+    ones, lead = np.zeros(len(raw), np.int64), np.ones(len(raw), np.int64)
+    for k in range(4):
+        lead = lead * bits[k : k + len(raw)]
+        ones += lead
+    size, width = (np.array(x) for x in list(zip(*_PREFIX, strict=True))[1:])
+    after = np.minimum(np.arange(len(raw)) + (size + width)[ones], len(raw) - 1)
+    at = _chain(after, 64, n - 2)
+    kind, dod = ones[at], np.zeros(n - 2, np.int64)
+    for k, (_, lead_bits, bits_of_value) in enumerate(_PREFIX):
+        here = np.flatnonzero(kind == k) if bits_of_value else np.zeros(0, np.int64)
+        if len(here):
+            found = _fields(bits, at[here] + lead_bits, bits_of_value)
+            dod[here] = np.where(found > 1 << (bits_of_value - 1), found - (1 << bits_of_value), found)
+    steps = np.concatenate(([first[1] - first[0]], dod)).cumsum()
+    return ((first[0] + np.concatenate(([0], steps.cumsum()))) & 0xFFFFFFFF).astype(np.uint32)
 
 
 def byte_rle_encode(data: bytes) -> bytes:

@@ -21,7 +21,7 @@ from colsync.plans.tables import Tables, new_folder
 from colsync.sources import binlog
 from colsync.sources.manifest import Manifest
 from colsync.sources.store import sized_files
-from colsync.streaming import state
+from colsync.streaming import loop, state
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -813,12 +813,16 @@ def _pipeline(spark, sf_dir, transposed: bool, mode: str):
         options.profile = _profile(spark, cut.columns)
         options.plan = planner.lp_plan(cut.columns, options.profile, pipeline.KEYS, BANDWIDTH).select(*pipeline.KEYS, "column_name", "codec", "byte_num")
     run = pipeline.finish(cut, options)
-    back = pipeline.restored_columns(pipeline.unpacked(run.packages, run.segments.drop("payload")))
+    return _compared(run.packages, pipeline.restored_columns(pipeline.unpacked(run.packages, run.segments.drop("payload"))), run.columns)
+
+
+def _compared(packages, back, columns_):
+    """Bytes and headers of the packages of each file, and whether the columns that came ``back`` are those that went in."""
     keys = [*pipeline.KEYS, "column_name"]
-    compared = run.columns.where("ori_len > 0").select(*keys, F.col("values").alias("want")).join(back.where(F.octet_length("values") > 0), keys, "full_outer")
+    compared = columns_.where("ori_len > 0").select(*keys, F.col("values").alias("want")).join(back.where(F.octet_length("values") > 0), keys, "full_outer")
     same = compared.groupBy("file").agg(F.min(F.col("values").eqNullSafe(F.col("want"))).alias("same"))
     read = transport.parse_header("header")
-    sent = run.packages.groupBy("file").agg(F.sum(read["ori_len"]).cast("long").alias("ori_len"), F.min(F.octet_length("header")).alias("header_bytes"))
+    sent = packages.groupBy("file").agg(F.sum(read["ori_len"]).cast("long").alias("ori_len"), F.min(F.octet_length("header")).alias("header_bytes"))
     return sent.join(same, "file")
 
 
@@ -867,6 +871,32 @@ def pipeline_replay(spark, sf_dir):
     return _pipeline(spark, sf_dir, True, pipeline.REPLAY)
 
 
+def _adaptive(spark, sf_dir, transposed: bool):
+    """Orders as logs through the adaptive loop, some parts a trigger, and back; the packages are cut up, decoded and compared with the columns, byte for byte."""
+    folder = _written(spark, sf_dir)
+    size = sum(n for _, n in sized_files(f"{folder}/in"))
+    log = Manifest(spark, f"{folder}/in", f"{folder}/manifest", split_bytes=max(64 << 10, size // 6), unit_bytes=max(64 << 10, size // 3))
+    log.refresh()
+    options = pipeline.Options(transposed=transposed, block_bytes=FIXED_BYTES, bandwidth=BANDWIDTH, codecs=(151, 152, 156))
+    adaptive = loop.Loop(spark, f"{folder}/run", options, unit=2000)
+    query = adaptive.start(log.stream(units_per_trigger=1), f"{folder}/checkpoint")
+    query.awaitTermination()
+    sent, directory = adaptive.read("packages"), adaptive.read("segments").drop("payload")
+    return _compared(sent, pipeline.restored_columns(pipeline.unpacked(sent, directory)), adaptive.read("columns"))
+
+
+@query(_SENT.replace("o_orderpriority AS file", "regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '_', 'g') AS file"))
+def stream_adaptive(spark, sf_dir):
+    """The adaptive loop over a stream, a column for each field: samples, plans, measurements and packages, trigger by trigger."""
+    return _adaptive(spark, sf_dir, True)
+
+
+@query(ORACLES["stream_adaptive"])
+def stream_adaptive_untransposed(spark, sf_dir):
+    """The same over blocks of raw bytes."""
+    return _adaptive(spark, sf_dir, False)
+
+
 _KINDS = ("FORMAT_DESCRIPTION", "TRANSACTION_PAYLOAD", "PREVIOUS_GTIDS", "ANONYMOUS_GTID", "ROTATE", "QUERY", "XID", "STOP")
 
 

@@ -56,6 +56,11 @@ class Tables:
             make().write.mode("overwrite").parquet(f"{self.folder}/{name}")
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
+    def drop(self, name: str) -> None:
+        """Delete a table that nothing reads any more."""
+        fs, where = self._path(name)
+        fs.delete(where, True)
+
     def clear(self) -> None:
         """Delete the folder, when nothing reads it any more."""
         fs, where = self._path("")

@@ -387,3 +387,74 @@ def test_definitions_without_a_driver(spark, monkeypatch):
         rows.registry_of(maps)
     with pytest.raises(Exception, match="no TABLE_MAP"):
         rows.row_images(events_, rows.definitions_of(maps.where("table_id <> 5"))).collect()
+
+
+@pytest.mark.parametrize("transposed", [True, False])
+def test_adaptive_loop(spark, tmp_path, transposed):
+    """Each pair is sampled once, then planned by what was measured; nothing is lost; a trigger that is tried again changes nothing."""
+    from colsync.streaming.loop import Loop
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 900")
+    binlog.write_log(logs.table_packets(orders, logs.ORDERS, F.lit("all"), ["o_orderkey"]), str(tmp_path / "in"))
+    size = (tmp_path / "in" / "all").stat().st_size
+    log = Manifest(spark, str(tmp_path / "in"), str(tmp_path / "manifest"), split_bytes=size // 3, unit_bytes=size // 3)
+    assert log.refresh() >= 3
+    options = pipeline.Options(transposed=transposed, block_bytes=9000, bandwidth=1e5, codecs=(151, 152, 156))
+    adaptive = Loop(spark, str(tmp_path / "run"), options, unit=300, least_send=1000)
+    adaptive.start(log.stream(units_per_trigger=1), str(tmp_path / "ck")).awaitTermination()
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "run").iterdir())
+    assert last >= 2
+    # lossless: columns of all triggers from the packages alone and the directory
+    sent, directory = adaptive.read("packages"), adaptive.read("segments").drop("payload")
+    back = {(r.file, r.block_no, r.column_name): bytes(r["values"]) for r in pipeline.restored_columns(pipeline.unpacked(sent, directory)).collect()}
+    want = {(r.file, r.block_no, r.column_name): bytes(r["values"]) for r in adaptive.read("columns").collect()}
+    assert {k: v for k, v in back.items() if v} == {k: v for k, v in want.items() if v}
+    assert sum(r.ori_len for r in adaptive.read("blocks").collect()) == size
+    numbers = sorted(r.block_no for r in adaptive.read("blocks").collect())
+    assert numbers == list(range(len(numbers)))
+    # every pair of a column with enough bytes in a block is in the profile, and was sampled in one block of the trigger that lacked it
+    kept = {(r.column_name, r.codec): r for r in adaptive.state("profile", last).collect()}
+    long = {k[2] for k, v in want.items() if len(v) >= 2 * 300}
+    assert {(c, x) for c in long for x in (152, 156)} <= set(kept)
+    first = spark.read.parquet(str(tmp_path / "run" / "batch=0" / "plan")).where("codec <> 151").collect()
+    assert len({(r.column_name, r.codec) for r in first}) == len(first) and all(r.byte_num <= 300 for r in first)
+    later = spark.read.parquet(str(tmp_path / "run" / f"batch={last}" / "plan")).where("codec <> 151 AND byte_num > 300")
+    assert later.count() > 0  # the program uses what was measured
+    # kept values move by the rule only: those of the last trigger are its own, or those before it
+    before = {(r.column_name, r.codec): r for r in adaptive.state("profile", last - 1).collect()}
+    sums = {}
+    for r in spark.read.parquet(str(tmp_path / "run" / f"batch={last}" / "segments")).where("byte_num >= 300 AND codec <> 151").collect():
+        o, c, s = sums.get((r.column_name, r.codec), (0, 0, 0.0))
+        sums[r.column_name, r.codec] = o + r.byte_num, c + r.cmpr_len, s + r.seconds
+    for pair, r in kept.items():
+        old, new = before.get(pair), sums.get(pair)
+        moved = new is not None and (old is None or abs(new[0] / new[1] - old.gain) > 0.05 * old.gain or abs(new[0] / new[2] - old.bw) > 0.05 * old.bw)
+        assert (r.epoch == last) == moved
+        assert np.isclose(r.gain, new[0] / new[1] if moved else old.gain)
+    # the same trigger again, after its packages were lost
+    import shutil
+
+    payloads = {(r.file, r.block_no): bytes(r.payload) for r in sent.collect()}
+    for name in ("packages", "segments"):
+        shutil.rmtree(tmp_path / "run" / f"batch={last}" / name)
+    adaptive.step(spark.read.parquet(str(tmp_path / "run" / f"batch={last}" / "arrived")), last)
+    assert {(r.file, r.block_no): bytes(r.payload) for r in adaptive.read("packages").collect()} == payloads
+
+
+def test_loop_waits_for_packets_in_front(spark, tmp_path):
+    from colsync.streaming.loop import Loop, gaps
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 300")
+    packets = logs.table_packets(orders, logs.ORDERS, F.col("o_orderpriority"), ["o_orderkey"]).cache()
+    adaptive = Loop(spark, str(tmp_path), pipeline.Options(block_bytes=3000, bandwidth=1e5, codecs=(151, 152)), unit=200)
+    turn = F.pmod(F.floor(F.col("packet_no") / 10), F.lit(3))
+    for number, k in enumerate((2, 0, 1)):  # the definition comes second
+        adaptive.step(packets.where(turn == k), number)
+    missing = {r.file: r.gap for r in gaps(packets.where("packet_no <> 4 AND packet_no <> 9"), spark.createDataFrame([], "file string, next_packet long")).collect()}
+    assert set(missing.values()) == {5}
+    assert [adaptive.state("early", n).count() > 0 for n in (1, 2)] == [True, False]
+    sent, directory = adaptive.read("packages"), adaptive.read("segments").drop("payload")
+    back = {(r.file, r.block_no, r.column_name): bytes(r["values"]) for r in pipeline.restored_columns(pipeline.unpacked(sent, directory)).collect()}
+    want = {(r.file, r.block_no, r.column_name): bytes(r["values"]) for r in adaptive.read("columns").collect()}
+    assert {k: v for k, v in back.items() if v} == {k: v for k, v in want.items() if v}
+    assert sum(r.ori_len for r in adaptive.read("blocks").collect()) == packets.agg(F.sum(F.col("body_len") + 4)).first()[0]
