@@ -19,6 +19,7 @@ from colsync.operators import blocks, codecs, columns, container, events, lightw
 from colsync.plans import logs, pipeline, planner, profile
 from colsync.plans.tables import Tables, new_folder
 from colsync.sources import binlog
+from colsync.sources import packages as wire
 from colsync.sources.manifest import Manifest
 from colsync.sources.store import sized_files
 from colsync.streaming import loop, state
@@ -897,6 +898,24 @@ def stream_adaptive_untransposed(spark, sf_dir):
     return _adaptive(spark, sf_dir, False)
 
 
+@query(f"""
+    SELECT (sum({ORDER_BYTES}) + count(DISTINCT o_orderpriority) * {ORDER_MAP_BYTES})::BIGINT AS ori_len, (count(*) + count(DISTINCT o_orderpriority))::BIGINT AS total_events, true AS same, 0::BIGINT AS strangers FROM orders""")
+def package_roundtrip(spark, sf_dir):
+    """Packages of the orders sent to files and received again: what their headers add up to, and that each payload is one that was sent."""
+    options = pipeline.Options(mode="zstd1", transposed=False, whole_packets=True, block_bytes=FIXED_BYTES, bandwidth=BANDWIDTH)
+    run = pipeline.run(_order_packets(spark, sf_dir), options)
+    folder = f"{run.tables.folder}/wire"
+    wire.send(run.packages, folder)
+    got = wire.receive(spark, folder)
+    read = transport.parse_header("header")
+    digest = lambda df: df.groupBy(F.sha2(F.concat("header", "payload"), 256).alias("sha")).agg(F.count("*").alias("n"))
+    sent = digest(run.packages).withColumnRenamed("n", "sent")
+    matched = digest(got).join(sent, "sha", "full_outer").agg(F.min(F.col("n").eqNullSafe(F.col("sent"))).alias("same"), F.sum(F.when(F.col("sent").isNull(), 1).otherwise(0)).alias("strangers"))
+    summed = got.agg(F.sum(read["ori_len"]).cast("long").alias("ori_len"), F.sum(read["total_events"]).cast("long").alias("total_events"))
+    # one row each
+    return summed.join(F.broadcast(matched), F.lit(True))
+
+
 _KINDS = ("FORMAT_DESCRIPTION", "TRANSACTION_PAYLOAD", "PREVIOUS_GTIDS", "ANONYMOUS_GTID", "ROTATE", "QUERY", "XID", "STOP")
 
 

@@ -94,8 +94,9 @@ class _Reader(DataSourceReader):
             return [_File(*x) for x in json.loads(self.splits)]
         return [_File(f) for f, _ in sized_files(self.path)]
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        return read_part(partition.path, partition.start, partition.stop, partition.first)
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        # Spark gives none where there are no files
+        return read_part(partition.path, partition.start, partition.stop, partition.first) if partition else iter(())
 
 
 class BinlogDataSource(DataSource):

@@ -7,6 +7,7 @@ from decimal import Decimal
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,8 +331,6 @@ def test_no_task_reads_more_than_its_range(tmp_path, monkeypatch):
     monkeypatch.setattr(framing, "CHUNK", 512)
     read = []
     monkeypatch.setattr(framing.Window, "at", lambda self, place, n, old=framing.Window.at: (read.append((place, n)), old(self, place, n))[1])
-    import pyarrow as pa
-
     size = (tmp_path / "log").stat().st_size
     ask = pa.RecordBatch.from_pylist([{"path": path, "lo": 64_000, "hi": 96_000, "size": size, "at": -1, "known": -1}])
     [out] = framing._walk_ranges(iter([ask]))
@@ -458,3 +457,69 @@ def test_loop_waits_for_packets_in_front(spark, tmp_path):
     want = {(r.file, r.block_no, r.column_name): bytes(r["values"]) for r in adaptive.read("columns").collect()}
     assert {k: v for k, v in back.items() if v} == {k: v for k, v in want.items() if v}
     assert sum(r.ori_len for r in adaptive.read("blocks").collect()) == packets.agg(F.sum(F.col("body_len") + 4)).first()[0]
+
+
+def test_packages_are_committed_or_not_there(spark, tmp_path):
+    import os
+
+    from pyspark.sql.types import BinaryType
+
+    from colsync.operators.transport import package_header
+    from colsync.sources import packages as wire
+
+    rng = random.Random(8)
+    payloads = [rng.randbytes(rng.choice([0, 1, 300, 5000])) for _ in range(60)]
+    df = spark.createDataFrame([(f"f{i % 4}", i, bytearray(p)) for i, p in enumerate(payloads)], "file string, block_no long, payload binary")
+    size = F.octet_length("payload").cast("long")
+    fields = dict.fromkeys(("start_ts", "tran_start_ts", "net_bw", "cmpr_threads"), F.col("block_no")) | {"ori_len": size * 3, "cmpr_len": size, "total_events": F.lit(2)}
+    sent = df.withColumn("header", package_header(fields))
+    folder = str(tmp_path / "wire")
+    files = lambda: {f for f in os.listdir(folder)}
+    assert wire.receive(spark, folder).count() == 0
+    wire.send(sent, folder)
+    key = lambda d: sorted((bytes(r.header), bytes(r.payload)) for r in d.collect())
+    assert key(wire.receive(spark, folder)) == key(sent)
+    rows_ = wire.receive(spark, folder).orderBy("package_file", "package_no").collect()
+    assert all(a.package_file != b.package_file or b.package_no == a.package_no + 1 for a, b in zip(rows_, rows_[1:], strict=False))
+    # one task fails: nothing of the others stays
+    before = files()
+    spark.dataSource.register(wire.PackageDataSource)
+    bad = F.udf(lambda p, n: bytes(p) if n != 41 else 1 // 0, BinaryType())
+    with pytest.raises(Exception, match="division"):
+        sent.withColumn("payload", bad("payload", "block_no")).repartition(5).select("header", "payload").write.format("packages").mode("append").save(folder)
+    with pytest.raises(Exception, match="doesn't go with"):
+        sent.withColumn("payload", F.concat("payload", F.lit(b"x"))).select("header", "payload").write.format("packages").mode("append").save(folder)
+    assert files() == before
+    wire.send(sent.where("block_no < 7"), folder)
+    assert wire.receive(spark, folder).count() == 67
+    wire.send(sent.where("block_no < 5"), folder, "overwrite")
+    assert key(wire.receive(spark, folder)) == key(sent.where("block_no < 5"))
+    # a batch of a stream that is tried again replaces itself
+    for messages in ([wire._write(folder, iter([pa.RecordBatch.from_pylist([{"header": h, "payload": p}]) for h, p in key(sent.where("block_no < 3"))]))], []):
+        wire._StreamWriter(folder).commit(messages, 4)
+        assert wire.receive(spark, folder).count() == 5 + 3 * len(messages)
+    # bytes that are missing, or too many, or an end that says something else
+    [whole] = wire._write(str(tmp_path), iter([pa.RecordBatch.from_pylist([{"header": h, "payload": p}]) for h, p in key(sent)])).files
+    data = (tmp_path / whole).read_bytes()
+    assert list(wire.read_file(str(tmp_path / whole))) == key(sent)
+    for broken in (data[:-1], data[:-34], data[: len(data) // 2], data + b"x", data[:-1] + b"\x01", b"\x07\x00" + data):
+        (tmp_path / "broken").write_bytes(broken)
+        with pytest.raises((EOFError, ValueError)):
+            list(wire.read_file(str(tmp_path / "broken")))
+
+
+def test_packages_of_a_stream(spark, tmp_path):
+    from colsync.operators.transport import package_header
+    from colsync.sources import packages as wire
+
+    fields = dict.fromkeys(("ori_len", "cmpr_len", "start_ts", "total_events", "tran_start_ts", "net_bw", "cmpr_threads"), F.col("n"))
+    rows_ = spark.range(1, 40).select(F.col("id").alias("n")).withColumn("header", package_header(fields)).withColumn("payload", F.encode(F.repeat(F.lit("p"), F.col("n").cast("int")), "utf-8"))
+    rows_.select("header", "payload").repartition(6).write.parquet(str(tmp_path / "in"))
+    spark.dataSource.register(wire.PackageDataSource)
+    stream = spark.readStream.schema("header binary, payload binary").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        query = stream.writeStream.format("packages").option("path", str(tmp_path / "wire")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert query.awaitTermination(200)
+    got = wire.receive(spark, str(tmp_path / "wire"))
+    assert sorted(len(r.payload) for r in got.collect()) == list(range(1, 40))
+    assert len([f for f in (tmp_path / "wire").iterdir() if f.name.startswith("_commit-batch-")]) == 3
