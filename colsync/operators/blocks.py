@@ -33,6 +33,15 @@ def _range_of(value: Column, bounds: list) -> Column:
     return halve(0, len(bounds))
 
 
+def _parted(rows: DataFrame, order: list[str], ranges: int) -> DataFrame:
+    """The rows with ``_part``, their range by approximate quantiles of the first column of the order; 0 for all if it is no number, date or time."""
+    kind, bounds = rows.schema[order[0]].dataType, []
+    if isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        found = rows.agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], 1000)).first()[0]
+        bounds = sorted(set(found or []))
+    return rows.withColumn("_part", _range_of(F.col(order[0]), bounds))
+
+
 def packet_offsets(df: DataFrame, length: Column, by: list[str], order: list[str], ranges: int = 64) -> DataFrame:
     """``offset`` of each packet: the lengths before it in its file.
 
@@ -41,12 +50,7 @@ def packet_offsets(df: DataFrame, length: Column, by: list[str], order: list[str
     is no single task: parts are summed, and their sums lead the rows of the parts
     after them.  The quantiles are approximate and only balance the work.
     """
-    rows = df.withColumn("packet_len", length.cast("long"))
-    kind, bounds = df.schema[order[0]].dataType, []
-    if isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType)):
-        found = rows.agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], 1000)).first()[0]
-        bounds = sorted(set(found or []))
-    parted = rows.withColumn("_part", _range_of(F.col(order[0]), bounds)).withColumn("_row", F.lit(True))
+    parted = _parted(df.withColumn("packet_len", length.cast("long")), order, ranges).withColumn("_row", F.lit(True))
     before = lambda w: F.coalesce(F.sum("packet_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     sums = parted.groupBy(*by, "_part").agg(F.sum("packet_len").alias("packet_len"))
     leads = sums.select(*by, "_part", before(Window.partitionBy(*by).orderBy("_part")).alias("packet_len"), F.lit(False).alias("_row"))
@@ -171,12 +175,30 @@ def block_summary(cut_packets: DataFrame, start: int = 0, interval_ms: int = 0)
     return rows.withColumn("cut_ms", F.lit(start) + F.col("block_no") * interval_ms)
 
 
-def class_islands(df: DataFrame, kind: Column, by: list[str], order: list[str]) -> DataFrame:
-    """Stretches of neighbours of one class: ``*by, island, class, n_packets``."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    marked = df.select(*by, *order, kind.alias("class")).withColumn("_s", F.when(F.lag("class").over(w).eqNullSafe(F.col("class")) & (F.row_number().over(w) > 1), 0).otherwise(1))
-    numbered = marked.withColumn("island", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy(*by, "island").agg(F.first("class").alias("class"), F.count("*").alias("n_packets"))
+def class_islands(df: DataFrame, kind: Column, by: list[str], order: list[str], ranges: int = 64) -> DataFrame:
+    """Stretches of neighbours of one class: ``*by, island, class, n_packets``.
+
+    Runs are found in ranges of each file, as in ``packet_offsets``, so a hot file is
+    no single task.  A range says its first and last class and its number of runs; from
+    these short rows follows whether its first run goes on with the last one of the range
+    before, and so the number that it has.
+    """
+    parted = _parted(df.select(*dict.fromkeys([*by, *order]), kind.alias("class")), order, ranges)
+    w = Window.partitionBy(*by, "_part").orderBy(*order)
+    step = F.when((F.row_number().over(w) == 1) | F.lag("class").over(w).eqNullSafe(F.col("class")), 0).otherwise(1)
+    place = F.struct(*order)
+    runs = parted.withColumn("_step", step).withColumn("_run", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy(*by, "_part", "_run").agg(F.first("class").alias("class"), F.count("*").alias("n_packets"), F.min(place).alias("_at"))
+    ends = runs.groupBy(*by, "_part").agg(F.min_by("class", "_at").alias("_first"), F.max_by("class", "_at").alias("_last"), F.max("_run").alias("_more"))
+    line = Window.partitionBy(*by).orderBy("_part")
+    # 0 where the first run of a range is the last one of the range before
+    opens = F.when((F.row_number().over(line) > 1) & F.lag("_last").over(line).eqNullSafe(F.col("_first")), 0).otherwise(1)
+    bases = ends.withColumn("_opens", opens).withColumn("_base", F.sum(F.col("_opens") + F.col("_more")).over(line) - F.col("_more")).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_part").alias("_in"), "_base")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    placed = runs.join(bases, same & (F.col("_part") == F.col("_in"))).withColumn("island", F.col("_base") + F.col("_run"))
+    return placed.groupBy(*by, "island").agg(F.first("class").alias("class"), F.sum("n_packets").alias("n_packets"))
 
 
 def fixed_chunks(data: bytes, size: int) -> Iterator[bytes]:

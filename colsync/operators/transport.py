@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsync.functions.binary import little_endian, to_little_endian
+from colsync.operators.blocks import packet_offsets
 from colsync.operators.folds import fold_sorted
 
 #: The fields of a package's header after its 2-byte tag, 8 bytes each, and the tag.
@@ -75,9 +76,9 @@ def bytes_in_flight(df: DataFrame, by: list[str], order: list[str], sent: Column
 
 
 def completed(df: DataFrame, by: list[str], order: list[str], total: Column) -> DataFrame:
-    """``received`` so far and whether that is all, after each package."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("received", F.sum("ori_len").over(w)).withColumn("done", F.col("received") >= total)
+    """``received`` so far and whether that is all, after each package; summed by ranges of the order, so one long stream is no single task."""
+    placed = packet_offsets(df.withColumn("_total", total), F.col("ori_len"), by, order)
+    return placed.withColumn("received", F.col("offset") + F.col("packet_len")).withColumn("done", F.col("received") >= F.col("_total")).drop("_total", "offset", "packet_len")
 
 
 class TokenBucket:

@@ -392,3 +392,36 @@ def test_the_sweep_is_the_first_program(spark):
                 assert pack <= send - busy + slack and np.isclose(send, said["objective"], rtol=1e-6, atol=slack)
                 routes.add("split" if len(used) > len(need) else "first")
     assert routes == {"none", "second", "split", "first"}
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_islands_of_one_hot_file(spark, ranges):
+    rng = random.Random(ranges)
+    rows, kind = [], None
+    for i in range(3000):
+        kind = rng.choice([kind] * 40 + [True, False, None])
+        rows.append(("hot" if i < 2900 else None if i < 2950 else "b", i, kind))
+    df = spark.createDataFrame(rows, "file string, n long, c boolean").repartition(8)
+    got = sorted(((r.file, r.island, r["class"], r.n_packets) for r in blocks.class_islands(df, F.col("c"), ["file"], ["n"], ranges).collect()), key=str)
+    want = []
+    for file in ("hot", None, "b"):
+        island, before = 0, "none"
+        for f, _, c in rows:
+            if f == file:
+                if c is not before:
+                    island, before = island + 1, c
+                    want.append([file, island, c, 0])
+                want[-1][3] += 1
+    assert got == sorted(map(tuple, want), key=str)
+    if ranges > 1:
+        sizes = [r["count"] for r in blocks._parted(df, ["n"], ranges).groupBy("file", "_part").count().collect()]
+        assert max(sizes) < 3 * 3000 / ranges
+
+
+def test_completion_of_one_stream_by_ranges(spark):
+    df = spark.range(2000).select(F.lit(0).alias("stream"), F.col("id").alias("n"), (F.col("id") % 7).alias("ori_len"))
+    out = transport.completed(df, ["stream"], ["n"], F.lit(5000)).orderBy("n").collect()
+    total = 0
+    for r in out:
+        total += r.n % 7
+        assert (r.received, r.done) == (total, total >= 5000)
