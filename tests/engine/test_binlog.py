@@ -221,7 +221,7 @@ def test_lost_events_stop_the_pipeline(spark, monkeypatch):
     packets = logs.table_packets(orders, logs.ORDERS, F.lit("all"), ["o_orderkey"])
     options = pipeline.Options(mode="zstd", block_bytes=6000)
     whole = pipeline.cut_columns
-    monkeypatch.setattr(pipeline, "cut_columns", lambda p, o: (whole(p.where("packet_no <> 3"), o)[0], whole(p, o)[1]))
+    monkeypatch.setattr(pipeline, "cut_columns", lambda p, o, *more: (whole(p.where("packet_no <> 3"), o, *more)[0], whole(p, o, *more)[1]))
     with pytest.raises(Exception, match="lost events"):
         pipeline.run(packets, options)
 
