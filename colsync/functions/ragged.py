@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -45,3 +47,12 @@ def interleave(columns: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     starts = np.stack([b + np.cumsum(s) - s for b, (_, s) in zip(base, columns, strict=True)], axis=1)
     data = np.concatenate([d for d, _ in columns]) if rows else np.zeros(0, np.uint8)
     return gather(data, starts.ravel(), sizes.ravel()), sizes.sum(axis=1)
+
+
+def spans(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of at most ``limit`` bytes together, one at least."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, side="right")))
+        yield lo, hi
+        lo = hi

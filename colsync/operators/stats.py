@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsync.operators.blocks import fixed_chunks
 from colsync.operators.codecs import POOL, measure
 
 #: Block sizes of the column study, in KiB, and of the study of small blocks, in bytes.
@@ -16,28 +12,13 @@ COLUMN_SIZES = (1, 5, 10, 50, 100, 500, 1000)
 SMALL_SIZES = tuple(range(100, 1000, 100))
 
 
-def ratio_stats(df: DataFrame, by: list[str], ratio: Column) -> DataFrame:
-    """Number, mean, sample variance, least and largest ratio of each group; a single value has no variance."""
-    r = df.select(*by, ratio.alias("_r"))
-    return r.groupBy(*by).agg(F.count("_r").alias("n"), F.avg("_r").alias("mean"), F.var_samp("_r").alias("variance"), F.min("_r").alias("least"), F.max("_r").alias("largest"))
-
+def _ratios(name: str) -> tuple[Column, ...]:
+    return F.count(name).alias("n"), F.avg(name).alias("mean"), F.var_samp(name).alias("variance"), F.min(name).alias("least"), F.max(name).alias("largest")
 
-def chunked(df: DataFrame, value: str, keys: list[str], sizes: tuple[int, ...]) -> DataFrame:
-    """Each value in pieces of each size: ``*keys, block_size, chunk_no, chunk``; an empty value has none."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys), "block_size int, chunk_no int, chunk binary"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column(len(keys))
-            for row in range(batch.num_rows):
-                whole = held[row].as_py() or b""
-                for size in sizes:
-                    pieces = list(fixed_chunks(whole, size))
-                    named = [batch.column(k).take(pa.array([row] * len(pieces), pa.int64())) for k in range(len(keys))]
-                    made = [*named, pa.array([size] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(made, names=[*keys, "block_size", "chunk_no", "chunk"])
-
-    return df.select(*keys, F.col(value).cast("binary")).mapInArrow(run, schema)
+def ratio_stats(df: DataFrame, by: list[str], ratio: Column) -> DataFrame:
+    """Number, mean, sample variance, least and largest ratio of each group; a single value has no variance."""
+    return df.select(*by, ratio.alias("_r")).groupBy(*by).agg(*_ratios("_r"))
 
 
 def block_study(columns: DataFrame, value: str, keys: list[str], sizes: tuple[int, ...], codecs: tuple[int, ...] = POOL) -> DataFrame:
@@ -46,11 +27,12 @@ def block_study(columns: DataFrame, value: str, keys: list[str], sizes: tuple[in
     Speeds of compression and of decompression each go by their own time; a time
     too short for the clock gives none.
     """
-    measured = measure(chunked(columns, value, keys, sizes), "chunk", [*keys, "block_size"], codecs)
     by = [*keys, "block_size", "codec"]
+    measured = measure(columns, value, keys, codecs, sizes).withColumn("_r", F.col("cmpr_len") / F.col("ori_len"))
     speed = lambda time: F.sum("ori_len") / F.nullif(F.sum(time), F.lit(0.0))
-    totals = measured.groupBy(*by).agg(F.sum("ori_len").alias("ori_len"), F.sum("cmpr_len").alias("cmpr_len"), speed("seconds").alias("compress_bw"), speed("decode_seconds").alias("decompress_bw"))
-    return totals.join(ratio_stats(measured, by, F.col("cmpr_len") / F.col("ori_len")), by)
+    totals = (F.sum("ori_len").alias("ori_len"), F.sum("cmpr_len").alias("cmpr_len"), speed("seconds").alias("compress_bw"), speed("decode_seconds").alias("decompress_bw"))
+    # one pass over the measurements: what is measured is measured once
+    return measured.groupBy(*by).agg(*totals, *_ratios("_r"))
 
 
 def phase_totals(timings: DataFrame, by: str, columns: list[str]) -> DataFrame:
