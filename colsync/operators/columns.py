@@ -8,9 +8,17 @@ gathers more than a block's worth.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colsync.functions.ragged import to_binary
+
+#: Values that a task takes out of a column before it passes them on.
+PASSED_ON = 1 << 16
 #: Names of the columns that every event has, in wire order, and the bytes of each.
 HEADER_COLUMNS = {"BodyLens": (1, 3), "SeqNums": (4, 1), "Flags1": (5, 1), "Timestamps": (6, 4), "EventTypes": (10, 1), "ServerIds": (11, 4), "EventLens": (15, 4), "NextPoses": (19, 4), "Flags": (23, 2)}
 #: Columns with the whole body of a kind.
@@ -47,12 +55,29 @@ def transpose(values: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def untranspose(columns: DataFrame, keys: list[str]) -> DataFrame:
-    """The values again: ``*keys, column_name, place, value``."""
-    ends = F.transform("lens", lambda n, i: F.struct(n.alias("n"), F.get("places", i).alias("place"), i.alias("i")))
-    each = columns.select(*keys, "column_name", "values", F.explode(ends).alias("e"))
-    before = Window.partitionBy(*keys, "column_name").orderBy("e.i").rowsBetween(Window.unboundedPreceding, -1)
-    placed = each.withColumn("_lo", F.coalesce(F.sum("e.n").over(before), F.lit(0)))
-    return placed.select(*keys, "column_name", F.col("e.place").alias("place"), F.substring("values", (F.col("_lo") + 1).cast("int"), F.col("e.n")).alias("value"))
+    """The values again: ``*keys, column_name, place, value``.
+
+    A column's values are its bytes with other bounds, so they are taken apart as
+    arrays, ``PASSED_ON`` values at a time, and none carries its column's bytes along.
+    """
+    held = columns.select(*keys, "column_name", "places", "lens", "values")
+    n = len(keys) + 1
+    place = held.schema["places"].dataType.elementType.simpleString()
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:n]), f"place {place}", "value binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                places, lens = batch.column(n)[row].values, batch.column(n + 1)[row].values.to_numpy()
+                data = np.frombuffer(batch.column(n + 2)[row].as_buffer(), np.uint8)
+                ends = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
+                for lo in range(0, len(lens), PASSED_ON):
+                    hi = min(lo + PASSED_ON, len(lens))
+                    same = pa.array(np.full(hi - lo, row))
+                    value = to_binary(data[ends[lo] : ends[hi]], lens[lo:hi])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(same) for k in range(n)), places.slice(lo, hi - lo), value], names=[*keys, "column_name", "place", "value"])
+
+    return held.mapInArrow(run, schema)
 
 
 def check_counts(columns: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,22 +104,24 @@ def take(values: Column, lo: Column, hi: Column) -> Column:
     return F.substring(values, (lo + 1).cast("int"), (hi - lo).cast("int"))
 
 
-def event_values(events: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """Every value of every column: ``file, packet_no, column_name, value``.
+def event_values(events: DataFrame, images: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every value of every column: ``file, packet_no, *keep, column_name, value``.
 
     ``events`` are ``headers(packets)`` with the packets' bodies.  Row images,
-    if given, add the user columns, named by ``column_key``.
+    if given, add the user columns, named by ``column_key``.  ``keep`` are columns
+    of both to carry along, such as the block of a packet: a packet is one row, its
+    values are some thirty, so what is to be joined is joined before.
     """
     from colsync.functions.binary import to_little_endian
     from colsync.operators.events import view
     from colsync.sources.binlog import EVENTS
 
-    keys = ["file", "packet_no"]
+    keys = ["file", "packet_no", *keep]
     head = {"BodyLens": to_little_endian("body_len", 3), "SeqNums": to_little_endian("seq", 1), "Flags1": to_little_endian("flag", 1)}
     head |= {n: F.expr(f"substring(body, {at - 5}, {size})") for n, (at, size) in HEADER_COLUMNS.items() if at > 5}
     head |= {name: F.when(F.col("event_type") == EVENTS[kind], F.col("data")) for kind, name in WHOLE_COLUMNS.items()}
     out = unpivot(events.where("event_type IS NOT NULL"), keys, head)
-    maps, rows = view(events, "TABLE_MAP"), view(events, "WRITE_ROWS")
+    maps, rows = view(events, "TABLE_MAP", keep), view(events, "WRITE_ROWS", keep)
     part = lambda at, size: F.expr(f"substring(data, {at}, {size})")
     out = out.unionByName(unpivot(maps, keys, dict(zip(TABLE_COLUMNS, (part(1, 6), F.col("unused"), part(9, 1), F.col("db"), F.col("table_info")), strict=True))))
     fields = (part(1, 6), F.col("reserved"), part(9, 2), F.col("extra"), to_little_endian("n_columns", 1), F.col("included"), F.col("nulls"), F.col("checksum"))

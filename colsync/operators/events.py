@@ -26,13 +26,13 @@ def is_event() -> Column:
     return (F.col("flag") == 0) & (F.col("body_len") >= LEAST)
 
 
-def headers(packets: DataFrame) -> DataFrame:
-    """Packets with ``ts, event_type, server_id, event_len, next_pos, flags`` and the event ``data``; null for what is no event."""
+def headers(packets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Packets with ``ts, event_type, server_id, event_len, next_pos, flags`` and the event ``data``; null for what is no event; ``keep`` are columns to carry along."""
     field = lambda at, size, kind: F.when(is_event(), little_endian("body", at, size).cast(kind))
     return packets.select(
         "file", "packet_no", "offset", "body_len", "seq", "flag",
         field(1, 4, "long").alias("ts"), field(5, 1, "int").alias("event_type"), field(6, 4, "long").alias("server_id"), field(10, 4, "long").alias("event_len"),
-        field(14, 4, "long").alias("next_pos"), field(18, 2, "int").alias("flags"), F.when(is_event(), F.expr(f"substring(body, {HEADER + 1})")).alias("data"), "body",
+        field(14, 4, "long").alias("next_pos"), field(18, 2, "int").alias("flags"), F.when(is_event(), F.expr(f"substring(body, {HEADER + 1})")).alias("data"), "body", *keep,
     )
 
 
@@ -86,16 +86,16 @@ VIEWS: dict[str, Callable[[], dict[str, Column]]] = {
 HANDLED = tuple(EVENTS[k] for k in VIEWS)
 
 
-def view(events: DataFrame, kind: str) -> DataFrame:
-    """The events of one kind with its fields; ``events`` are ``headers(packets)``."""
+def view(events: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The events of one kind with its fields; ``events`` are ``headers(packets, keep)``."""
     fields = VIEWS[kind]()
-    return events.where(F.col("event_type") == EVENTS[kind]).select("file", "packet_no", "ts", "server_id", "data", *[c.alias(n) for n, c in fields.items()])
+    return events.where(F.col("event_type") == EVENTS[kind]).select("file", "packet_no", *keep, "ts", "server_id", "data", *[c.alias(n) for n, c in fields.items()])
 
 
-def raw(events: DataFrame, fail_fast: bool = False) -> DataFrame:
+def raw(events: DataFrame, fail_fast: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """What no view covers: other packets, and events of other kinds."""
     other = F.col("event_type").isNull() | ~F.col("event_type").isin(*HANDLED)
-    rows = events.where(other).select("file", "packet_no", "flag", "event_type", "body")
+    rows = events.where(other).select("file", "packet_no", *keep, "flag", "event_type", "body")
     if not fail_fast:
         return rows
     said = F.concat(F.lit("no view for event type "), F.coalesce(F.col("event_type").cast("string"), F.lit("none")))

@@ -64,7 +64,7 @@ def _definition(table: int, data: bytes | None) -> TableInfo:
     return parse_table_map(data)[1]
 
 
-def _decode(batches: Iterator[pa.RecordBatch], registry: dict[int, TableInfo] | None) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], registry: dict[int, TableInfo] | None, keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     """``registry`` has the definitions, or each row has its own in the column ``definition``."""
     for batch in batches:
         data, offsets = binary_buffers(batch.column("data"))
@@ -95,32 +95,34 @@ def _decode(batches: Iterator[pa.RecordBatch], registry: dict[int, TableInfo] |
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(pick) + 1) * n, pa.int32()), values)
                 piece = lambda start, size: to_binary(gather(data, start, np.full(len(start), size)), np.full(len(start), size))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("file").take(pa.array(pick)), batch.column("packet_no").take(pa.array(pick)), pa.array(np.full(len(pick), table, np.int64)), pa.array(np.full(len(pick), row_no, np.int32)), piece(maps, k), piece(cursor, k), listed, piece(end - CHECKSUM, CHECKSUM)],
-                    names=["file", "packet_no", "table_id", "row_no", "included", "nulls", "values", "checksum"],
+                    [batch.column("file").take(pa.array(pick)), batch.column("packet_no").take(pa.array(pick)), pa.array(np.full(len(pick), table, np.int64)), pa.array(np.full(len(pick), row_no, np.int32)), piece(maps, k), piece(cursor, k), listed, piece(end - CHECKSUM, CHECKSUM), *(batch.column(c).take(pa.array(pick)) for c in keep)],
+                    names=["file", "packet_no", "table_id", "row_no", "included", "nulls", "values", "checksum", *keep],
                 )
                 more = at < end - CHECKSUM
                 pick, end, maps, included, cursor, row_no = pick[more], end[more], maps[more], included[more], at[more], row_no + 1
 
 
-def row_images(write_rows: DataFrame, registry: dict[int, TableInfo] | DataFrame) -> DataFrame:
+def row_images(write_rows: DataFrame, registry: dict[int, TableInfo] | DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row image of WRITE_ROWS events: ``file, packet_no, table_id, row_no, included, nulls, values, checksum``.
 
     ``write_rows`` has ``file, packet_no, table_id`` and the event ``data``.  A
     value that is not included or null is null; length prefixes stay in the
     values, as in the log.  Several images in an event are taken one after the
-    other until the checksum is left.
+    other until the checksum is left.  ``keep`` are columns of ``write_rows`` to
+    carry along.
 
     ``registry`` is a dictionary, which is broadcast, or a table of any number
     of definitions (``definitions_of``), which meets the rows in a join: rows of
     a table are dealt to ``SALTS`` tasks, with a copy of its definition in each.
     """
+    schema = ", ".join([IMAGES, *(f"`{f.name}` {f.dataType.simpleString()}" for f in write_rows.schema if f.name in keep)])
+    rows = write_rows.select("file", "packet_no", "table_id", "data", *keep)
     if isinstance(registry, DataFrame):
         salted = registry.select("table_id", "definition", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        rows = write_rows.select("file", "packet_no", "table_id", "data", F.pmod(F.xxhash64("file", "packet_no"), F.lit(SALTS)).cast("int").alias("_salt"))
-        joined = rows.join(salted, ["table_id", "_salt"], "left").select("file", "packet_no", "table_id", "data", "definition")
-        return joined.mapInArrow(lambda batches: _decode(batches, None), IMAGES)
+        joined = rows.withColumn("_salt", F.pmod(F.xxhash64("file", "packet_no"), F.lit(SALTS)).cast("int")).join(salted, ["table_id", "_salt"], "left")
+        return joined.select(*rows.columns, "definition").mapInArrow(lambda batches: _decode(batches, None, keep), schema)
     held = write_rows.sparkSession.sparkContext.broadcast(registry)
-    return write_rows.select("file", "packet_no", "table_id", "data").mapInArrow(lambda batches: _decode(batches, held.value), IMAGES)
+    return rows.mapInArrow(lambda batches: _decode(batches, held.value, keep), schema)
 
 
 def definitions_of(table_maps: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ import lzma
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from colsync.operators import codecs, stats
+from colsync.operators import blocks, codecs, columns, events, rows, stats
+from colsync.plans import logs, pipeline
 
 
 def test_values_are_coded_in_slices(spark):
@@ -41,3 +42,49 @@ def test_equal_values_are_measured_once(spark, tmp_path, monkeypatch):
     assert got["b", 100][:3] == (180, 18000, 180) and got["a", 100][:3] == (200, 19000, 200)
     # two pieces that differ, of 380; the means don't measure them again
     assert len(open(log).readlines()) == 2
+
+
+def test_columns_come_apart_without_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(columns, "PASSED_ON", 7)
+    rows = [("f", k, f"c{k % 3}", i, None if k == 4 and i else bytearray(bytes([i % 251]) * (i % 5))) for k in range(6) for i in range(30)]
+    df = spark.createDataFrame(rows, "file string, block_no long, column_name string, place long, value binary")
+    turned = columns.transpose(df.where("value IS NOT NULL"), ["file", "block_no"], "place")
+    back = columns.untranspose(turned, ["file", "block_no"])
+    assert {(r.file, r.block_no, r.column_name, r.place, bytes(r.value)) for r in back.collect()} == {(*r[:4], bytes(r[4])) for r in rows if r[4] is not None}
+    # no sort or window over rows that hold a whole column
+    assert "Window" not in back._jdf.queryExecution().toString()
+
+
+def test_files_are_numbered_in_ranges(spark):
+    orders = spark.range(5000).select(F.when(F.col("id") != 7, F.col("id")).alias("o_orderkey"), F.col("id").alias("o_custkey"), F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")).alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"), F.lit("2020-01-01").cast("timestamp_ntz").alias("o_orderdate"), F.when(F.col("id") % 10 > 0, "hot").otherwise(None).alias("o_orderpriority"))
+    packets = logs.table_packets(orders, logs.ORDERS, F.col("o_orderpriority"), ["o_orderkey"])
+    for file in ("hot", None):
+        got = sorted(packets.where(F.col("file").eqNullSafe(F.lit(file))).select("packet_no", "offset", "body_len").collect())
+        at = 0
+        for i, r in enumerate(got):
+            assert (r.packet_no, r.offset) == (i, at)
+            at += r.body_len + 4
+        assert len(got) == (4501 if file else 501)
+    assert [r.o_orderkey for r in logs.decoded(packets, logs.ORDERS).where("file = 'hot'").orderBy("packet_no").collect()] == [None, *(i for i in range(5000) if i % 10 and i != 7)]
+    plan = packets._jdf.queryExecution().toString()
+    assert "partitionBy" not in plan and "hashpartitioning(file" in plan and "_range" in plan
+
+
+def test_values_meet_their_blocks_as_packets(spark):
+    orders = spark.range(300).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"), F.lit("2020-01-01").cast("timestamp_ntz").alias("o_orderdate"), F.lit("p").alias("o_orderpriority"))
+    packets = logs.table_packets(orders, logs.ORDERS, F.lit("all"), ["o_orderkey"])
+    cut, _ = pipeline.cut_columns(packets, pipeline.Options(mode="zstd", block_bytes=6000))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    # every join is below the rows for each value
+    deep = lambda x: len(x) - len(x.lstrip(" :+-"))
+    lines = plan.split("\n")
+    for i, x in enumerate(lines):
+        if "Join Inner" in x:
+            above = [y for y in lines[:i] if deep(y) < deep(x) and "Generate explode" in y]
+            assert above, x
+    heads = events.headers(packets)
+    held = blocks.bound_blocks(pipeline.index(packets), 6000).select("file", "packet_no", "block_no")
+    images = rows.row_images(events.view(heads, "WRITE_ROWS"), pipeline.definitions(packets))
+    want = columns.transpose(columns.event_values(heads, images).join(held, ["file", "packet_no"]), pipeline.KEYS, "packet_no")
+    key = lambda r: (r.file, r.block_no, r.column_name)
+    assert sorted(cut.collect(), key=key) == sorted(want.collect(), key=key)
