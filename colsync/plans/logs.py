@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colsync.functions.mysql import TYPES, TableInfo, table_map_body
-from colsync.operators import events, rows
+from colsync.operators import blocks, events, rows
 from colsync.operators.codecs import POOL
 from colsync.sources.binlog import EVENTS, event_packets
 
 
+#: Ranges in which the packets of a file are numbered.
+RANGES = 64
+
+
 @dataclass(frozen=True)
 class Log:
     """How a table is logged: its id, definition and column names."""
@@ -36,9 +40,9 @@ LINEITEM = _log(102, "lineitem", {
 
 
 def table_packets(table: DataFrame, log: Log, file: Column, order: list[str]) -> DataFrame:
-    """A TABLE_MAP at the head of each file, then a WRITE_ROWS packet for each row, in order."""
-    keyed = table.withColumn("_file", file.cast("string")).withColumn("_order", F.struct(*order))
-    images = rows.encode_images(keyed, log.info, list(log.columns), keep=("_file", "_order"))
+    """A TABLE_MAP at the head of each file, then a WRITE_ROWS packet for each row, in order; files are numbered in ranges of the first column of the order."""
+    keyed = blocks.parted(table, order, RANGES).withColumnRenamed("_part", "_range").withColumn("_file", file.cast("string")).withColumn("_order", F.struct(*order))
+    images = rows.encode_images(keyed, log.info, list(log.columns), keep=("_range", "_file", "_order"))
     from colsync.functions.binary import to_little_endian
 
     n, k = len(log.columns), (len(log.columns) + 7) // 8
@@ -46,10 +50,10 @@ def table_packets(table: DataFrame, log: Log, file: Column, order: list[str]) ->
     lit = lambda h: F.unhex(F.lit(h))
     head = F.concat(to_little_endian(F.lit(log.table_id), 6), lit("0000"), lit("0200"), to_little_endian(F.lit(n), 1), lit(included))
     body = F.concat(head, F.col("nulls"), F.col("image"), lit("00000000"))
-    data = images.select("_file", F.lit(1).alias("_part"), "_order", F.lit(EVENTS["WRITE_ROWS"]).alias("_kind"), body.alias("_body"))
+    data = images.select("_file", "_range", F.lit(1).alias("_part"), "_order", F.lit(EVENTS["WRITE_ROWS"]).alias("_kind"), body.alias("_body"))
     first = F.lit(None).cast(dict(data.dtypes)["_order"])
-    maps = keyed.select("_file").distinct().select("_file", F.lit(0).alias("_part"), first.alias("_order"), F.lit(EVENTS["TABLE_MAP"]).alias("_kind"), lit(table_map_body(log.table_id, log.info).hex()).alias("_body"))
-    return event_packets(maps.unionByName(data), F.col("_kind"), F.col("_body"), F.lit(1_700_000_000), "_file", [F.col("_part"), F.col("_order")])
+    maps = keyed.select("_file").distinct().select("_file", F.lit(-1).alias("_range"), F.lit(0).alias("_part"), first.alias("_order"), F.lit(EVENTS["TABLE_MAP"]).alias("_kind"), lit(table_map_body(log.table_id, log.info).hex()).alias("_body"))
+    return event_packets(maps.unionByName(data), F.col("_kind"), F.col("_body"), F.lit(1_700_000_000), "_file", [F.col("_part"), F.col("_order")], "_range")
 
 
 def decoded(packets: DataFrame, log: Log) -> DataFrame:

@@ -191,16 +191,24 @@ def write_file(path: str, bodies: Iterable[bytes], flags: Iterable[int] | None =
             file.write(packet(body, i, flag))
 
 
-def event_packets(events: DataFrame, kind, data: Column, ts: Column, by: str, order: list[Column]) -> DataFrame:
-    """Packets, as ``read_packets`` gives them, of one event for each row: built by expressions, numbered within ``by``."""
+def event_packets(events: DataFrame, kind, data: Column, ts: Column, by: str, order: list[Column], ranges: str | None = None) -> DataFrame:
+    """Packets, as ``read_packets`` gives them, of one event for each row: built by expressions, numbered within ``by``.
+
+    ``ranges`` names a column of numbers that rises with the order.  A file is then
+    numbered range by range, each led by the packets and bytes of those before it, and is no single task.
+    """
     from pyspark.sql import Window
 
     kind = kind if isinstance(kind, Column) else F.lit(kind)
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = events.select(F.col(by).cast("string").alias("file"), (F.row_number().over(w) - 1).cast("long").alias("packet_no"), kind.alias("_kind"), data.alias("_data"), ts.alias("_ts"))
     size = F.octet_length("_data")
-    before = Window.partitionBy("file").orderBy("packet_no").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(size + 24).over(before), F.lit(0)).cast("long")
+    rows = events.select(F.col(by).cast("string").alias("file"), (F.col(ranges) if ranges else F.lit(0)).alias("_range"), F.struct(*order).alias("_at"), kind.alias("_kind"), data.alias("_data"), ts.alias("_ts"), F.lit(1).cast("long").alias("_n"), (F.octet_length(data) + 24).cast("long").alias("_size"), F.lit(True).alias("_row"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    if ranges:
+        sums = rows.groupBy("file", "_range").agg(F.sum("_n").alias("_n"), F.sum("_size").alias("_size"))
+        line = Window.partitionBy("file").orderBy("_range")
+        rows = rows.unionByName(sums.select("file", "_range", before("_n", line).alias("_n"), before("_size", line).alias("_size"), F.lit(False).alias("_row")), allowMissingColumns=True)
+    inside = Window.partitionBy("file", "_range").orderBy("_row", "_at")
+    rows = rows.select("*", before("_n", inside).alias("packet_no"), before("_size", inside).alias("offset")).where("_row")
     zero = lambda n: F.unhex(F.lit("00" * n))
     head = F.concat(to_little_endian(F.col("_ts"), 4), to_little_endian(F.col("_kind"), 1), F.unhex(F.lit("01000000")), to_little_endian(size + 19, 4), zero(4), zero(2))
-    return rows.select("file", "packet_no", offset.alias("offset"), (size + 20).cast("int").alias("body_len"), (F.col("packet_no") % 256).cast("smallint").alias("seq"), F.lit(0).cast("smallint").alias("flag"), F.concat(head, "_data").alias("body"))
+    return rows.select("file", "packet_no", "offset", (size + 20).cast("int").alias("body_len"), (F.col("packet_no") % 256).cast("smallint").alias("seq"), F.lit(0).cast("smallint").alias("flag"), F.concat(head, "_data").alias("body"))
