@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colsync.functions.batches import small_batches
 from colsync.llm.words import NOT_SPACE, word_slices
 
 #: Labelled texts that a fit uses at most, the lowest by a hash of the id.
@@ -272,6 +273,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     long texts are read whole; other columns are carried along, whatever their
     names.  An empty table gives none.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
     place = docs.columns.index(text_col)
 
