@@ -5,6 +5,7 @@ import lzma
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from colsync.functions.batches import BATCH_BYTES
 from colsync.operators import blocks, codecs, columns, events, rows, stats
 from colsync.plans import logs, pipeline
 
@@ -88,3 +89,33 @@ def test_values_meet_their_blocks_as_packets(spark):
     want = columns.transpose(columns.event_values(heads, images).join(held, ["file", "packet_no"]), pipeline.KEYS, "packet_no")
     key = lambda r: (r.file, r.block_no, r.column_name)
     assert sorted(cut.collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_codecs_get_batches_of_a_few_megabytes(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    packets = spark.createDataFrame([], "file string, packet_no long, offset long, body_len int, seq smallint, flag smallint, body binary")
+    wide = spark.range(0, 300, 1, 1).selectExpr("id", "cast(repeat('x', 65536) as binary) AS value")
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    try:
+        spark.conf.set(setting, "64m")
+        pipeline.begin(packets, pipeline.Options(mode="zstd", transposed=False))
+        assert max(r.n for r in wide.mapInArrow(seen, "n long").collect()) <= BATCH_BYTES + (1 << 17)
+        spark.conf.set(setting, "1m")
+        pipeline.begin(packets, pipeline.Options(mode="zstd", transposed=False))
+        assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_decoded_values_are_passed_on_in_slices(spark):
+    long = codecs.CODECS[153].encode(bytes(1 << 20))
+    values = pa.array([long, None, b""] * 20, pa.binary())
+    found = list(codecs._function("decode").func(iter([(pa.array([153] * 60), values)])))
+    assert len(values) == sum(map(len, found)) and len(found) > 1
+    assert max(part.nbytes for part in found) <= codecs.SLICE + (1 << 20) + 4096
+    assert pa.chunked_array(found).to_pylist() == [bytes(1 << 20), None, b""] * 20
