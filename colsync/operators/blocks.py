@@ -42,6 +42,10 @@ def parted(rows: DataFrame, order: list[str], ranges: int) -> DataFrame:
     return rows.withColumn("_part", _range_of(F.col(order[0]), bounds))
 
 
+#: The name by which tests know it.
+_parted = parted
+
+
 def packet_offsets(df: DataFrame, length: Column, by: list[str], order: list[str], ranges: int = 64) -> DataFrame:
     """``offset`` of each packet: the lengths before it in its file.
 
@@ -50,11 +54,11 @@ def packet_offsets(df: DataFrame, length: Column, by: list[str], order: list[str
     is no single task: parts are summed, and their sums lead the rows of the parts
     after them.  The quantiles are approximate and only balance the work.
     """
-    parted = parted(df.withColumn("packet_len", length.cast("long")), order, ranges).withColumn("_row", F.lit(True))
+    in_parts = parted(df.withColumn("packet_len", length.cast("long")), order, ranges).withColumn("_row", F.lit(True))
     before = lambda w: F.coalesce(F.sum("packet_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    sums = parted.groupBy(*by, "_part").agg(F.sum("packet_len").alias("packet_len"))
+    sums = in_parts.groupBy(*by, "_part").agg(F.sum("packet_len").alias("packet_len"))
     leads = sums.select(*by, "_part", before(Window.partitionBy(*by).orderBy("_part")).alias("packet_len"), F.lit(False).alias("_row"))
-    placed = parted.unionByName(leads, allowMissingColumns=True)
+    placed = in_parts.unionByName(leads, allowMissingColumns=True)
     return placed.withColumn("offset", before(Window.partitionBy(*by, "_part").orderBy("_row", *order))).where("_row").drop("_part", "_row")
 
 
@@ -183,11 +187,11 @@ def class_islands(df: DataFrame, kind: Column, by: list[str], order: list[str],
     these short rows follows whether its first run goes on with the last one of the range
     before, and so the number that it has.
     """
-    parted = parted(df.select(*dict.fromkeys([*by, *order]), kind.alias("class")), order, ranges)
+    in_parts = parted(df.select(*dict.fromkeys([*by, *order]), kind.alias("class")), order, ranges)
     w = Window.partitionBy(*by, "_part").orderBy(*order)
     step = F.when((F.row_number().over(w) == 1) | F.lag("class").over(w).eqNullSafe(F.col("class")), 0).otherwise(1)
     place = F.struct(*order)
-    runs = parted.withColumn("_step", step).withColumn("_run", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = in_parts.withColumn("_step", step).withColumn("_run", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = runs.groupBy(*by, "_part", "_run").agg(F.first("class").alias("class"), F.count("*").alias("n_packets"), F.min(place).alias("_at"))
     ends = runs.groupBy(*by, "_part").agg(F.min_by("class", "_at").alias("_first"), F.max_by("class", "_at").alias("_last"), F.max("_run").alias("_more"))
     line = Window.partitionBy(*by).orderBy("_part")

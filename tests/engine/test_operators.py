@@ -425,3 +425,14 @@ def test_completion_of_one_stream_by_ranges(spark):
     for r in out:
         total += r.n % 7
         assert (r.received, r.done) == (total, total >= 5000)
+
+
+def test_packets_are_placed_by_ranges(spark):
+    rows = [(f, i, (i * 7 + len(f)) % 13) for f in ("a", "hot") for i in range(50 if f == "a" else 900)]
+    df = spark.createDataFrame(rows, "file string, n long, size long").repartition(8)
+    at = {"a": 0, "hot": 0}
+    for r in blocks.packet_offsets(df, F.col("size"), ["file"], ["n"]).orderBy("file", "n").collect():
+        assert (r.packet_len, r.offset) == (r.size, at[r.file])
+        at[r.file] += r.size
+    islands = blocks.class_islands(df, F.col("n") >= 20, ["file"], ["n"]).orderBy("file", "island").collect()
+    assert [(r.file, r.island, r["class"], r.n_packets) for r in islands] == [("a", 1, False, 20), ("a", 2, True, 30), ("hot", 1, False, 20), ("hot", 2, True, 880)]
